@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
@@ -22,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top if ':' in top else 'file://' + top}/loomdex-{name}-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A scratch folder that rows still to be computed read; it goes when the driver ends."""
+    folder = scratch(spark, name)
+    atexit.register(remove, folder)
+    return folder
+
+
 def remove(uri: str) -> None:
     files, path = opened(uri)
     if files.get_file_info(path).type == fs.FileType.Directory:

@@ -96,8 +96,8 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENISED)
 
 
-def pack(tokenised: DataFrame, length: int = 4096, ranges: int | None = None) -> DataFrame:
-    """``PIECES`` of a stored ``TOKENISED`` table: ids as little-endian u32, each in exactly one piece.
+def pack(tokenised: DataFrame, length: int = 4096, ranges: int | None = None, id_bytes: int = 4) -> DataFrame:
+    """``PIECES`` of a stored ``TOKENISED`` table: ids little-endian of ``id_bytes`` each, every one in exactly one piece.
 
     ``tokenised`` must be written rows (a file or checkpoint), as it is read three times: for the range
     bounds (places alone), for the ranges' sums (places and counts) and for the pieces.
@@ -124,7 +124,7 @@ def pack(tokenised: DataFrame, length: int = 4096, ranges: int | None = None) ->
                 for doc, own, size, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "range", "n_tokens", "ids")), strict=True):
                     if own != current:
                         current, at = own, bases[own]
-                    ids, start = np.frombuffer(data, "<u2").astype("<u4"), 0
+                    ids, start = np.frombuffer(data, "<u2").astype(f"<u{id_bytes}"), 0
                     while start < size:
                         take = min(size - start, length - at % length)
                         rows.append({"doc_id": doc, "start": start, "length": take, "ids": ids[start : start + take].tobytes(), "doc_tokens": size, "sequence_id": at // length, "offset": at % length})
@@ -136,10 +136,10 @@ def pack(tokenised: DataFrame, length: int = 4096, ranges: int | None = None) ->
     return laid.select("doc_id", "range", "n_tokens", "ids").mapInArrow(cut_up, PIECES)
 
 
-def sequences(pieces: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:
+def sequences(pieces: DataFrame, length: int = 4096, pad_id: int = 0, id_bytes: int = 4) -> DataFrame:
     """``(sequence_id, n_tokens, ids)``: pieces joined in order and padded with ``pad_id``, but for lengths that are powers of two."""
     whole = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     pad = F.when(F.expr("bit_count(n_tokens) = 1"), F.lit(0)).otherwise(F.lit(length) - F.col("n_tokens"))
-    one = F.lit(int(pad_id).to_bytes(4, "little"))
+    one = F.lit(int(pad_id).to_bytes(id_bytes, "little"))
     return whole.select("sequence_id", "n_tokens", F.concat(joined, F.unhex(F.repeat(F.hex(one), pad.cast("int")))).alias("ids"))
