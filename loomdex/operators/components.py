@@ -13,28 +13,29 @@ from loomdex.plans.lineage import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, root)`` for every vertex of an undirected graph; ``root`` is the smallest id of its component.
 
-    Each round points every vertex at the neighbour (or itself) with the lowest hash under that
-    round's seed, and contracts the edges along those pointers.  A random order shrinks any graph,
-    sorted paths included, by a constant factor a round, so rounds grow with the logarithm of the
-    longest path.  All steps are partial aggregates and equi-joins on the remaining edges: a hub
-    vertex is combined before its shuffle and its join partition can be split.
+    Each round points every vertex at the lowest of its neighbours and itself, and contracts the edges
+    along those pointers.  By id, stars go within two rounds, whatever their centre; sorted paths would
+    not, so every other round ranks by a hash of that round instead, which shrinks any graph by a constant
+    factor.  All steps are partial aggregates and equi-joins on the remaining edges: a hub vertex is
+    combined before its shuffle and its join partition can be split.
 
     Null endpoints and self-loops are ignored; vertices without edges don't appear; an empty edge
     table gives an empty result.
     """
     e = cut(edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).filter("src <> dst").distinct())
     steps: list[DataFrame] = []
-
-    def rank(c: Column) -> Column:
-        return F.xxhash64(c, F.lit(len(steps)))
-
     while not e.isEmpty():
         both = e.union(e.select(F.col("dst"), F.col("src")))
-        step = cut(
-            both.groupBy("src")
-            .agg(F.min(F.struct(rank(F.col("dst")).alias("h"), F.col("dst").alias("to"))).alias("low"))
-            .select(F.col("src").alias("id"), F.when(F.col("low.h") < rank(F.col("src")), F.col("low.to")).otherwise(F.col("src")).alias("root"))
-        )
+        if len(steps) < 2 or len(steps) % 2:
+            low = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("root"))
+            step = cut(low.select(F.col("src").alias("id"), "root"))
+        else:
+
+            def rank(c: str) -> Column:
+                return F.xxhash64(c, F.lit(len(steps)))
+
+            low = both.groupBy("src").agg(F.min(F.struct(rank("dst").alias("h"), F.col("dst").alias("to"))).alias("low"))
+            step = cut(low.select(F.col("src").alias("id"), F.when(F.col("low.h") < rank("src"), F.col("low.to")).otherwise(F.col("src")).alias("root")))
         e = cut(
             e.join(step.select(F.col("id").alias("src"), F.col("root").alias("a")), "src")
             .join(step.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
@@ -51,5 +52,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         return known.join(nxt, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
 
     found = reduce(follow, steps[1:], steps[0])
+    if len(steps) <= 2:
+        return found  # by id alone, so the root is the least
+    found = cut(found)
     least = found.groupBy("root").agg(F.min("id").alias("least"))
-    return found.join(least, "root").select("id", F.col("least").alias("root"))
+    return cut(found.join(least, "root").select("id", F.col("least").alias("root")))
