@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Decision points per language family.
 DECISIONS = {
@@ -87,7 +88,10 @@ def params(source: str, language: str | None) -> int:
     return len(parts)
 
 
-@F.pandas_udf("cyclomatic int, max_nesting int, param_count int")
+METRICS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("cyclomatic", "max_nesting", "param_count")])
+
+
+@F.pandas_udf(METRICS)
 def complexity(source: pd.Series, language: pd.Series) -> pd.DataFrame:
     """Metrics of a source and its language; a null source has (1, 0, 0)."""
     pairs = [(s or "", g) for s, g in zip(source, language, strict=True)]

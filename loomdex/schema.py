@@ -2,42 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-TABLES: dict[str, StructType] = {
-    "repos": _schema("id LONG, name STRING, source_path STRING, github_url STRING, indexed_at TIMESTAMP, git_head STRING, repo_type STRING, package_manager STRING, package_name STRING, version STRING, briefing STRING"),
-    "files": _schema("id LONG, repo_id LONG, path STRING, language STRING, content_hash STRING, byte_size LONG, mtime DOUBLE"),
-    "blobs": _schema("content_hash STRING, content BINARY"),
-    "symbols": _schema(
-        "id LONG, file_id LONG, symbol_id STRING, name STRING, qualified_name STRING, kind STRING, language STRING, signature STRING, docstring STRING, summary STRING, "
+#: Spark DDL of each table; readers take it as it is.
+TABLES: dict[str, str] = {
+    "repos": ("id LONG, name STRING, source_path STRING, github_url STRING, indexed_at TIMESTAMP, git_head STRING, repo_type STRING, package_manager STRING, package_name STRING, version STRING, briefing STRING"),
+    "files": ("id LONG, repo_id LONG, path STRING, language STRING, content_hash STRING, byte_size LONG, mtime DOUBLE"),
+    "blobs": ("content_hash STRING, content BINARY"),
+    "symbols": ("id LONG, file_id LONG, symbol_id STRING, name STRING, qualified_name STRING, kind STRING, language STRING, signature STRING, docstring STRING, summary STRING, "
         "decorators ARRAY<STRING>, keywords ARRAY<STRING>, parent_symbol_id STRING, line_start INT, line_end INT, byte_offset LONG, byte_length LONG, content_hash STRING, cyclomatic INT, max_nesting INT, param_count INT"
     ),
-    "sections": _schema(
-        "id LONG, file_id LONG, section_id STRING, title STRING, level INT, parent_section_id STRING, byte_start LONG, byte_end LONG, summary STRING, tags ARRAY<STRING>, refs ARRAY<STRING>, content_hash STRING, body_text STRING"
+    "sections": ("id LONG, file_id LONG, section_id STRING, title STRING, level INT, parent_section_id STRING, byte_start LONG, byte_end LONG, summary STRING, tags ARRAY<STRING>, refs ARRAY<STRING>, content_hash STRING, body_text STRING"
     ),
-    "file_imports": _schema("id LONG, file_id LONG, specifier STRING, names ARRAY<STRING>, resolved_file_id LONG"),
-    "references": _schema("id LONG, source_symbol_id STRING, target_symbol_id STRING, target_specifier STRING, target_names ARRAY<STRING>, line INT"),
-    "usage_stats": _schema(
-        "repo_id LONG, date DATE, sessions LONG, tool_calls LONG, tokens_returned LONG, tokens_avoided LONG, symbols_retrieved LONG, sections_retrieved LONG, "
+    "file_imports": ("id LONG, file_id LONG, specifier STRING, names ARRAY<STRING>, resolved_file_id LONG"),
+    "references": ("id LONG, source_symbol_id STRING, target_symbol_id STRING, target_specifier STRING, target_names ARRAY<STRING>, line INT"),
+    "usage_stats": ("repo_id LONG, date DATE, sessions LONG, tool_calls LONG, tokens_returned LONG, tokens_avoided LONG, symbols_retrieved LONG, sections_retrieved LONG, "
         "tokens_returned_search LONG, tokens_equivalent_search LONG, tokens_returned_retrieval LONG, tokens_equivalent_retrieval LONG"
     ),
-    "quality": _schema("symbol_id STRING, has_tests BOOLEAN, has_docs BOOLEAN, has_types BOOLEAN, complexity INT, change_frequency INT, last_changed STRING"),
-    "blame_cache": _schema("file_id LONG, line_start INT, line_end INT, author STRING, commit_hash STRING, commit_date TIMESTAMP"),
-    "workspaces": _schema("id LONG, name STRING, created_at TIMESTAMP, description STRING"),
-    "workspace_repos": _schema("workspace_id LONG, repo_id LONG"),
-    "memories": _schema("id LONG, repo_id LONG, content STRING, tags ARRAY<STRING>, embedding ARRAY<FLOAT>, created_at TIMESTAMP, updated_at TIMESTAMP"),
-    "preferences": _schema("id LONG, scope STRING, scope_id LONG, key STRING, instruction STRING, created_at TIMESTAMP, updated_at TIMESTAMP"),
-    "coding_sessions": _schema("id LONG, started_at TIMESTAMP, ended_at TIMESTAMP, tool_calls LONG, tokens_returned LONG, tokens_equivalent LONG, category_data MAP<STRING, STRUCT<calls: LONG, returned: LONG, equivalent: LONG>>"),
-    "instances": _schema(
-        "instance_id STRING, node_id STRING, coding_session_id LONG, started_at TIMESTAMP, ended_at TIMESTAMP, tool_calls LONG, tokens_returned LONG, tokens_equivalent LONG, cache_hits LONG, cache_misses LONG, "
+    "quality": ("symbol_id STRING, has_tests BOOLEAN, has_docs BOOLEAN, has_types BOOLEAN, complexity INT, change_frequency INT, last_changed STRING"),
+    "blame_cache": ("file_id LONG, line_start INT, line_end INT, author STRING, commit_hash STRING, commit_date TIMESTAMP"),
+    "workspaces": ("id LONG, name STRING, created_at TIMESTAMP, description STRING"),
+    "workspace_repos": ("workspace_id LONG, repo_id LONG"),
+    "memories": ("id LONG, repo_id LONG, content STRING, tags ARRAY<STRING>, embedding ARRAY<FLOAT>, created_at TIMESTAMP, updated_at TIMESTAMP"),
+    "preferences": ("id LONG, scope STRING, scope_id LONG, key STRING, instruction STRING, created_at TIMESTAMP, updated_at TIMESTAMP"),
+    "coding_sessions": ("id LONG, started_at TIMESTAMP, ended_at TIMESTAMP, tool_calls LONG, tokens_returned LONG, tokens_equivalent LONG, category_data MAP<STRING, STRUCT<calls: LONG, returned: LONG, equivalent: LONG>>"),
+    "instances": ("instance_id STRING, node_id STRING, coding_session_id LONG, started_at TIMESTAMP, ended_at TIMESTAMP, tool_calls LONG, tokens_returned LONG, tokens_equivalent LONG, cache_hits LONG, cache_misses LONG, "
         "category_data MAP<STRING, STRUCT<calls: LONG, returned: LONG, equivalent: LONG>>"
     ),
-    "cluster_nodes": _schema("node_id STRING, role STRING, started_at TIMESTAMP, last_heartbeat TIMESTAMP"),
+    "cluster_nodes": ("node_id STRING, role STRING, started_at TIMESTAMP, last_heartbeat TIMESTAMP"),
 }
 
 #: What a symbol may be.

@@ -27,7 +27,10 @@ LANGUAGES = {
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``(path, byte_size, mtime, content)`` of all files below a folder of any Hadoop file system; paths are relative."""
+    """``(path, byte_size, mtime, content)`` of the files below a folder of any Hadoop file system; paths are relative.
+
+    Spark's reader itself passes over empty files and names that begin with a dot or underscore.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
