@@ -106,7 +106,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
         own = sorted({(r["doc_id"], r["text"] or "", r["y"]) for b in got for r in b.to_pylist()})
         yield pa.RecordBatch.from_pylist([{"model": json.dumps(fit([t for _, t, _ in own], [y for _, _, y in own]))}])
 
-    return json.loads(rows.coalesce(1).mapInArrow(run, "model string").head()[0])
+    # the scan stays spread; the sample alone meets in one task
+    fitted = rows.repartition(1).mapInArrow(run, "model string").head()
+    return json.loads(fitted[0]) if fitted else fit([], [])
 
 
 class Scorer:
