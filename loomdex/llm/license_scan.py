@@ -2,7 +2,7 @@
 
 Lines that speak of a licence are a file's headers.  Each is compared with the templates by the cosine of
 sparse TF-IDF vectors, whose document frequencies are counted over all headers of the corpus and all templates; the best template
-over ``at_least`` is the file's own licence.  A file of whose characters such lines make up at least half is a licence file and rules
+over ``at_least`` is the file's own licence.  A file named as a licence, or of whose characters such lines make up at least ``share``, is a licence file and rules
 its directory.  A file without a licence of its own inherits from the nearest ancestor directory that has
 one, by equi-joins on the path's ancestors.
 
@@ -41,6 +41,7 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+NAMED = r"(?i)(^|/)(licen[sc]e|unlicense|copying|notice)(\.[a-z]+)?$"
 SPEAKS = r"(?i)licen[sc]e|copyright|public domain|permission is hereby|SPDX"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -86,7 +87,7 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def scan(files: DataFrame, at_least: float = 0.6, share: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, at_least: float = 0.6, share: float = 0.8) -> DataFrame:
     """``(doc_id, path, license, score, origin, directory)`` of ``files(doc_id, path, text)``.
 
     ``origin`` is "own", "inherited" or null; ``directory`` the one inherited from.
@@ -108,7 +109,7 @@ def scan(files: DataFrame, at_least: float = 0.6, share: float = 0.5) -> DataFra
     own = spoken.groupBy("row").agg(F.sum(F.length("line")).alias("stated"), F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
     own = own.select("row", "stated", F.col("b.license").alias("own"), (-F.col("b.minus")).alias("own_score"))
     ruling = (
-        own.filter((F.col("stated") >= share * F.col("row.size")) & F.col("row.path").isNotNull())
+        own.filter((F.col("row.path").rlike(NAMED) | (F.col("stated") >= share * F.col("row.size"))) & F.col("row.path").isNotNull())
         .groupBy(F.element_at(ancestors(F.col("row.path")), 1).alias("directory"))
         .agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own").alias("license"))).alias("b"))
         .select("directory", F.col("b.license").alias("dir_license"), (-F.col("b.minus")).alias("dir_score"))

@@ -43,8 +43,9 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 
 def draw(doc_id: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) from a hash of the id."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) from the first 52 bits of an md5 of the id and the seed, which SQL elsewhere can repeat; null ids draw alike."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"#{seed}"))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import license_scan, media, mixing, ngram_join, packing, quality, token_records, toxicity, url_reputation, va_search
 from loomdex.llm.files import kept
+from loomdex.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from loomdex.llm.text import vocabulary
+from loomdex.plans.shipping import shipped
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,11 +88,12 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a page's path ends with the id of the document that was made into it
     of_doc = pages.select("page_id", F.regexp_extract(url_reputation.path_of(F.col("url")), r"/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
     bad = _table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_reputation.judge(pages, of_doc.join(bad, "doc_id").select("page_id", "bad"))
+    judged = url_reputation.judge(pages, of_doc.join(bad, "doc_id").select("page_id", "bad"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (
         op1_media_shards,
         op2_token_records,
@@ -105,4 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
