@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdex.llm import mixing, ngram_join, packing, quality, toxicity
 from loomdex.llm.files import passing
 from loomdex.llm.text import vocabulary
+from loomdex.plans.shipping import shipped
 
 TOXIC_FROM, GOOD_FROM = 0.7, 0.5
 
@@ -20,6 +21,7 @@ def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(column).alias("y"))
 
 
+@shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or toxicity is under ``TOXIC_FROM``."""
     labels = _labels(spark, sf_dir, "toxic").filter(toxicity.fold(F.col("doc_id")) != 1)
@@ -28,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col(score) < TOXIC_FROM).select(*_own(docs))
 
 
+@shipped
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior chance of being good reaches ``GOOD_FROM``."""
     placed = docs.withColumns({"host": F.col("source"), "path": F.col("lang")})
@@ -35,6 +38,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter(F.col(judged.columns[-1])).select(*_own(docs))
 
 
+@shipped
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near-duplicates: five-word shingles, Jaccard similarity of 0.8."""
     joined = ngram_join.jaccard_join(docs, k=5, num=80, den=100)
@@ -45,11 +49,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixing.repeated(docs)
 
 
+@shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of 4096 tokens; ids as little-endian unsigned 16-bit integers."""
     folder = passing(spark, "packing")
@@ -69,6 +75,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces made of ``documents``; every stage's rows are written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
