@@ -4,8 +4,9 @@ A sentence's score is a logistic function of the features present in it, and a d
 of its sentences, ``1 - prod(1 - p)``.  The weights are fitted to document labels through the noisy-or, so
 the sentence scores say where the offence lies.
 
-The fit takes at most ``SAMPLE`` labelled documents, those with the lowest hash of their id, and the
-``FEATURES`` features that separate the two labels best; it runs in one task, whose size the two bounds fix.
+The fit takes at most ``SAMPLE`` labelled documents, those with the lowest hash of their id, as far as their
+texts stay within ``SAMPLE_BYTES``, and the ``FEATURES`` features that separate the two labels best; it runs in
+one task, whose size the bounds fix.
 Scoring covers every text whole.
 
 Defined cases: null text is empty and scores as one sentence without features; with no labelled rows, or only one label,
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ from loomdex.functions.names import fresh
 from loomdex.llm.bags import Features, sentence_features
 from loomdex.llm.text import sliced
 
-SAMPLE, FEATURES = 12_000, 4_096
+SAMPLE, SAMPLE_BYTES, FEATURES = 12_000, 48 << 20, 4_096
 LEAST_DF, ROUNDS, RATE, DECAY = 3, 200, 0.15, 2e-4
 START_BIAS = -6.0
 SENTENCE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -40,15 +42,28 @@ def sample_of(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _select(doc: np.ndarray, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the features whose document frequencies differ most between the labels."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[first], doc[first]
-    kinds, at = np.unique(h, return_inverse=True)
-    df, pos = np.bincount(at), np.bincount(at, weights=y[doc])
+def _bagged(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Slice by slice: the document of each sentence, and for every feature its sentence and hash; then the number of sentences before."""
+    docs, before = 0, 0
+    for part in sliced(pa.record_batch({"text": pa.array(texts, pa.string())}), "text"):
+        starts, rows, where, h = sentence_features(part.column(0))
+        yield np.repeat(np.arange(part.num_rows), np.diff(rows)) + docs, where, h, before
+        docs, before = docs + part.num_rows, before + len(starts)
+
+
+def _select(texts: list[str | None], y: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the features whose document frequencies differ most between the labels; counts are merged after each slice."""
+    kinds, df, pos = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    for owner, where, h, _ in _bagged(texts):
+        doc = owner[where]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        merged, at = np.unique(np.concatenate([kinds, h[new]]), return_inverse=True)
+        df = np.bincount(at, weights=np.concatenate([df, np.ones(int(new.sum()))]))
+        pos = np.bincount(at, weights=np.concatenate([pos, y[doc[new]]]))
+        kinds = merged
     share = y.mean()
     z = (pos - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
     ok = np.flatnonzero(df >= LEAST_DF)
@@ -56,28 +71,19 @@ def _select(doc: np.ndarray, h: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], labels: list[int]) -> dict:
-    """Feature hashes, weights and bias, or a constant share."""
+    """Feature hashes, weights and bias, or a constant share.  Two passes over the texts hold one slice's features at a time."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return {"share": float(y.mean()) if len(y) else 0.0}
-    docs, sents, marks, n_sents = [], [], [], 0
-    at = 0
-    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
-    sent_doc = []
-    for part in sliced(batch, "text"):
-        starts, rows, where, h = sentence_features(part.column(0))
-        owner = np.repeat(np.arange(part.num_rows), np.diff(rows)) + at
-        sent_doc.append(owner)
-        docs.append(owner[where])
-        sents.append(where + n_sents)
-        marks.append(h)
-        n_sents += len(starts)
-        at += part.num_rows
-    sent_doc, doc, sent, h = map(np.concatenate, (sent_doc, docs, sents, marks))
-    known = _select(doc, h, y)
-    f = Features(known).find(h)
-    pairs = np.unique(sent[f >= 0].astype(np.int64) * len(known) + f[f >= 0])
-    s, f = pairs // len(known), pairs % len(known)
+    known = _select(texts, y)
+    features, owners, pairs, n_sents = Features(known), [], [], 0
+    for owner, where, h, before in _bagged(texts):
+        f = features.find(h)
+        owners.append(owner)
+        pairs.append(np.unique((where[f >= 0].astype(np.int64) + before) * max(1, len(known)) + f[f >= 0]))
+        n_sents = before + len(owner)
+    sent_doc, both = np.concatenate(owners), np.concatenate(pairs)
+    s, f = both // max(1, len(known)), both % max(1, len(known))
     w, b = np.zeros(len(known)), START_BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
