@@ -2,15 +2,13 @@
 
 The document-by-n-gram incidence matrix is multiplied with its transpose in blocks.  Only documents of a
 common block can link, which a size-derived bound proves: linked sets ``a <= b`` in size differ in at most
-``a * (1 - t) / t`` n-grams.  Sizes are cut into classes, and within a class n-grams are dealt into more
-parts than linked sets can differ in, so linked sets agree on a whole part.  A hash of each part's content
-is a signature; documents that share one are joined into blocks by connected components.  Inside a block the
-sparse product accumulates overlap counts, rare n-grams first, and drops documents of which no pair can
-still reach its bound.
-
-Parts of few n-grams collide by chance.  Each class has spare parts, so a document with no more small parts
-than spare ones may leave them out: if all agreeing parts of a linked pair are small, both documents have more
-small parts than that and keep them all.
+``d = a * (1 - t) / t`` n-grams.  Sizes are cut into classes, and within a class n-grams are dealt into
+``d + 1 + spare`` parts, so linked sets agree on ``spare + 1`` parts at least.  A hash of each part's content is a
+signature.  Every document leaves out its ``spare`` most frequent signatures: under one order of all signatures,
+the last of those that a linked pair shares is left out by neither.  So passages that many documents share, whose
+signatures are frequent, bring no candidates, whatever their number.  Documents that still share a signature
+are joined into blocks by connected components.  Inside a block the sparse product accumulates overlap
+counts, rare n-grams first, and drops documents of which no pair can still reach its bound.
 
 Equal sets are joined first and only their first document takes part, with their number as weight.  A large
 block is dealt into slices, and each pair of slices is a task of its own; pairs never leave the tasks, which
@@ -19,7 +17,7 @@ return link counts and a spanning forest.
 Defined cases: null text is empty; a document without words has no n-grams and no links; with fewer than
 ``k`` words the sequence is one n-gram; repeated rows count as documents (a doc_id with several texts is one vertex, as if they linked);
 rows with a null doc_id are left out; an empty table gives no rows.  Extra columns are not read.
-N-grams are compared as 64-bit hashes, sets as 128-bit hashes.
+N-grams are compared as 64-bit hashes, sets as 128-bit hashes; shortened hashes serve for candidates alone.
 """
 
 from __future__ import annotations
@@ -30,7 +28,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.text import mix, shingle_sets, sliced
@@ -40,8 +38,14 @@ from loomdex.plans.lineage import cut
 #: A slice of a block holds about so many documents, or so many n-grams, at most.
 SLICE_DOCS, SLICE_GRAMS = 512, 400_000
 #: Width of a size class, in steps of the threshold.
-CLASS_STEPS = 3
-SIGNED = "doc_id long, n_shingles long, digest binary, vertex long, own array<long>, lower array<long>"
+CLASS_STEPS = 2
+#: Spare parts for each that the bound asks for.
+SPARE = 0.3
+#: Signatures that a task gathers before it writes them out.
+GATHERED = 1_000_000
+SIZED = "doc_id long, n_shingles long, digest binary, vertex long"
+PACKED = "bucket int, signs binary, ids binary, classes binary"
+SHARED = "sign long, id long, uses long, spare int"
 FOUND = "u long, v long, links long"
 
 
@@ -65,17 +69,21 @@ class Bounds:
 
     def class_of(self, n: int) -> int:
         """Class k >= 1 holds sizes from ``starts[k - 1]`` to below ``starts[k]``; smaller ones are class 0."""
-        while self.starts[-1] <= n < 1 << 61:
-            s = self.starts[-1]
-            self.starts.append(max(s + 1, ceil(s * (self.den / self.num) ** CLASS_STEPS)))
+        while self.starts[-1] <= n:
+            self._grow()
         return int(np.searchsorted(self.starts, n, side="right"))
 
-    def parts(self, k: int) -> tuple[int, int, int]:
-        """Parts of class k, how many of them are spare, and under how many n-grams a part is small."""
+    def _grow(self) -> None:
+        s = self.starts[-1]
+        self.starts.append(max(s + 1, ceil(s * (self.den / self.num) ** CLASS_STEPS)))
+
+    def parts(self, k: int) -> tuple[int, int]:
+        """Parts of class k, and how many of them are spare."""
+        while len(self.starts) <= k:
+            self._grow()
         least = self.difference(self.starts[k] - 1) + 1
-        rate, small = (0.05, 3) if self.den <= 0.12 * self.den + self.num else (0.3, 2)
-        spare = 1 + int(least * rate)
-        return least + spare, spare, small
+        spare = max(1, int(least * SPARE))
+        return least + spare, spare
 
     def reaches_down(self, n: int, k: int) -> bool:
         """Whether a set of size n in class k can link with one in class k - 1."""
@@ -84,51 +92,119 @@ class Bounds:
 
 def signatures(grams: np.ndarray, k: int, bounds: Bounds) -> np.ndarray:
     """Signatures of a set in class k; ``grams`` sorted, so parts are runs of it."""
-    parts, spare, small = bounds.parts(k)
+    parts, _ = bounds.parts(k)
     part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     counts = np.bincount(part, minlength=parts)
     sums = np.zeros(parts, np.uint64)
     full = np.flatnonzero(counts)
     sums[full] = np.add.reduceat(mix(grams), np.cumsum(counts)[full] - counts[full])
-    tag = np.arange(parts, dtype=np.uint64) + (np.uint64(k) << np.uint64(40))
-    signed = mix(mix(tag) + sums)
-    is_small = counts < small
-    return signed[~is_small] if is_small.sum() <= spare else signed
+    return mix(mix(np.arange(parts, dtype=np.uint64) + (np.uint64(k) << np.uint64(40))) + sums)
+
+
+def sized(docs: DataFrame, k: int) -> DataFrame:
+    """``SIZED``: set sizes and digests of ``docs(doc_id, text)``; ``vertex`` is the digest's first 46 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                sets = [(len(g), xxhash.xxh3_128_digest(g.tobytes())) for g in shingle_sets(part.column("text"), k)]
+                columns = [pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.binary()), pa.array([_vertex(d) for _, d in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "digest", "vertex"])
+
+    return docs.mapInArrow(run, SIZED)
+
+
+def _bytes(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _values(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8")[:, 0]
+
 
+def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """``PACKED``: signatures (48 bits, class included), vertices (46 bits and the role) and classes in runs of a bucket.
 
-def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``SIGNED``: set sizes, digests and signatures; ``vertex`` is the digest's first 62 bits."""
+    A set counts in its own class (role 0) and, if it can link with smaller ones, in the one below (role 1).
+    Sets that allow no difference are left to their digests.  A task writes the signatures of equal sets once,
+    and a row for each bucket, so rows follow the tasks, not the documents.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("signs", pa.binary()), ("ids", pa.binary()), ("classes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = Bounds(num, den)
+        bounds, seen, held, n = Bounds(num, den), set(), [], 0
+
+        def out() -> pa.RecordBatch:
+            signs = np.concatenate([s for s, _, _ in held])
+            ids = np.concatenate([np.full(len(s), i, np.uint64) for s, i, _ in held])
+            kinds = np.concatenate([np.full(len(s), c, np.uint8) for s, _, c in held])
+            bucket = (signs >> np.uint64(48)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            signs, ids, kinds = signs[order], ids[order], kinds[order]
+            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+            full = [(b, i, j) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+            rows = [{"bucket": b, "signs": _bytes(signs[i:j], 6), "ids": _bytes(ids[i:j], 6), "classes": kinds[i:j].tobytes()} for b, i, j in full]
+            return pa.RecordBatch.from_pylist(rows, schema)
+
         for batch in batches:
             for part in sliced(batch, "text"):
-                sizes, digests, vertices, own, lower = [], [], [], [], []
                 for grams in shingle_sets(part.column("text"), k):
-                    n = len(grams)
-                    digest = xxhash.xxh3_128_digest(grams.tobytes())
-                    kind = bounds.class_of(n)
-                    first = np.frombuffer(digest[:8], np.uint64)
-                    sizes.append(n)
-                    digests.append(digest)
-                    vertices.append(_vertex(digest))
-                    own.append((signatures(grams, kind, bounds) if kind else mix(first)[: min(n, 1)]).view(np.int64))
-                    lower.append((signatures(grams, kind - 1, bounds) if bounds.reaches_down(n, kind) else first[:0]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(vertices, pa.int64()), _lists(own), _lists(lower)],
-                    names=["doc_id", "n_shingles", "digest", "vertex", "own", "lower"],
-                )
-
-    return docs.mapInArrow(run, SIGNED)
+                    kind = bounds.class_of(len(grams))
+                    if not kind or (vertex := _vertex(xxhash.xxh3_128_digest(grams.tobytes()))) in seen:
+                        continue
+                    seen.add(vertex)
+                    for role in range(1 + bounds.reaches_down(len(grams), kind)):
+                        signs = signatures(grams, kind - role, bounds)
+                        held.append((signs, vertex * 2 + role, kind - role))
+                        n += len(signs)
+                if n >= GATHERED:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
 
+    return docs.select("text").mapInArrow(run, PACKED)
 
-def _vertex(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little") >> 2
 
+def shared(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """``SHARED`` of ``PACKED`` rows: the signatures that several sets have, each set's once, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, key, held = Bounds(num, den), None, []
+
+        def done() -> pa.RecordBatch:
+            s, i = (_values(b"".join(h[c] for h in held), 6) for c in (0, 1))
+            kinds = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
+            order = np.lexsort((i, s))
+            s, i, kinds = s[order], i[order], kinds[order]
+            first = np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1])])
+            s, i, kinds = s[first], i[first], kinds[first]
+            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            runs = np.diff(np.append(head, len(s)))
+            uses = np.repeat(runs, runs)
+            many = uses > 1
+            spare = np.array([0, *(bounds.parts(k)[1] for k in range(1, int(kinds.max()) + 1))], np.int32)
+            sign = mix(s[many] + (np.uint64(key) << np.uint64(48)))
+            columns = [pa.array(sign.view(np.int64)), pa.array(i[many].astype(np.int64)), pa.array(uses[many].astype(np.int64)), pa.array(spare[kinds[many]])]
+            return pa.RecordBatch.from_arrays(columns, names=["sign", "id", "uses", "spare"])
+
+        for batch in batches:
+            for bucket, *own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signs", "ids", "classes")), strict=True):
+                if bucket != key:
+                    if held:
+                        yield done()
+                    key, held = bucket, []
+                held.append(own)
+        if held:
+            yield done()
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, SHARED)
+
+
+def _vertex(digest: bytes) -> int:
+    return int.from_bytes(digest[:6], "little") >> 2
 
 
 def product(rows: list[tuple], bounds: Bounds, both: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -243,11 +319,13 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     documents with ``den * intersection >= num * union``, ``component_id`` the smallest doc_id reachable over links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    base = cut(signed(docs, k, num, den))
+    base = cut(sized(docs, k))
 
-    marks = base.select(F.expr("vertex * 2").alias("id"), F.explode("own").alias("sign")).union(base.select(F.expr("vertex * 2 + 1"), F.explode("lower")))
-    shared = marks.groupBy("sign").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).filter("pivot < most").select("sign", "pivot")
-    near = marks.join(shared, "sign").filter("id <> pivot").select("id", "pivot").distinct()
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = Window.partitionBy("id").orderBy(F.col("uses").desc(), "sign")  # a set's own signatures
+    kept = cut(shared(packed(docs, k, num, den, buckets), num, den, buckets).withColumn("rank", F.row_number().over(mine)).filter("rank > spare").select("sign", "id"))
+    pivots = kept.groupBy("sign").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).filter("pivot < most").select("sign", "pivot")
+    near = kept.join(pivots, "sign").filter("id <> pivot").select("id", "pivot").distinct()
     blocks = connected_components(near, "id", "pivot")
 
     sets = cut(base.filter("n_shingles > 0").groupBy("digest", "n_shingles", "vertex").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
