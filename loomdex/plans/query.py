@@ -152,10 +152,20 @@ class Query:
         return self._filtered_by(keys, lambda *_: F.col(column) == F.col("_in"), "left_semi")
 
     def where_not_in_subquery(self, column: str, other: DataFrame) -> Query:
-        """NOT IN: a null among the values leaves no rows, an empty list all."""
+        """NOT IN: a null among the values leaves no rows, an empty list all.
+
+        Two emptiness checks at compile time leave a plain anti join, which needs no broadcast of the values.
+        """
         keys = other.toDF("_in")
-        # the null-aware form of the anti join, which Catalyst plans as one for a single key
-        return self._filtered_by(keys, lambda *_: (F.col(column) == F.col("_in")) | (F.col(column) == F.col("_in")).isNull(), "left_anti")
+
+        def step(df: DataFrame) -> DataFrame:
+            if not keys.filter("_in IS NULL").isEmpty():
+                return df.limit(0)
+            if keys.isEmpty():
+                return df
+            return df.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_in"), "left_anti")
+
+        return replace(self, steps=(*self.steps, step))
 
     def _relation(self, name: str) -> Relation:
         if not self.relations or name not in self.relations:
