@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.plans.lineage import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Prior pseudo-counts of the root, and the limits of an estimated strength.
@@ -57,16 +59,17 @@ def _shrunk(groups: DataFrame, parents: DataFrame, key: str, parent: str) -> Dat
     rho = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.col("over") / F.col("room")))
     strength = moments.select(F.coalesce(F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), 1 / rho - 1)), F.lit(MOST_STRENGTH)).alias("k"))
     out = with_mean.withColumn("k", F.lit(strength.head()[0]))  # one number
-    return out.select(key, (F.col("k") * mu + F.col("bad")).alias("a"), (F.col("k") * (1 - mu) + n - F.col("bad")).alias("b"))
+    return cut(out.select(key, (F.col("k") * mu + F.col("bad")).alias("a"), (F.col("k") * (1 - mu) + n - F.col("bad")).alias("b")))
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``(host, n, bad, a, b, mean, lower, upper)`` for every host of ``pages(page_id, host)``; ``outcomes(page_id, bad)``.
 
     Counts are partial aggregates, so one host with a third of the pages is combined before its shuffle.
+    They and each level's posteriors are written, so no level counts the pages again.
     """
     one = outcomes.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts = (
+    hosts = cut(
         pages.select("page_id", "host")
         .join(one, "page_id", "left")
         .groupBy("host")
