@@ -4,9 +4,10 @@ A sentence's score is a logistic function of the features present in it, and a d
 of its sentences, ``1 - prod(1 - p)``.  The weights are fitted to document labels through the noisy-or, so
 the sentence scores say where the offence lies.
 
-The fit takes at most ``SAMPLE`` labelled documents, those with the lowest hash of their id, as far as their
-texts stay within ``SAMPLE_BYTES``, and the ``FEATURES`` features that separate the two labels best; it runs in
-one task, whose size the bounds fix.
+The fit takes at most ``SAMPLE`` labelled documents, those with the lowest hash of their id, whole however long
+they are, and the ``FEATURES`` features that separate the two labels best.  Features are counted and found in many
+tasks; no text, only the numbers of the features found, meets in the one task of the fit.  It keeps them on its disk and
+holds one block of documents at a time, of ``BLOCK`` sentences and features or a single document.
 Scoring covers every text whole.
 
 Defined cases: null text is empty and scores as one sentence without features; with no labelled rows, or only one label,
@@ -17,6 +18,7 @@ taken once, the largest; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from loomdex.functions.names import fresh
 from loomdex.llm.bags import Features, sentence_features
 from loomdex.llm.text import sliced
 
-SAMPLE, SAMPLE_BYTES, FEATURES = 12_000, 48 << 20, 4_096
+SAMPLE, FEATURES, BLOCK = 12_000, 4_096, 1 << 20
 LEAST_DF, ROUNDS, RATE, DECAY = 3, 200, 0.15, 2e-4
 START_BIAS = -6.0
 SENTENCE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -42,79 +44,107 @@ def sample_of(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _bagged(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Slice by slice: the document of each sentence, and for every feature its sentence and hash; then the number of sentences before."""
-    docs, before = 0, 0
-    for part in sliced(pa.record_batch({"text": pa.array(texts, pa.string())}), "text"):
-        starts, rows, where, h = sentence_features(part.column(0))
-        yield np.repeat(np.arange(part.num_rows), np.diff(rows)) + docs, where, h, before
-        docs, before = docs + part.num_rows, before + len(starts)
-
-
-def _select(texts: list[str | None], y: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the features whose document frequencies differ most between the labels; counts are merged after each slice."""
-    kinds, df, pos = np.empty(0, np.uint64), np.empty(0), np.empty(0)
-    for owner, where, h, _ in _bagged(texts):
-        doc = owner[where]
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        merged, at = np.unique(np.concatenate([kinds, h[new]]), return_inverse=True)
-        df = np.bincount(at, weights=np.concatenate([df, np.ones(int(new.sum()))]))
-        pos = np.bincount(at, weights=np.concatenate([pos, y[doc[new]]]))
-        kinds = merged
-    share = y.mean()
-    z = (pos - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
-    ok = np.flatnonzero(df >= LEAST_DF)
-    return np.sort(kinds[ok[np.argsort(-np.abs(z[ok]), kind="stable")[:FEATURES]]])
-
-
-def fit(texts: list[str | None], labels: list[int]) -> dict:
-    """Feature hashes, weights and bias, or a constant share.  Two passes over the texts hold one slice's features at a time."""
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        return {"share": float(y.mean()) if len(y) else 0.0}
-    known = _select(texts, y)
-    features, owners, pairs, n_sents = Features(known), [], [], 0
-    for owner, where, h, before in _bagged(texts):
-        f = features.find(h)
-        owners.append(owner)
-        pairs.append(np.unique((where[f >= 0].astype(np.int64) + before) * max(1, len(known)) + f[f >= 0]))
-        n_sents = before + len(owner)
-    sent_doc, both = np.concatenate(owners), np.concatenate(pairs)
-    s, f = both // max(1, len(known)), both % max(1, len(known))
-    w, b = np.zeros(len(known)), START_BIAS
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, ROUNDS + 1):
-        logit = b + np.bincount(s, weights=w[f], minlength=n_sents)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        none = np.bincount(sent_doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))  # -log of the noisy-or's product
-        q = np.maximum(-np.expm1(-none), 1e-9)
-        # d(loss)/d(logit of a sentence): p for a clean document, -p (1 - q) / q for a toxic one
-        slope = np.where(y == 1, -(1 - q) / q, 1.0)[sent_doc] * p / len(y)
-        gw, gb = np.bincount(f, weights=slope[s], minlength=len(known)) + DECAY * w / len(y) ** 0.5, slope.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        up, down = 1 / (1 - 0.9**t), 1 / (1 - 0.999**t)
-        w -= RATE * m * up / (np.sqrt(v * down) + 1e-8)
-        b -= RATE * mb * up / (np.sqrt(vb * down) + 1e-8)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slice by slice of ``(text, y)``: every feature's hash, its documents and the sum of their labels."""
+    for batch in batches:
+        for part in sliced(batch, "text"):
+            y = part.column("y").to_numpy(zero_copy_only=False)
+            _, rows, where, h = sentence_features(part.column("text"))
+            doc = np.repeat(np.arange(part.num_rows), np.diff(rows))[where]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            kinds, at = np.unique(h[new], return_inverse=True)
+            df, pos = np.bincount(at, minlength=len(kinds)), np.bincount(at, weights=y[doc[new]], minlength=len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(df.astype(np.int64)), pa.array(pos.astype(float))], names=["h", "df", "pos"])
+
+
+def _select(rows: DataFrame, share: float) -> np.ndarray:
+    """Sorted hashes of the features whose document frequencies differ most between the labels."""
+    sums = rows.select("text", "y").mapInArrow(_counted, "h long, df long, pos double").groupBy("h").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    z = (F.col("pos") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share) + 1e-9)
+    best = sums.filter(F.col("df") >= LEAST_DF).orderBy(F.abs(z).desc(), F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).limit(FEATURES)
+    return np.sort(np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _found(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's label, its number of sentences, and the known features in them as sorted numbers ``sentence * len(known) + feature``."""
+    features, width = Features(known), max(1, len(known))
+    for batch in batches:
+        for part in sliced(batch, "text"):
+            _, rows, where, h = sentence_features(part.column("text"))
+            f = features.find(h)
+            pairs = np.unique(where[f >= 0].astype(np.int64) * width + f[f >= 0])
+            at = np.searchsorted(pairs, rows * width)
+            own = [(pairs[i:j] - r * width).tobytes() for i, j, r in zip(at[:-1], at[1:], rows[:-1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(np.diff(rows).astype(np.int64)), pa.array(own, pa.binary())], names=["doc_id", "y", "n_sents", "pairs"])
+
+
+def fit(batches: Iterator[pa.RecordBatch], known: np.ndarray, block: int = BLOCK) -> dict:
+    """Weights and bias of the ``known`` features, from rows of ``_found``.  Blocks of documents wait on disk; one is held at a time."""
+    width, n_docs = max(1, len(known)), 0
+    with tempfile.TemporaryFile() as file:
+        sizes, docs, held = [], [], 0
+
+        def put() -> None:
+            y, n = np.array([d[0] for d in docs], float), np.array([d[1] for d in docs], np.int64)
+            before = np.cumsum(n) - n
+            both = np.concatenate([np.frombuffer(p, np.int64) + k * width for (*_, p), k in zip(docs, before.tolist(), strict=True)])
+            for part in (y, n, both):
+                part.tofile(file)
+            sizes.append((len(y), len(both)))
+
+        for batch in batches:
+            for y, n, pairs in zip(*(batch.column(c) for c in ("y", "n_sents", "pairs")), strict=True):
+                docs.append((y.as_py(), n.as_py(), pairs.as_py()))
+                held, n_docs = held + docs[-1][1] + len(docs[-1][2]) // 8, n_docs + 1
+                if held >= block:
+                    put()
+                    docs, held = [], 0
+        if docs:
+            put()
+            docs = []
+        w, b = np.zeros(len(known)), START_BIAS
+        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+        for t in range(1, ROUNDS + 1):
+            gw, gb = DECAY * w / n_docs**0.5, 0.0
+            file.seek(0)
+            for of_docs, of_pairs in sizes:
+                y, n, both = np.fromfile(file, float, of_docs), np.fromfile(file, np.int64, of_docs), np.fromfile(file, np.int64, of_pairs)
+                s, f, sent_doc = both // width, both % width, np.repeat(np.arange(of_docs), n)
+                logit = b + np.bincount(s, weights=w[f], minlength=len(sent_doc))
+                p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                none = np.bincount(sent_doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=of_docs)  # -log of the noisy-or's product
+                q = np.maximum(-np.expm1(-none), 1e-9)
+                # d(loss)/d(logit of a sentence): p for a clean document, -p (1 - q) / q for a toxic one
+                slope = np.where(y == 1, -(1 - q) / q, 1.0)[sent_doc] * p / n_docs
+                gw, gb = gw + np.bincount(f, weights=slope[s], minlength=len(known)), gb + slope.sum()
+            m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            up, down = 1 / (1 - 0.9**t), 1 / (1 - 0.999**t)
+            w -= RATE * m * up / (np.sqrt(v * down) + 1e-8)
+            b -= RATE * mb * up / (np.sqrt(vb * down) + 1e-8)
     return {"hashes": known.view(np.int64).tolist(), "weights": w.tolist(), "bias": float(b)}
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
-    """The model of ``docs(doc_id, text)`` and ``labels(doc_id, y)``; it alone comes to the driver."""
+    """The model of ``docs(doc_id, text)`` and ``labels(doc_id, y)``; it alone, and before it the features' hashes, come to the driver."""
     chosen = F.broadcast(sample_of(labels, most))  # at most ``most`` short rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(chosen, "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y")).distinct()
+    low, high, share = rows.agg(F.min("y"), F.max("y"), F.avg("y")).head()
+    if low is None or low == high:
+        return {"share": share or 0.0}
+    known = _select(rows, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        own = sorted({(r["doc_id"], r["text"] or "", r["y"]) for b in got for r in b.to_pylist()})
-        yield pa.RecordBatch.from_pylist([{"model": json.dumps(fit([t for _, t, _ in own], [y for _, _, y in own]))}])
+        yield pa.RecordBatch.from_pylist([{"model": json.dumps(fit(batches, known))}])
 
-    # the scan stays spread; the sample alone meets in one task
-    fitted = rows.repartition(1).mapInArrow(run, "model string").head()
-    return json.loads(fitted[0]) if fitted else fit([], [])
+    found = rows.mapInArrow(lambda batches: _found(known, batches), "doc_id long, y double, n_sents long, pairs binary")
+    # the scans stay spread; what they found in the sample alone meets in one task, in a fixed order
+    fitted = found.repartition(1).sortWithinPartitions("doc_id", "n_sents", "pairs", "y").mapInArrow(run, "model string").head()
+    return json.loads(fitted[0])
 
 
 class Scorer:

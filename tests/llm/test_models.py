@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,36 @@ def test_toxicity_edges(messy, empty, spark):
     assert toxicity.sample_of(both, 5).count() == 5
 
 
+def test_toxicity_fit_holds_a_block_and_drops_no_document():
+    known = np.sort(bags.sentence_features(pa.array(["rotter some other words here"]))[3])
+    texts = ["some other words here. " * 400 + ("you rotter. " if i % 3 == 0 else "") for i in range(60)]
+
+    def rows(times):
+        for _ in range(times):
+            yield from toxicity._found(known, iter([pa.record_batch({"doc_id": list(range(60)), "text": texts, "y": [float(i % 3 == 0) for i in range(60)]})]))
+
+    def peak(times):
+        tracemalloc.start()
+        fitted = toxicity.fit(rows(times), known, 20_000)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, fitted
+
+    (small, one), (large, same) = peak(2), peak(12)
+    assert large < 1.5 * small
+    for times, blocked in ((2, one), (12, same)):  # every document counts, in blocks or at once
+        whole = toxicity.fit(rows(times), known)
+        assert np.allclose(blocked["weights"], whole["weights"], atol=1e-4) and abs(blocked["bias"] - whole["bias"]) < 1e-4
+
+
+def test_toxicity_sends_no_text_to_the_fit(spark, monkeypatch):
+    df = spark.createDataFrame(toxic_rows(200, 3), "doc_id long, text string, y int")
+    frame, seen = type(df), []
+    monkeypatch.setattr(frame, "repartition", lambda self, *a, f=frame.repartition: (seen.append(self.columns), f(self, *a))[1])
+    toxicity.train(df, df.select("doc_id", "y"))
+    assert seen and not any("text" in c for c in seen)
+
+
 def quality_rows(n):
     r = random.Random(2)
     words = [f"word{i}" for i in range(500)]
