@@ -6,11 +6,16 @@ import gc
 import os
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Bytes of text that are looked at together; only a single longer text goes over it.
 SLICE_BYTES = 2 << 20
 
@@ -104,16 +109,29 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: The White_Space property of Unicode.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_kinds: np.ndarray | None = None
+_UNICODE = 0x110000
+
+
+def _kinds_of(library: Tokenizer) -> np.ndarray:
+    """The kind of every code point as the library's pre-tokeniser sees it; its Unicode may be newer than Python's.
+
+    It splits the code points in order where kinds change, and the first of each piece is tried behind a letter and a mark.
+    """
+    split = library.pre_tokenizer.pre_tokenize_str
+    kinds, spaces = np.full(_UNICODE, _OTHER, np.uint8), set(WHITE_SPACE)
+    for low in range(0, _UNICODE, 0x10000):
+        own = [c for c in range(low, low + 0x10000) if c not in spaces and not 0xD800 <= c < 0xE000]
+        for _, (i, j) in split("".join(map(chr, own))):
+            first = chr(own[i])
+            kinds[own[i:j]] = _LETTER if len(split("a" + first)) == 1 else _OTHER if len(split("!" + first)) == 1 else _NUMBER
+    kinds[WHITE_SPACE] = _SPACE
+    return kinds
 
 
-def _kind_of() -> np.ndarray:
-    global _kinds
-    if _kinds is None:
-        most = 0x32000  # nothing but marks, tags and private use lies beyond
-        _kinds = np.array([{"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(most + 1)], np.uint8)
-        _kinds[WHITE_SPACE] = _SPACE
-    return _kinds
+@cache
+def _unassigned() -> np.ndarray:
+    """Whether Python knows nothing about a code point, neither its small letter nor its composition."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(_UNICODE)])
 
 
 class _Table:
@@ -173,14 +191,13 @@ class Tokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.spaced, self.table = spaced, _Table()
+        self.spaced, self.table, self.kinds = spaced, _Table(), _kinds_of(self.library)
         if self.library.get_vocab_size() > 65_536:
             raise ValueError("ids are kept as unsigned 16-bit integers")
 
     def _split(self, cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pre-tokens of all rows."""
-        n, kinds = len(cps), _kind_of()
-        kind = kinds[np.minimum(cps, len(kinds) - 1)]
+        n, kind = len(cps), self.kinds[cps]
         head = np.zeros(n + 1, bool)
         head[bounds] = True
         cut = head.copy()
@@ -231,11 +248,19 @@ class Tokens:
             entry = self.table.find(h)
         return entry
 
+    @staticmethod
+    def _beyond(texts: list[str]) -> set[int]:
+        """The texts with code points that are unassigned in Python."""
+        cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.flatnonzero(_unassigned()[cps])
+        return set((np.searchsorted(np.cumsum([len(t) for t in texts]), at, side="right")).tolist()) if len(at) else set()
+
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unsigned 16-bit ids of every text; null counts as empty.  A part of the tokens is looked at together."""
         own = [t or "" for t in texts]
         if not self.spaced:
-            own = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in own]
+            new = self._beyond(own)
+            own = [self.library.normalizer.normalize_str(t) if i in new else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for i, t in enumerate(own)]
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64)
         text = "".join(own)
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)

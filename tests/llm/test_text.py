@@ -27,6 +27,17 @@ def test_tokens_equal_the_library(byte_bpe, word_bpe, spaced):
     assert [x.tolist() for x in batched] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("spaced", [True, False])
+def test_every_code_point_splits_as_the_library_does(byte_bpe, word_bpe, spaced):
+    t = Tokens(byte_bpe if spaced else word_bpe, spaced)
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e0077\U000e006c\U000e0073\U000e007f"
+    texts = [flag, f"abc{flag}def", "abc\U000e0100def", "\u845b\U000e0100\u845b", "ab\U000f0000cd", "\U00032000\U000323b0a"]
+    texts += [f"ab{chr(c)}cd {chr(c)}{chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33500 or 0xE0000 <= c < 0xE1000 or c % 97 == 0)]
+    for i in range(0, len(texts), 10_000):
+        part = texts[i : i + 10_000]
+        assert [x.tolist() for x in t.batch(part)] == [e.ids for e in t.library.encode_batch(part, add_special_tokens=False)]
+
+
 def test_token_table_starts_anew(byte_bpe):
     from loomdex.llm.text import _Table
 
