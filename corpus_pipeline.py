@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdex.llm import mixing, ngram_join, packing, quality, toxicity
 from loomdex.llm.files import passing
 from loomdex.llm.text import vocabulary
+from loomdex.plans.lineage import cut
 from loomdex.plans.shipping import shipped
 
 TOXIC_FROM, GOOD_FROM = 0.7, 0.5
@@ -40,13 +41,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near-duplicates: five-word shingles, Jaccard similarity of 0.8."""
-    joined = ngram_join.jaccard_join(docs, k=5, num=80, den=100)
-    later = joined.filter("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    kept = docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
-    if joined.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    """The first document of each class of near-duplicates: five-word shingles, Jaccard similarity of 0.8.
+
+    Each row is judged by its own text, whatever its id: rows with another text under a repeated id, or without an id,
+    are documents of their own.  First is the smallest id (none comes last), then the smallest SHA-256 of the text.
+    Texts without words have no near-duplicates; of rows equal in id and text one stays.
+    """
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).count()
+    if ids.filter("id IS NULL OR count > 1").isEmpty():
+        later = ngram_join.jaccard_join(docs, k=5, num=80, den=100).filter("component_id <> doc_id").select(F.col("doc_id").alias("_later"))
+        return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    # numbers in the order of the rule stand for the ids; written once, as they depend on the partitions
+    ordered = docs.withColumn("_digest", F.sha2(F.col("text").cast("string"), 256)).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "_digest")
+    rows = cut(ordered.withColumn("_row", F.monotonically_increasing_id()))
+    joined = ngram_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    later = joined.filter("component_id <> doc_id").select(F.col("doc_id").alias("_later"))
+    kept = rows.join(later, F.col("_row") == F.col("_later"), "left_anti")
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_digest"]).union(kept.filter("doc_id IS NULL")).select(*_own(docs))
 
 
 @shipped

@@ -42,3 +42,12 @@ def test_toxic_and_bad_documents_go(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r["doc_id"] for r in pipeline.keep_good(spark, pipeline.drop_toxic(spark, docs, sf), sf).select("doc_id").collect()}
     assert len({i for i, q, t in labels if q and not t} - kept) < 8
+
+
+def test_rows_are_judged_by_their_text_not_their_id(spark, tmp_path):
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (2, words("b")), (3, words("c")), (None, words("c")), (None, words("d")), (None, words("d")), (None, words("e")), (4, ""), (4, ""), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()), key=str)
+    want = [(1, words("a")), (1, words("b")), (3, words("c")), (None, words("d")), (None, words("e")), (4, ""), (5, None), (None, "")]
+    assert got == sorted(want, key=str)
