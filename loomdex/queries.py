@@ -441,8 +441,7 @@ SELECT CAST(doc_id AS VARCHAR) AS path, CAST(n AS INTEGER) AS line, rule, severi
 )
 def security_rules(spark: SparkSession, sf: str) -> DataFrame:
     d = Tables(spark, sf).documents.select(F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"))
-    out = quality.security_scan(d).filter(F.col("rule").isin("eval_usage", "exec_usage", "pickle_load", "md5_usage", "hardcoded_password"))
-    return out.select("path", "line", "rule", "severity")
+    return quality.security_scan(d).select("path", "line", "rule", "severity")
 
 
 @query(

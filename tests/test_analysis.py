@@ -227,3 +227,17 @@ def test_manifests(spark):
     f = spark.createDataFrame([("requirements.txt", "a==1.0\n# c\nb[x]>=2 # d\n"), ("x/package.json", '{"dependencies": {"l": "^3.1"}}'), ("go.mod", "module m\nrequire github.com/a/b v1.2.3\n"), ("Cargo.toml", '[dependencies]\ns = "1"\nt = {version = "2"}\n'), ("pyproject.toml", "broken [")], "path string, content string")
     assert {(r["manager"], r["name"], r["version"]) for r in manifests.dependencies(f).collect()} == {("pip", "a", "1.0"), ("pip", "b", "2"), ("npm", "l", "3.1"), ("go", "github.com/a/b", "v1.2.3"), ("cargo", "s", "1"), ("cargo", "t", "2")}
     assert manifests.path_aliases('{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["./app/*"]}, }}') == {"@/*": ["src/app/*"]}
+
+
+def test_security_rules_query_returns_all_ten_rules(spark, tmp_path):
+    import re
+
+    from loomdex.queries import QUERIES
+
+    lines = ["eval(x)", "exec (x)", "subprocess.run(cmd, shell=True)", "pickle.loads(b)", "yaml.load(f)", "cursor.execute(f'SELECT {x}')", "password = 'hunter22'", "hashlib.md5(b)", "  assert x", "except:", "fine"]
+    texts = {1: "\n".join(lines), 2: "nothing", 3: "\n".join(reversed(lines)), 4: "subprocess.run(cmd,\n  shell=True)"}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = [(r["path"], r["line"], r["rule"], r["severity"]) for r in QUERIES["security_rules"](spark, f"file://{tmp_path}").collect()]
+    want = {(str(i), t[: m.start() + len(m[0]) - len(m[0].lstrip())].count("\n") + 1, rule, severity) for i, t in texts.items() for rule, severity, pattern, _ in quality.SECURITY_RULES for m in re.finditer(pattern, t)}
+    assert {w[2] for w in want} == {r[0] for r in quality.SECURITY_RULES} and len(quality.SECURITY_RULES) == 10
+    assert sorted(got) == sorted(want)
