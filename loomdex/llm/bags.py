@@ -8,7 +8,7 @@ import pyarrow as pa
 from loomdex.llm.text import _IS_SPACE, _OF_BYTE, mix, run_hashes, text_bytes
 
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
-STEMS = (4, 5, 6, 8)
+STEMS = (3, 4, 5, 6)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 #: Bytes at either end of a word that don't belong to it.

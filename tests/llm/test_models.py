@@ -107,6 +107,79 @@ def test_toxicity_sends_no_text_to_the_fit(spark, monkeypatch):
     assert seen and not any("text" in c for c in seen)
 
 
+def plain_score(text, model, known):
+    """Noisy-or of a text's sentences from words and strings; ``known`` maps a feature's string to its weight."""
+    sentences = [p for p in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text)] or [""]
+    none = 1.0
+    for p in sentences:
+        words = [w for w in re.split(r"[\x20\x09-\x0D\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", p.lower()) if w]
+        uses = {}
+        for w in words:
+            for feature in [w, *(f"{w[:k]}*" for k in bags.STEMS if len(w) > k)]:
+                uses[feature] = uses.get(feature, 0) + 1
+        z = model["bias"] - model["size"] * math.log(len(sentences)) + sum(known.get(f, 0.0) * min(n, toxicity.MOST_COUNT) for f, n in uses.items())
+        none *= 1 - 1 / (1 + math.exp(-z))
+    q = min(max(1 - none, 1e-12), 1 - 1e-12)
+    return 1 / (1 + math.exp(-(math.log(q / (1 - q)) + model["shift"])))
+
+
+def test_score_is_the_noisy_or_of_plain_code(spark):
+    hashes = bags.sentence_features(pa.array(["rotter", "scoundrel", "w1"]))  # words, then beginnings
+    names = ["rotter", "scoundrel", "w1", "rot*", "sco*", "rott*", "scou*", "rotte*", "scoun*", "scound*"]
+    weight = dict(zip(names, np.linspace(-1, 4, len(names)).tolist(), strict=True))
+    order = np.argsort(hashes[3])
+    model = {"hashes": hashes[3][order].view(np.int64).tolist(), "weights": [list(weight.values())[i] for i in order], "bias": -3.0, "size": 0.6, "shift": 0.8}
+    r = random.Random(3)
+    texts = ["", "rotter", "Rotter! rotten rot. w1 w1 w1 w1 w1\nscoundrels, scoundrel"] + ["".join(r.choice([" ", " ", ". ", "\n"]) + r.choice(["rotter", "rotting", "scoundrels", "scout", "w1", "w12", "x"]) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(df, model).collect()}
+    assert all(math.isclose(got[i], plain_score(t, model, weight), rel_tol=1e-9, abs_tol=1e-12) for i, t in enumerate(texts))
+
+
+def test_slope_is_the_gradient():
+    r = np.random.default_rng(4)
+    n = r.integers(3, 9, 30)
+    doc = np.sort(np.concatenate([np.arange(30)] + [r.integers(0, 30, 20)]))
+    s, f, c = r.integers(0, len(doc), 200), r.integers(0, 7, 200), r.integers(1, 4, 200).astype(float)
+    y, theta = r.integers(0, 2, 30).astype(float), np.concatenate([r.normal(size=7), [-2.0, 0.4]])
+
+    def loss(t):
+        none = toxicity.forward(t, s, f, c, doc, n)[3]
+        return float(np.sum((1 - y) * none - y * np.log(-np.expm1(-none))))
+
+    near = [(loss(theta + d) - loss(theta - d)) / 2e-6 for d in 1e-6 * np.eye(9)]
+    assert np.allclose(toxicity.slope(theta, y, s, f, c, doc, n), near, rtol=1e-4, atol=1e-6)
+
+
+def test_threshold_against_all_cuts():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        q = np.round(r.random(40), 1) + 0.05
+        y = (q + r.normal(0, 0.3, 40) > 0.6).astype(float)
+        if y.any():
+            at = toxicity.threshold(y, q)
+            f1 = lambda t: 2 * y[q > t].sum() / ((q > t).sum() + y.sum())
+            assert math.isclose(f1(at), max(f1(t) for t in sorted(set(q))[:-1]))
+    assert toxicity.threshold(np.array([1.0, 0.0]), np.array([0.5, 0.5])) is None
+
+
+def test_toxicity_query_finds_held_out_documents(spark):
+    """Recall and precision on rows that learning never saw, over the small tables; some labels are noise without any sign."""
+    import os
+
+    from loomdex.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = QUERIES["op8_toxicity"](spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    caught = sum(r["predicted"] for r in rows if r["toxic"])
+    assert caught / sum(r["toxic"] for r in rows) >= 0.85
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.03 * len(rows)
+    assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+
+
 def quality_rows(n):
     r = random.Random(2)
     words = [f"word{i}" for i in range(500)]
