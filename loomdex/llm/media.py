@@ -33,6 +33,8 @@ ROW = WIDTH * CHANNELS
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk.
 HEADER_BYTES = 33
+#: Columns of a member's place and of its image header.
+PLACE, HEADER = ("shard", "offset", "length"), ("width", "height", "bit_depth", "colour_type")
 MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -171,18 +173,20 @@ def _mapped(members: DataFrame, folder: str, most: int | None, fields: list[tupl
 def metadata(members: DataFrame, folder: str) -> DataFrame:
     """``places`` rows with width, height, bit depth and colour type, from ``HEADER_BYTES`` of each member."""
     fields = [("digest", pa.string(), "string"), ("shard", pa.string(), "string"), ("offset", pa.int64(), "long"), ("length", pa.int64(), "long")]
-    fields += [(c, pa.int32(), "int") for c in ("width", "height", "bit_depth", "colour_type")]
+    fields += [(c, pa.int32(), "int") for c in HEADER]
 
     def fill(row: dict, head: bytes) -> dict:
-        return row | dict(zip(("width", "height", "bit_depth", "colour_type"), png_header(head), strict=True))
+        return row | dict(zip(HEADER, png_header(head), strict=True))
 
     return _mapped(members, folder, HEADER_BYTES, fields, fill)
 
 
 def contents(members: DataFrame, folder: str) -> DataFrame:
-    """Per stored member what its read-back bytes hold: digests, checksums and the feature."""
+    """Per stored member what its read-back bytes hold: digests, checksums and the feature; place and, where given, header columns stay."""
+    given = [c for c in HEADER if c in members.columns]
     fields = [("digest", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long")]
     fields += [("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string")]
+    fields += [("shard", pa.string(), "string"), ("offset", pa.int64(), "long"), ("length", pa.int64(), "long"), *((c, pa.int32(), "int") for c in given)]
 
     def fill(row: dict, media: bytes) -> dict:
         payload = decode_png(media)
@@ -194,6 +198,7 @@ def contents(members: DataFrame, folder: str) -> DataFrame:
             "media_bytes": len(media),
             "media_sha256": hashlib.sha256(media).hexdigest(),
             "feature": feature_of(payload),
+            **{c: row[c] for c in (*PLACE, *given)},
         }
 
-    return _mapped(members.select("digest", "shard", "offset", "length"), folder, None, fields, fill)
+    return _mapped(members.select("digest", *PLACE, *given), folder, None, fields, fill)

@@ -1,8 +1,16 @@
 """Mixing sources to target weights by whole-document repetition.
 
+A document is emitted floor(rate) times, rate being its source's target over its size, and once more by a hash-seeded
+Bernoulli draw with the rate's fraction as probability.  The draws of a source depend on one another, so that its taken words
+come near the target: documents are dealt by hash into cells of about ``CELL``, and inside a cell, from the largest down,
+what the draws so far took too little or too much is added to the next document's chance, as words over its size.
+Until that passes 0 or 1 the correction has mean 0, so a document's chance is the fraction; where it does, one document's chance may
+be off by some hundredths, a source's words are not.  A cell misses its part by less than its smallest documents.
+
 Defined cases: null text has size 0; null source is a source of its own, the last; a source of size 0
-has target 0 and its documents are taken once; an empty table gives no rows; repeated rows draw alike,
-as the seed is their doc_id.  Extra columns pass through ``mix`` untouched.
+has target 0 and its documents are taken once; an empty table gives no rows; rows of equal size are drawn in order of their draws, then
+ids, then a hash of the text, so reruns agree; repeated rows draw one after the other; a very long text counts as any other;
+extra columns pass through ``mix`` untouched, new names that clash get a suffix from ``fresh``.
 """
 
 from __future__ import annotations
@@ -11,9 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.names import fresh
+from loomdex.plans.lineage import cut
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
+#: Documents of a source that are drawn together.
+CELL = 64
+#: Sources whose table is small enough to be sent to every task.
+MOST_BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,13 +35,13 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``(source, source_size, target)`` of ``sizes(source, size)``, one row a source.
+    """``(source, documents, source_size, target)`` of ``sizes(source, size)``, one row a source.
 
     The sources share ``share`` times all sizes by weight, none above ``most`` times its own size.  Filling
     from the least cap per unit of weight up, the level at which the rest is dealt follows from sums over
     the sources that are full before it.
     """
-    own = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
+    own = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = own.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double"))
     ranked = ranked.withColumn("cap", most * F.col("source_size"))
@@ -39,35 +52,54 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     # the first source that its share at this level doesn't fill sets the level for all that follow
     stepped = ranked.withColumn("level", level)
     final = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"]
-    return stepped.select("source", "source_size", F.when(final.isNull(), F.col("cap")).otherwise(F.least("cap", final * F.col("w"))).alias("target"))
+    return stepped.select("source", "documents", "source_size", F.when(final.isNull(), F.col("cap")).otherwise(F.least("cap", final * F.col("w"))).alias("target"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the first 52 bits of an md5 of the id and the seed, which SQL elsewhere can repeat; null ids draw alike."""
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"#{seed}"))
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+def draws(doc_id: Column, seed: int) -> tuple[Column, Column]:
+    """Two numbers in [0, 1) from 52 bits each of an md5 of the id and the seed, which SQL elsewhere can repeat; null ids draw alike."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"#{seed}")))
+    first, second = (F.conv(F.substring(digest, at, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52)) for at in (1, 14))
+    return first, second
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, words: Column | None = None) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies`` appended (names that clash get a suffix from ``fresh``).
 
-    ``copies`` is floor(rate) plus one with the rate's fraction as probability, rate being target over source
-    size.  Sizes are summed per source by partial aggregation; the per-source table joins back by
-    broadcast only if Spark finds it small, else by a sort-merge join whose hot keys AQE splits.
+    ``words`` is the size, by default the number of words of ``text``.  Sizes are summed per source by partial aggregation; the
+    per-source table is counted and sent to every task up to ``MOST_BROADCAST`` rows, else joined by source.  The
+    documents are shuffled once, by source and cell, so that a source with a third of all rows is spread as any other.
     """
-    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source")
-    sized = docs.withColumn(names["size"], word_count(F.col("text")))
-    per = targets(sized.select("source", F.col(names["size"]).alias("size")), share, most, weights)
-    per = per.select(F.col("source").alias(names["mix_source"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
-    joined = sized.join(per, sized["source"].eqNullSafe(per[names["mix_source"]])).drop(names["mix_source"])
-    rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(1.0))
-    whole = F.floor(rate)
-    return joined.withColumn(names["copies"], whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0))
+    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_cell", "mix_draw", "mix_taken", "mix_text")
+    size, rate, cell, draw, taken = (F.col(names[n]) for n in ("size", "mix_rate", "mix_cell", "mix_draw", "mix_taken"))
+    sized = docs.withColumn(names["size"], (word_count(F.col("text")) if words is None else words).cast("long"))
+    per = cut(targets(sized.select("source", size.alias("size")), share, most, weights))
+    per = per.select(F.col("source").alias(names["mix_source"]), "documents", F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
+    per = per.withColumn(names["mix_rate"], F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(1.0)))
+    if per.count() <= MOST_BROADCAST:
+        per = F.broadcast(per)
+    own = per.withColumnRenamed("documents", names["mix_cell"])
+    first, second = draws(F.col("doc_id"), seed)
+    joined = sized.join(own, sized["source"].eqNullSafe(own[names["mix_source"]]))
+    joined = joined.withColumns({names["mix_draw"]: first, names["mix_cell"]: F.floor(second * F.greatest(F.lit(1), F.floor(cell / CELL)))})
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    w = Window.partitionBy(names["mix_source"], names["mix_cell"]).orderBy(size.desc(), draw, F.col("doc_id").asc_nulls_last(), text).rowsBetween(Window.unboundedPreceding, 0)
+    fraction = rate - F.floor(rate)
+
+    def step(a: Column, x: Column) -> Column:
+        due = a["missed"] + fraction * x["size"]
+        take = F.when(F.when(x["size"] > 0, x["draw"] * x["size"] < due).otherwise(x["draw"] < fraction), 1.0).otherwise(0.0)
+        return F.struct((due - take * x["size"]).alias("missed"), take.alias("take"))
+
+    start = F.struct(F.lit(0.0).alias("missed"), F.lit(0.0).alias("take"))
+    before = F.collect_list(F.struct(size.cast("double").alias("size"), draw.alias("draw"))).over(w)
+    drawn = joined.withColumn(names["mix_taken"], before).withColumn(names["mix_taken"], F.aggregate(taken, start, step)["take"])
+    out = drawn.withColumn(names["copies"], F.floor(rate) + taken.cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[names[n] for n in ("size", "source_size", "target", "copies")])
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row ``copies`` times."""
-    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source")
+    names = fresh(docs.columns, "size", "source_size", "target", "copies")
     out = mix(docs, **options)
     n = F.col(names["copies"]).cast("int")
     return out.filter(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])

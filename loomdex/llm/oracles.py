@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from loomdex.llm.license_scan import TEMPLATES
+from loomdex.llm.url_reputation import SUFFIXES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
  FROM r WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
-t AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM l, f),
-j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate,
- CAST(('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#0'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j"""
+t AS (SELECT source, source_size, n, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM l, f),
+j AS (SELECT doc_id, size, d.source, source_size, n, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#0') AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, rate - floor(rate) AS f, CAST(('0x' || substring(h, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u, CAST(floor(CAST(('0x' || substring(h, 14, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * greatest(1, n // 64)) AS BIGINT) AS cell FROM j),
+c AS (SELECT *, list({{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': CAST(size AS DOUBLE), 'u': u, 'f': f}}) OVER (PARTITION BY source, cell ORDER BY size DESC, u, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS own FROM u),
+r2 AS (SELECT *, list_reduce(own, lambda a, x: {{'missed': a.missed + x.f * x.size - CASE WHEN CASE WHEN x.size > 0 THEN x.u * x.size < a.missed + x.f * x.size ELSE x.u < x.f END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * x.size,
+ 'take': CASE WHEN CASE WHEN x.size > 0 THEN x.u * x.size < a.missed + x.f * x.size ELSE x.u < x.f END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 'size': x.size, 'u': x.u, 'f': x.f}}, {{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': 0.0::DOUBLE, 'u': 0.0::DOUBLE, 'f': 0.0::DOUBLE}}).take AS take FROM c)
+SELECT doc_id, size, source_size, target, CAST((floor(rate) + take) * size AS BIGINT) AS taken FROM r2"""
 
 
 def _level(name: str, key: str, parent: str, groups: str, parents: str) -> str:
@@ -30,21 +34,29 @@ _OUT = "CAST(n AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS bad"
 URLS = f"""WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) GROUP BY 1),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, 0 AS top FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+g AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two, regexp_matches(host, '^[0-9.]+$') AS address, 0 AS top FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+h AS (SELECT host, n, bad, top, CASE WHEN address THEN host WHEN two IN {SUFFIXES} THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
+ CASE WHEN address THEN '' WHEN two IN {SUFFIXES} THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM g),
 root AS (SELECT top, 1.0 + sum(bad) AS a, 1.0 + sum(n) - sum(bad) AS b FROM h GROUP BY top),
 {_level("suffixes", "suffix", "top", f"SELECT suffix, top, {_SUMS} FROM h GROUP BY 1, 2", "root")},
 {_level("domains", "domain", "suffix", f"SELECT domain, suffix, {_SUMS} FROM h GROUP BY 1, 2", "suffixes")},
 {_level("hosts", "host", "domain", f"SELECT host, domain, {_OUT} FROM h", "domains")},
 rules(rule, host, path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 best AS (SELECT page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict FROM p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path) GROUP BY 1)
-SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > (SELECT a / (a + b) FROM root) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN hosts USING (host) LEFT JOIN best USING (page_id)"""
 
 _VALUES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 _TERMS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
 _SPEAKS = "(?i)licen[sc]e|copyright|public domain|permission is hereby|SPDX"
-LICENSES = f"""WITH f AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR) || '.txt') AS path, coalesce(length(text), 0) AS size, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPEAKS}')) AS mine FROM documents),
-l AS (SELECT line, count(*) AS uses FROM (SELECT unnest(mine) AS line FROM f) GROUP BY 1),
+_COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--)"
+# no path of these documents is named as a licence file, so whole files and paragraphs have no part here
+LICENSES = f"""WITH t AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR) || '.txt') AS path, coalesce(length(text), 0) AS size, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+g AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '{_SPEAKS}')) AS mine FROM t),
+f AS (SELECT doc_id, path, size, mine, CASE WHEN len(list_filter(mine, lambda x: regexp_matches(x, '{_COMMENT}'))) > 0 THEN list_filter(string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '{_COMMENT}') THEN x ELSE chr(1) END), chr(10)), chr(1)),
+ lambda b: regexp_matches(b, '{_SPEAKS}') AND contains(trim(b, chr(10)), chr(10))) ELSE [] END AS blocks FROM g),
+e AS (SELECT doc_id, path, size, 0 AS kind, unnest(mine) AS line FROM f UNION ALL SELECT doc_id, path, size, 1, unnest(blocks) FROM f),
+l AS (SELECT line, count(*) AS uses FROM e GROUP BY 1),
 m(template, license, line) AS (VALUES {_VALUES}),
 lt AS (SELECT line, uses, term, count(*) AS tf FROM (SELECT line, uses, unnest({_TERMS.format("line")}) AS term FROM l) GROUP BY ALL),
 mt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({_TERMS.format("line")}) AS term FROM m) GROUP BY ALL),
@@ -53,8 +65,8 @@ a AS (SELECT line, term, tf * idf AS w FROM lt JOIN idf USING (term)), b AS (SEL
 c AS (SELECT a.line, b.license, round(sum(w * v) / (any_value(na.x) * any_value(nb.x)), 9) AS score FROM a JOIN b USING (term) JOIN (SELECT line, sqrt(sum(w ** 2)) AS x FROM a GROUP BY 1) na ON na.line = a.line
  JOIN (SELECT template, sqrt(sum(v ** 2)) AS x FROM b GROUP BY 1) nb ON nb.template = b.template GROUP BY a.line, b.template, b.license),
 k AS (SELECT line, license, score FROM c QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
-s AS (SELECT f.doc_id, f.path, f.size, u.line, k.license, k.score FROM f, unnest(f.mine) u(line) JOIN k ON k.line = u.line WHERE k.score >= 0.6),
-own AS (SELECT doc_id, any_value(path) AS path, any_value(size) AS size, sum(length(line)) AS stated, first(license ORDER BY score DESC, license) AS own, max(score) AS own_score FROM s GROUP BY 1),
+s AS (SELECT e.doc_id, e.path, e.size, e.kind, e.line, k.license, k.score FROM e JOIN k ON k.line = e.line WHERE k.score >= 0.6),
+own AS (SELECT doc_id, any_value(path) AS path, any_value(size) AS size, sum(CASE WHEN kind = 0 THEN length(line) ELSE 0 END) AS stated, first(license ORDER BY score DESC, license) AS own, max(score) AS own_score FROM s GROUP BY 1),
 r AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, first(own ORDER BY own_score DESC, own) AS dir_license, max(own_score) AS dir_score FROM own WHERE stated >= 0.8 * size GROUP BY 1),
 up AS (SELECT f.doc_id, d AS directory, unnest(range(len(p))) AS steps, unnest(p) AS dir FROM (SELECT doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d, list_transform(range(len(string_split(path, '/')) - 1, -1, -1), lambda n: array_to_string(list_slice(string_split(path, '/'), 1, n), '/')) AS p FROM f) f),
 n AS (SELECT up.doc_id, r.directory, dir_license, dir_score FROM up JOIN r ON r.directory = up.dir QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY steps) = 1)

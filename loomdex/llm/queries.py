@@ -11,6 +11,7 @@ from loomdex.llm import license_scan, media, mixing, ngram_join, packing, qualit
 from loomdex.llm.files import kept
 from loomdex.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from loomdex.llm.text import vocabulary
+from loomdex.plans.lineage import cut
 from loomdex.plans.shipping import shipped
 
 
@@ -21,8 +22,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(folder: str) -> DataFrame:
         manifest = media.write(_table(spark, sf_dir, "documents"), folder)
+        # the images' headers fill the metadata by range reads, then the whole members are read
         read = media.contents(media.metadata(media.places(manifest), folder), folder)
-        columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", *media.PLACE, *media.HEADER)
         return manifest.select("doc_id", "n_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", *columns)
 
     return kept(spark, "media", make)
@@ -79,13 +81,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # the texts are counted once; what is mixed are short rows
+    sized = cut(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
+    mixed = mixing.mix(sized, words=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    # a page's path ends with the id of the document that was made into it
+    # the first part of digits in a page's path is the id of the document that was made into it
     of_doc = pages.select("page_id", F.regexp_extract(url_reputation.path_of(F.col("url")), r"/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
     bad = _table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
     judged = url_reputation.judge(pages, of_doc.join(bad, "doc_id").select("page_id", "bad"))

@@ -3,14 +3,17 @@
 Labelled page outcomes (1 is bad) are counted per host, registered domain and suffix.  The bad share of a
 group is a beta posterior whose prior has its parent's posterior mean and a strength estimated from how much
 the groups of that level differ; hosts without labels take their domain's, and so on up to all pages.
-A page is blocked when even the lower posterior bound of its host's bad share passes ``threshold``.
+A page is blocked when even the lower posterior bound of its host's bad share passes ``ratio`` times the bad share of all
+pages: the host is surely worse than the pages at large, whatever their level.  Hosts that don't differ are all allowed.
 
 Rules are ``host/path`` prefixes: one fits its host and all subdomains if the page's path starts with its
 path, and the longest wins over the method.
 
-Defined cases: a null url, or one without ``://``, has empty host and path, which no rule fits, and
-the verdict of all pages together; without labelled rows the bad share is the prior's 1/2 with strength
-2; repeated rows are judged alike; labels of unknown pages count nowhere.  An empty table gives no rows.
+Defined cases: a null url, or one without ``://``, has empty host and path, which no rule fits, and counts as a host of
+its own; without labelled rows the bad share is the prior's 1/2 with strength 2 and nothing is blocked by the method; of a page with
+several outcomes the worst counts; repeated rows are judged alike, and a labelled one counts as often as it stands there; labels of
+unknown pages count nowhere; of fitting rules of equal length the one last in order of text wins; hosts of digits and dots are their own
+domain; very long urls are matched like others; extra columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +25,16 @@ from loomdex.plans.lineage import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Suffixes of two labels under which names are registered.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "co.jp", "ac.jp", "go.jp", "ne.jp", "or.jp", "co.nz", "net.nz", "org.nz",
+    "co.za", "org.za", "com.br", "net.br", "org.br", "com.cn", "net.cn", "org.cn", "com.tr", "com.mx", "com.ar", "com.tw", "com.hk", "com.sg", "co.in", "net.in", "org.in", "co.kr", "or.kr", "co.il", "com.ua", "com.pl",
+)
 #: Prior pseudo-counts of the root, and the limits of an estimated strength.
 ROOT = (1.0, 1.0)
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1_000.0
 Z = 1.645
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -36,13 +45,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column) -> Column:
+    """The last label, or the last two where names are registered below those; an address has none."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(host.rlike(r"^[0-9.]+$"), "").when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column) -> Column:
+    """The registered domain: the suffix and one label more; an address itself."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _shrunk(groups: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
@@ -63,9 +75,9 @@ def _shrunk(groups: DataFrame, parents: DataFrame, key: str, parent: str) -> Dat
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``(host, n, bad, a, b, mean, lower, upper)`` for every host of ``pages(page_id, host)``; ``outcomes(page_id, bad)``.
+    """``(host, n, bad, a, b, mean, lower, upper, base)`` for every host of ``pages(page_id, host)``; ``outcomes(page_id, bad)``.
 
-    Counts are partial aggregates, so one host with a third of the pages is combined before its shuffle.
+    ``base`` is the bad share of all pages.  Counts are partial aggregates, so one host with a third of the pages is combined before its shuffle.
     They and each level's posteriors are written, so no level counts the pages again.
     """
     one = outcomes.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
@@ -81,13 +93,14 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         return hosts.groupBy(key, *up).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
     root = hosts.groupBy("top").agg((F.lit(ROOT[0]) + F.sum("bad")).alias("a"), (F.lit(ROOT[1]) + F.sum("n") - F.sum("bad")).alias("b"))
+    base = (root.select(F.col("a") / (F.col("a") + F.col("b"))).head() or (0.5,))[0]  # one number
     suffixes = _shrunk(rolled("suffix", "top"), root, "suffix", "top")
     domains = _shrunk(rolled("domain", "suffix"), suffixes, "domain", "suffix")
     judged = _shrunk(hosts.select("host", "domain", "n", "bad"), domains, "host", "domain")
     a, b = F.col("a"), F.col("b")
     mean = a / (a + b)
     spread = Z * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return hosts.select("host", "n", "bad").join(judged, "host").select("*", mean.alias("mean"), F.greatest(F.lit(0.0), mean - spread).alias("lower"), F.least(F.lit(1.0), mean + spread).alias("upper"))
+    return hosts.select("host", "n", "bad").join(judged, "host").select("*", mean.alias("mean"), F.greatest(F.lit(0.0), mean - spread).alias("lower"), F.least(F.lit(1.0), mean + spread).alias("upper"), F.lit(base).alias("base"))
 
 
 def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -112,10 +125,13 @@ def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     return pages.withColumn("_best", best).select("*", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict")).drop("_best")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: float = 1.0) -> DataFrame:
     """``(page_id, host, path, rule, verdict, mean, lower)`` of ``pages(page_id, url)``."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = reputation(split, outcomes).select("host", "mean", "lower")
-    method = F.when(F.col("lower") > threshold, "block").otherwise("allow")
-    return ruled(split, rules).join(known, "host").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "mean", "lower")
+    known = reputation(split, outcomes).select("host", "mean", "lower", "base")
+    method = F.when(F.col("lower") > ratio * F.col("base"), "block").otherwise("allow")
+    # a host may hold a third of all pages: its rows are dealt over ``SALTS`` parts, each of which has the host's row
+    dealt = ruled(split, rules).withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(known, ["host", "_salt"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "mean", "lower")
 

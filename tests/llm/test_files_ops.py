@@ -38,6 +38,44 @@ def test_media_round_trip(messy, folder, tmp_path):
     assert {n.removesuffix(".png") for n in names} >= {r["digest"] for r in rows}
 
 
+def plain_media(data):
+    """An image's samples by its format's rules alone, and the feature by hand."""
+    import struct
+
+    at, packed, size = 8, b"", None
+    while at < len(data):
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]
+        size = struct.unpack(">IIBB", body[:10]) if kind == b"IHDR" else size
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, stride = zlib.decompress(packed), size[0] * 3 + 1
+    samples = b"".join(raw[i + 1 : i + stride] for i in range(0, len(raw), stride))
+    assert all(raw[i] == 0 for i in range(0, len(raw), stride))
+    means = [sum(samples[c::3]) / len(samples[c::3]) for c in range(3)]
+    shares = [sum(1 for x in samples if x >> 4 == b) / len(samples) for b in range(16)]
+    return samples, ",".join(str(round(1000 * x)) for x in [*means, *shares]), size
+
+
+def test_media_query(messy, spark, tmp_path, monkeypatch):
+    from loomdex.llm import queries
+
+    messy.select("doc_id", "text", "lang").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op1_media_shards"](spark, f"file://{tmp_path}").collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in messy.select("doc_id", "text").collect()}
+    assert len(rows) == messy.count()
+    for r in rows:
+        data = texts[r["doc_id"]]
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        stored = media.encode_png(payload)
+        samples, feature, (width, height, depth, colour) = plain_media(stored)
+        assert samples == payload and r["feature"] == feature and r["media_sha256"] == r["digest"] == hashlib.sha256(stored).hexdigest()
+        assert (r["width"], r["height"], r["bit_depth"], r["colour_type"]) == (width, height, depth, colour) == (64, len(payload) // 192, 8, 2)
+        assert r["shard"].endswith(".tar") and r["offset"] >= 512 and r["length"] == r["media_bytes"] == len(stored)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
 def test_media_of_nothing(empty, folder):
     assert media.write(empty, folder).count() == 0
 

@@ -253,6 +253,68 @@ def test_mix(messy, empty, spark):
     assert all(abs(r["r"] - 1) < 0.05 for r in near)
 
 
+def plain_mix(rows, share=1.5, most=2.0, seed=0):
+    """copies by (doc_id, size): the draws of ``mix`` in plain code over ``rows(doc_id, source, size)``."""
+    import hashlib
+
+    sizes, cells, out = {}, {}, {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want = fill(sizes, share, most)
+    number = {s: sum(1 for _, t, _ in rows if t == s) for s in sizes}
+    for d, s, n in rows:
+        h = hashlib.md5(f"{'' if d is None else d}#{seed}".encode()).hexdigest()
+        u, v = (int(h[i : i + 13], 16) / 2**52 for i in (0, 13))
+        cells.setdefault((s, int(v * max(1, number[s] // mixing.CELL))), []).append((-n, u, d))
+    for (s, _), own in cells.items():
+        rate = want[s] / sizes[s] if sizes[s] else 1.0
+        f, missed = rate - math.floor(rate), 0.0
+        for n, u, d in sorted(own, key=lambda x: (x[0], x[1], x[2] is None, x[2])):
+            take = u * -n < missed + f * -n if n else u < f
+            missed += f * -n - (-n if take else 0)
+            out[d, -n] = math.floor(rate) + take
+    return out, want
+
+
+def test_draws_against_plain_code_and_near_the_target(spark):
+    r = random.Random(8)
+    rows = [(i, f"s{i % 7}" if i % 7 else None, min(20_000, int(r.paretovariate(0.8) * 20)) if i % 11 else 0) for i in range(350)] + [(1000 + i, "hot", r.randint(0, 500)) for i in range(900)]
+    df = spark.createDataFrame([(d, s, " ".join(["w"] * n)) for d, s, n in rows], "doc_id long, source string, text string").repartition(5)
+    got = mixing.mix(df).collect()
+    want, targets = plain_mix(rows)
+    assert {(x["doc_id"], x["size"]): x["copies"] for x in got} == want
+    taken = {}
+    for x in got:
+        taken[x["source"]] = taken.get(x["source"], 0) + x["copies"] * x["size"]
+    assert all(abs(taken[s] / targets[s] - 1) < 0.05 for s in taken)
+    # over many seeds a document's extra copy comes as often as the rate's fraction says
+    sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n")).persist()
+    seeds = [{x["doc_id"]: (x["copies"], x["target"] / x["source_size"]) for x in mixing.mix(sized.filter("source = 'hot'"), seed=k, words=F.col("n")).collect()} for k in range(8)]
+    share = np.mean([c - math.floor(rate) for one in seeds for c, rate in one.values()])
+    rate = next(iter(seeds[0].values()))[1]
+    assert abs(share - (rate - math.floor(rate))) < 0.03
+
+
+def test_real_licence_texts(spark):
+    t = dict(license_scan.TEXTS)
+    bsd = "Copyright (c) 2020, Jane Roe\nAll rights reserved.\n\n" + t["BSD-3-Clause"].replace(": ", ":\n\n").replace(". ", ".\n\n")
+    head = "      GNU GENERAL PUBLIC LICENSE\n         Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n      Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"
+    source = "/*\n * Foo is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * Foo is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.\n */\nint main() {}"
+    long = " ".join(f"license w{i}" for i in range(10_000))
+    rows = [
+        (1, "a/LICENSE", bsd), (2, "a/x.c", "int x;"), (3, "g/COPYING", head), (4, "g/y/y.c", "y"), (5, "h/z.c", source), (6, "i/a.py", "# SPDX-License-Identifier: MIT\nx = 1"),
+        (7, "i/b.rs", "// SPDX-License-Identifier: Apache-2.0\n"), (8, "j/LICENSE-MIT", "MIT License\n\nCopyright (c) 2021 X\n\n" + t["MIT"]), (9, "j/k.c", long), (10, "k/LICENSE", long), (11, "k/l.c", None),
+    ]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "GPL-3.0", 4: "GPL-3.0", 5: "GPL-3.0", 6: "MIT", 7: "Apache-2.0", 8: "MIT", 9: "MIT", 10: None, 11: None}
+
+
+def test_licence_ties_go_by_name(spark):
+    rows = [(1, "x/LICENSE", "SPDX-License-Identifier: MIT"), (2, "x/COPYING", "SPDX-License-Identifier: ISC"), (3, "x/y.c", ""), (4, "z.c", "# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: ISC")]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("ISC", "own"), 3: ("ISC", "inherited"), 4: ("ISC", "own")}
+
+
 def test_licenses(spark, empty, messy):
     rows = [
         (1, "a/b/c/x.py", "code\nReleased under the MIT License.\nmore code here" + " and there" * 9),
@@ -305,3 +367,89 @@ def test_reputation(spark):
     nothing = url_reputation.judge(df, outcomes.limit(0)).collect()
     assert {r["verdict"] for r in nothing} == {"allow"} and {round(r["mean"], 9) for r in nothing} == {0.5}
     assert url_reputation.judge(df.limit(0), outcomes).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("host", "domain", "suffix"),
+    [("a.b.example.org", "example.org", "org"), ("shop.example.co.uk", "example.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1", ""), ("localhost", "localhost", "localhost"), ("", "", "")],
+)
+def test_domains(spark, host, domain, suffix):
+    df = spark.createDataFrame([(host,)], "host string")
+    assert tuple(df.select(url_reputation.domain_of(F.col("host")), url_reputation.suffix_of(F.col("host"))).head()) == (domain, suffix)
+
+
+def test_reputation_query_blocks_bad_hosts(spark, tmp_path):
+    """Hosts whose documents are labelled bad more often than the pages at large are blocked, rules go before."""
+    from loomdex.llm.queries import QUERIES
+
+    hosts = ["good.net", "spam.co.uk", "deep.spam.co.uk", "mixed.net", "example.org"]
+    pages = [(i, f"http://{hosts[i % 5]}/en/{i}?q") for i in range(1000)] + [(5000, "http://other.spam.co.uk/x"), (5000, "http://other.spam.co.uk/x"), (5001, None), (5002, "http://deep.spam.co.uk/fr/")]
+    bad = {"good.net": 0.02, "spam.co.uk": 0.9, "deep.spam.co.uk": 0.95, "mixed.net": 0.3, "example.org": 0.9}
+    r = random.Random(1)
+    labels = [(i, int(r.random() > bad[hosts[i % 5]]), 0) for i in range(1000) if i % 3]
+    spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("clash")).write.parquet(f"file://{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    rows = QUERIES["op10_url_reputation"](spark, f"file://{tmp_path}").collect()
+    assert len(rows) == len(pages)
+    verdicts = {h: {x["verdict"] for x in rows if x["host"] == h and x["rule"] is None} for h in {x["host"] for x in rows}}
+    assert verdicts["good.net"] == {"allow"} and verdicts["spam.co.uk"] == verdicts["deep.spam.co.uk"] == {"block"} and verdicts["mixed.net"] == {"allow"}
+    assert verdicts["other.spam.co.uk"] == {"block"}  # by its domain alone
+    assert {x["verdict"] for x in rows if x["rule"] == "org/"} == {"allow"} and {x["verdict"] for x in rows if x["rule"] == "example.org/en/1"} == {"block"}
+
+
+def plain_sites(rows, most=quality.MOST_STRENGTH):
+    """path means in plain code of ``rows(host, path, y or None)``."""
+
+    def strength(groups):
+        over = sum(n * (g / n - mu) ** 2 - mu * (1 - mu) for n, g, mu in groups if n > 1)
+        room = sum((n - 1) * mu * (1 - mu) for n, g, mu in groups if n > 1)
+        return min(most, max(1.0, 1 / max(1e-6, min(1.0, over / room)) - 1)) if room else most
+
+    def count(key):
+        out = {}
+        for h, p, y in rows:
+            n, g = out.get(key(h, p), (0, 0))
+            out[key(h, p)] = (n + (y is not None), g + (y or 0))
+        return out
+
+    (n, g), hosts, paths = count(lambda h, p: 0)[0], count(lambda h, p: h), count(lambda h, p: (h, p))
+    mu = (g + 1) / (n + 2)
+    k = strength([(n, g, mu) for n, g in hosts.values()])
+    host_mean = {h: (g + k * mu) / (n + k) for h, (n, g) in hosts.items()}
+    kp = strength([(n, g, host_mean[h]) for (h, _), (n, g) in paths.items()])
+    return {(h, p): ((g + kp * host_mean[h]) / (n + kp), host_mean[h], mu) for (h, p), (n, g) in paths.items()}
+
+
+def test_posteriors_against_plain_code(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(500):
+        h, p = r.choice(["a", "b", "c", None]), r.choice(["x", "y", None])
+        rows.append((i, "some words", h, p, None if r.random() < 0.3 else int(r.random() < {"a": 0.9, "b": 0.4, "c": 0.6, None: 0.5}[h])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, y int")
+    want = plain_sites([(h, p, y) for _, _, h, p, y in rows])
+    model = {"share": 0.4}
+    got = quality.classify(df, df.select("doc_id", "y"), ("doc_id", "host", "path"), model=model).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        path_mean, host_mean, mu = want[x["host"], x["path"]]
+        logit = lambda q: math.log(q / (1 - q))
+        score = 1 / (1 + math.exp(-(logit(0.4) + logit(path_mean) - logit(mu))))
+        assert math.isclose(x["path_mean"], path_mean) and math.isclose(x["host_mean"], host_mean) and math.isclose(x["score"], score) and x["keep"] == (score >= 0.5)
+
+
+def test_quality_query_on_unseen_documents(spark, tmp_path):
+    """Accuracy of op6 on labels that the fit didn't get: a third is taken out of the labels' table."""
+    import os
+
+    from loomdex.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = toxicity.fold(F.col("doc_id")) == 1
+    labels.filter(~held).write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = QUERIES["op6_quality_classifier"](spark, f"file://{tmp_path}").join(labels.filter(held), "doc_id").collect()
+    assert np.mean([r["keep"] == bool(r["quality"]) for r in rows]) >= 0.9
