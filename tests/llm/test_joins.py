@@ -123,3 +123,43 @@ def test_top_k_of_nothing_and_short_vectors(spark, tmp_path):
     v = va_search.usable(spark.createDataFrame([(0, [1.0, 1.0, 5.0]), (1, [2.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<float>"), 1.0)
     got = va_search.top_k(v, v.filter("vec_id = 0"), f"file://{tmp_path}/b", 5).orderBy("rank").collect()
     assert [(x["vec_id"], x["score"]) for x in got] == [(2, 3), (2, 3), (1, 2)]
+
+
+def test_top_k_query_ties_repeats_and_large_components(spark, tmp_path, monkeypatch):
+    """The query itself against brute force: ties, repeated ids, a hot vector, components near and beyond 2 ** 53, clashing columns."""
+    import math
+
+    from loomdex.llm.queries import QUERIES
+
+    monkeypatch.setattr(va_search, "FILE_ROWS", 40)
+    r = random.Random(3)
+    data = [(i, [r.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for i in range(160)] + [(i, [1.0, 0.5, 0.0, 0.0]) for i in range(160, 260)]
+    data += [(300, [2.0**46, 1.0, 2.0**46 + 0.125, 0.0]), (301, [2.0**46, -1.0, 2.0**46, 0.0]), (302, [-(2.0**50), 2.0**49, 1.0, 3.0]), (50, [0.25, 0.0, 0.0, 1.0]), (7, [0.25, 0.0, 0.0, 1.0])]
+    rows = [(i, v, 0, 1, "x") for i, v in [*data, (400, None)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank int, v string").repartition(3).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = {}
+    for x in QUERIES["op7_exact_top_k"](spark, f"file://{tmp_path}").orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    whole = [(i, [math.floor(256 * x) for x in e]) for i, e in data]
+    asked = {}
+    for i, v in whole:
+        if i % 50 == 0:
+            asked[i] = min(asked.get(i, v), v)
+    # 64 bits hold no more
+    want = {q: sorted(((max(-(2**63), min(2**63 - 1, s)), v) for v, s in found), key=lambda x: (-x[0], x[1])) for q, found in exact_top(whole, list(asked.items()), 5).items()}
+    assert {q: [s for _, s in found] for q, found in got.items()} == {q: [s for s, _ in found] for q, found in want.items()}
+    assert {q: v for q, v in got.items() if q < 300} == {q: [(v, s) for s, v in found] for q, found in want.items() if q < 300}
+
+
+def test_bounds_hold_in_floats():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for scale in (10, 2**30, 2**52, 2**62):
+        x = r.integers(-scale, scale, (200, 6))
+        cells, edges = va_search.quantised(x)
+        lo, width = edges.astype(float)
+        q = r.integers(-scale, scale, (20, 6))
+        lower, upper = va_search.bounds(q.astype(float), lo + cells * width, lo + cells * width + width - 1)
+        exact = q.astype(object) @ x.T.astype(object)
+        assert all(int(lower[i, j]) <= exact[i, j] + 1 and exact[i, j] <= int(upper[i, j]) + 1 for i in range(20) for j in range(200))
