@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from loomdex.llm import files, media, packing, token_records
-from loomdex.llm.text import Tokens
+from tests.llm.test_text import unaltered
 
 
 @pytest.fixture
@@ -92,7 +92,7 @@ def test_damaged_png_is_refused():
 def test_records_round_trip(messy, folder, byte_bpe):
     written = token_records.write(messy, folder, byte_bpe, partitions=3)
     rows = token_records.read(written, folder).join(token_records.starts(written), "shard").collect()
-    library = Tokens(byte_bpe, True).library
+    library = unaltered(byte_bpe)
     rows.sort(key=lambda r: (r["shard"], r["ordinal"]))
     want = sorted(((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in messy.select("doc_id", "text").collect()))
     start = 0
@@ -125,7 +125,7 @@ def test_packing(messy, word_bpe, ranges, spark):
     length = 256
     made = packing.tokenise(messy, word_bpe).persist()
     pieces = packing.pack(made, length, ranges).collect()
-    library = Tokens(word_bpe, False).library
+    library = unaltered(word_bpe)
     docs = {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in messy.select("doc_id", "text").collect()}
     uses = Counter(r["doc_id"] for r in messy.select("doc_id").collect())
     ends, total = Counter(), 0
