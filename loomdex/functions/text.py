@@ -47,6 +47,7 @@ def match_score(query: Column, name: Column) -> Column:
 
 
 def estimated_complexity(source: Column) -> Column:
+    """1 and the branch words; ``&&`` and ``||`` of the pattern count only where letters stand on both sides, as it asks for word boundaries."""
     return 1 + F.regexp_count(source, F.lit(BRANCH))
 
 

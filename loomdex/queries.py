@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import text as X
 from loomdex.operators import diff, graph, mutate, quality, retrieval
 from loomdex.operators.predicates import Conditions
+from loomdex.plans.lineage import cut
 from loomdex.plans.query import Agg, Query, Relation
 from loomdex.plans.shipping import shipped
 from loomdex.sources import documents as D
@@ -339,33 +340,36 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH i AS (SELECT vec_id, label, {_V} AS v FROM embeddings WHERE vec_id % 10 = 0), m AS (SELECT vec_id, label, {_V} AS v FROM embeddings WHERE vec_id % 10 <> 0),
-s AS (SELECT i.vec_id AS id, m.vec_id AS other, round(1 - list_cosine_distance(i.v, m.v), 4) AS similarity FROM i JOIN m USING (label) WHERE round(1 - list_cosine_distance(i.v, m.v), 4) > 0.5)
+s AS (SELECT i.vec_id AS id, m.vec_id AS other, round(1 - list_cosine_distance(i.v, m.v), 4) AS similarity FROM i JOIN m USING (label) WHERE round(1 - list_cosine_distance(i.v, m.v), 4) > 0.92)
 SELECT i.vec_id AS id, other AS updates, similarity FROM i LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) = 1) s ON s.id = i.vec_id"""
 )
 def near_dup_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row takes part: a tenth, by id, is the batch of memories to save, the others are the stored ones of the same label."""
     e = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("repo_id"), "embedding")
-    return retrieval.save_memories(e.filter("id % 10 <> 0"), e.filter("id % 10 = 0"), 0.5).select("id", "updates", "similarity")
+    return retrieval.save_memories(e.filter("id % 10 <> 0"), e.filter("id % 10 = 0")).select("id", "updates", "similarity")
 
 
 @query(
     """WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id, CASE WHEN date_diff('second', ts, now) < 60 THEN 1.0 WHEN date_diff('second', ts, now) < 300 THEN 0.5
- WHEN date_diff('second', ts, now) < 1800 THEN 0.2 ELSE 0.0 END::DOUBLE AS boost FROM events, m WHERE ts > now - INTERVAL 1 DAY"""
+ WHEN date_diff('second', ts, now) < 1800 THEN 0.2 ELSE 0.0 END::DOUBLE AS boost FROM events, m"""
 )
 def recency_boost(spark: SparkSession, sf: str) -> DataFrame:
     e = Tables(spark, sf).events.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "ts")
     last = e.agg(F.max("ts")).head()[0]
     now = F.lit(last).cast("timestamp_ntz")
-    return e.filter(F.col("ts") > now - F.expr("INTERVAL 1 DAY")).select("event_id", retrieval.recency_boost(F.unix_seconds(now.cast("timestamp")) - F.col("at")).alias("boost"))
+    return e.select("event_id", retrieval.recency_boost(F.unix_seconds(now.cast("timestamp")) - F.col("at")).alias("boost"))
 
 
 def _trade(t: Tables) -> DataFrame:
-    """Edges customer nation -> supplier nation, by large lines."""
-    rows = t.lineitem.filter("l_quantity >= 49").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.filter("abs(c_nationkey - s_nationkey) = 1").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    """Edges from each customer nation to the two supplier nations that it buys most from, by the quantities of all lines."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = rows.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("bought"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.col("bought").desc(), "dst"))
+    return cut(bought.filter("src <> dst").withColumn("rank", rank).filter("rank <= 2").select("src", "dst"))
 
 
-_TRADE = """e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
- WHERE l_quantity >= 49 AND abs(c_nationkey - s_nationkey) = 1)"""
+_TRADE = """e AS (SELECT src, dst FROM (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS bought FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+ WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY bought DESC, dst) <= 2)"""
 
 
 def _bfs_sql(a: str, b: str) -> str:
@@ -529,16 +533,18 @@ def urls_and_tags(spark: SparkSession, sf: str) -> DataFrame:
     return Tables(spark, sf).pages.select("page_id", F.array_join(F.array_sort(X.urls(content)), " ").alias("urls"))
 
 
-@query("SELECT doc_id, sha256(encode(substring(text, 1, 50))) AS hash, length(encode(text)) AS bytes, greatest(1, length(encode(text)) // 4) AS tokens FROM documents".replace("sha256(encode(substring(text, 1, 50)))", "sha256(substring(text, 1, 50))").replace("length(encode(text))", "strlen(text)"))
+@query("SELECT doc_id, sha256(substring(text, 1, length(text) // 2)) AS head, sha256(substring(text, length(text) // 2 + 1)) AS rest, CAST(strlen(text) AS BIGINT) AS bytes, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS tokens FROM documents")
 def byte_slices(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.octet_length("text").cast("long")
-    return Tables(spark, sf).documents.select("doc_id", F.sha2(F.substring("text", 1, 50), 256).alias("hash"), size.alias("bytes"), F.greatest(F.lit(1).cast("long"), F.floor(size / 4)).alias("tokens"))
+    """Both halves of every text, cut by byte offsets."""
+    size, half = F.octet_length("text").cast("int"), F.octet_length(F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    parts = {"head": X.byte_slice(F.col("text"), F.lit(0), half), "rest": X.byte_slice(F.col("text"), half, size - half)}
+    hashed = [F.sha2(c, 256).alias(n) for n, c in parts.items()]
+    return Tables(spark, sf).documents.select("doc_id", *hashed, size.cast("long").alias("bytes"), F.greatest(F.lit(1).cast("long"), F.floor(size / 4)).alias("tokens"))
 
 
-@query("SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(?:if|elif|else|for|while|except|catch|case|switch|and|or)\\b')) AS INTEGER) AS complexity FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(?:if|elif|else|for|while|except|catch|case|switch|and|or)\\b')) AS INTEGER) AS complexity FROM documents")
 def estimated_complexity(spark: SparkSession, sf: str) -> DataFrame:
-    # && and || never stand between word boundaries in prose
-    return Tables(spark, sf).documents.filter("lang = 'en'").select("doc_id", X.estimated_complexity(F.col("text")).cast("int").alias("complexity"))
+    return Tables(spark, sf).documents.select("doc_id", X.estimated_complexity(F.col("text")).cast("int").alias("complexity"))
 
 
 @query(
@@ -612,10 +618,9 @@ def capped_lists(spark: SparkSession, sf: str) -> DataFrame:
     return diff.capped(c, ["c_mktsegment"], [F.col("c_acctbal").desc(), "c_custkey"], 25).select("c_custkey", "c_mktsegment", "total")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN round((1 - l_discount / l_tax) * 100, 1) ELSE 0.0 END::DOUBLE AS reduction FROM lineitem WHERE l_quantity > 48")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN round((1 - l_discount / l_tax) * 100, 1) ELSE 0.0 END::DOUBLE AS reduction FROM lineitem")
 def reduction_percent(spark: SparkSession, sf: str) -> DataFrame:
-    li = Tables(spark, sf).lineitem.filter("l_quantity > 48")
-    return li.select("l_orderkey", "l_linenumber", X.reduction_percent(F.col("l_discount"), F.col("l_tax")).alias("reduction"))
+    return Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", X.reduction_percent(F.col("l_discount"), F.col("l_tax")).alias("reduction"))
 
 
 @query("SELECT event_id, (dayofweek(ts) BETWEEN 1 AND 5 AND hour(ts) >= 13 AND hour(ts) < 19) AS peak FROM events")
