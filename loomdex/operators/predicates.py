@@ -33,6 +33,14 @@ def glob_pattern(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def like(c: Column, pattern: str) -> Column:
+    """LIKE that ignores the case of ASCII letters alone; a backslash in the pattern is a backslash."""
+    return F.translate(c.cast("string"), UPPER, LOWER).like(pattern.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\"))
+
+
 def _is(c: Column, v: Any) -> Column:
     return c.isNull() if v is None else c == v
 
@@ -51,8 +59,8 @@ OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     ">": operator.gt,
     "<=": operator.le,
     ">=": operator.ge,
-    "like": lambda c, v: c.ilike(v),  # LIKE ignores the case of ASCII letters
-    "not like": lambda c, v: ~c.ilike(v),
+    "like": lambda c, v: like(c, v),
+    "not like": lambda c, v: ~like(c, v),
     "like binary": lambda c, v: c.like(v),
     "glob": lambda c, v: c.rlike(glob_pattern(v)),
     "in": lambda c, v: is_in(c, v),

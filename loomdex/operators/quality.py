@@ -81,10 +81,18 @@ def smells(symbols: DataFrame) -> DataFrame:
 def duplicates(functions: DataFrame, min_lines: int = 5) -> DataFrame:
     """``(hash, members, line_count, symbol_ids)`` of ``functions(symbol_id, source, line_count)`` with equal normalised bodies, longest first."""
     keyed = functions.filter(F.col("line_count") >= min_lines).withColumn("hash", short_hash(normalized_body(F.col("source"))))
+    # a group's members meet in its row, as the report lists them; ``duplicate_members`` gives them as rows
     groups = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("members"), F.max("line_count").alias("line_count"), F.array_sort(F.collect_list("symbol_id")).alias("symbol_ids"))
     return groups.filter("members >= 2").orderBy(F.col("line_count").desc(), "hash")
 
 
+def duplicate_members(functions: DataFrame, min_lines: int = 5) -> DataFrame:
+    """``(symbol_id, hash, members)`` of functions whose normalised body others share; no group is gathered, however large."""
+    keyed = functions.filter(F.col("line_count") >= min_lines).select("symbol_id", short_hash(normalized_body(F.col("source"))).alias("hash"))
+    sizes = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).filter("members >= 2")
+    return keyed.join(sizes, "hash").select("symbol_id", "hash", "members")
+
+
 def is_entry_point(name: Column, path: Column) -> Column:
     private = name.startswith("_") & ~name.startswith("__")
     file = F.lit(False)
@@ -104,40 +112,58 @@ def dead_code(symbols: DataFrame, references: DataFrame) -> DataFrame:
 def security_scan(files: DataFrame) -> DataFrame:
     """``(path, line, rule, severity, message, snippet)`` of ``files(path, language, content)``, tests aside.
 
-    A match counts where it begins: text before it says which line.  Splitting at matches keeps patterns
-    that span lines whole, and everything stays in column functions.
+    A match counts on the line where it begins, whole patterns that span lines included.  Everything happens inside the
+    file's row; only findings, with their line, become rows.
     """
     code = files.filter(F.col("language").isNotNull() & ~is_test_path(F.col("path")))
-    rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule", "severity", "message"), (r, s, m), strict=True)], starts.alias("starts")) for r, s, p, m in SECURITY_RULES for starts in [_line_starts(p)]])
-    each = code.select("path", F.split("content", "\n").alias("lines"), F.explode(rules).alias("r"))
-    hits = each.select("path", "lines", "r.rule", "r.severity", "r.message", F.explode("r.starts").alias("line"))
-    own = F.element_at("lines", F.col("line"))
+    lines = F.split("content", "\n")
+
+    def findings(rule: str, severity: str, pattern: str, message: str) -> Column:
+        made = F.transform(_line_starts(pattern), lambda i: F.struct(i.alias("line"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.element_at(lines, i).alias("own")))
+        # nearly all files have no match, which one search tells
+        return F.when(F.col("content").rlike(pattern), made).otherwise(F.array().cast("array<struct<line:int,rule:string,severity:string,message:string,own:string>>"))
+
+    each = code.select("path", F.explode(F.concat(*[findings(*r) for r in ((n, s, p, m) for n, s, p, m in SECURITY_RULES)])).alias("f"))
+    own = F.col("f.own")
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    return hits.filter(~F.contains(own, F.lit(NOQA))).select("path", "line", "rule", "severity", "message", F.substring(F.trim(own), 1, 120).alias("snippet")).orderBy(rank, "path", "line", "rule")
+    found = each.filter(~F.contains(own, F.lit(NOQA))).select("path", "f.line", "f.rule", "f.severity", "f.message", F.substring(F.trim(own), 1, 120).alias("snippet"))
+    return found.orderBy(rank, "path", "line", "rule")
 
 
 def _line_starts(pattern: str) -> Column:
-    """Lines, from 1, on which the matches of a pattern in ``content`` begin."""
-    mark = "￿"
-    marked = F.regexp_replace("content", f"(?={pattern})" if not pattern.startswith("(?") or pattern.startswith("(?:") else f"{pattern[:4]}(?={pattern[4:]})", mark)
-    before = F.split(marked, mark)
-    pieces = F.slice(before, 1, F.size(before) - 1)
-    counts = F.transform(pieces, lambda x: F.size(F.split(x, "\n")) - 1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda a, b: a + b) + 1)
-    # a lookahead marks every place a match could begin; one a line and run of blanks is what a scan reports
-    # files without a match, nearly all, are told by one search
-    return F.when(F.col("content").rlike(pattern), F.array_distinct(ends)).otherwise(F.array().cast("array<int>"))
+    """Lines, from 1, on which the matches of a pattern in ``content`` begin: a mark is put before each match, and marked lines are picked."""
+    mark = "\uffff"
+    flags, rest = (pattern[:4], pattern[4:]) if pattern.startswith("(?") and not pattern.startswith("(?:") else ("", pattern)
+    marked = F.split(F.regexp_replace(F.translate("content", mark, " "), f"{flags}(?={rest})", mark), "\n")
+    return F.filter(F.transform(marked, lambda x, i: F.when(F.contains(x, F.lit(mark)), i + 1)), lambda x: x.isNotNull())
+
+
+def _grams(text: Column) -> Column:
+    """Distinct beginnings, of up to three characters, of everything that the text contains."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
+
+    def pieces(n: int) -> Column:
+        return F.transform(at, lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(pieces, (1, 2, 3))))
+
+
+def _contained(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """``(whole, part)`` of the texts where one contains the other: met by the part's first three characters, then compared."""
+    w = whole.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
+    p = part.select("part", F.substring("part", 1, 3).alias("gram"))
+    return w.join(p, "gram").filter(F.contains("whole", F.col("part"))).select("whole", "part")
 
 
 def coverage(symbols: DataFrame, called: DataFrame, specifiers: DataFrame) -> DataFrame:
     """``symbols(symbol_id, name, module)`` with ``covered``: called by name in tests, and its module contains, or is contained in, an imported specifier.
 
-    Modules are compared as distinct values: the containment test has no key, but both lists are names of
-    modules, one row each, and the smaller is broadcast.
+    Distinct modules and specifiers meet by equi-joins on the beginnings of what they contain, in either direction.
     """
-    mods = symbols.select("module").distinct()
-    spec = F.broadcast(specifiers.select("specifier").distinct())
-    imported = mods.join(spec, F.contains("module", F.col("specifier")) | F.contains("specifier", F.col("module")), "left_semi").withColumn("_imported", F.lit(True))
+    mods, spec = symbols.select("module").filter("module IS NOT NULL").distinct(), specifiers.select("specifier").filter("specifier IS NOT NULL").distinct()
+    in_module = _contained(mods.withColumnRenamed("module", "whole"), spec.withColumnRenamed("specifier", "part")).select(F.col("whole").alias("module"))
+    in_specifier = _contained(spec.withColumnRenamed("specifier", "whole"), mods.withColumnRenamed("module", "part")).select(F.col("part").alias("module"))
+    imported = in_module.union(in_specifier).distinct().withColumn("_imported", F.lit(True))
     names = called.select("name").distinct().withColumn("_called", F.lit(True))
     out = symbols.join(names, "name", "left").join(imported, "module", "left")
     return out.withColumn("covered", F.col("_called").isNotNull() & F.col("_imported").isNotNull()).drop("_called", "_imported")

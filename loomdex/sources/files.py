@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.operators.predicates import glob_pattern
@@ -10,15 +10,24 @@ from loomdex.operators.predicates import glob_pattern
 MOST_FILES, MOST_BYTES, HEAD_BYTES = 5_000, 512_000, 8_192
 #: Directories and files that a scan leaves out.
 SKIP_DIRS = (
-    "node_modules vendor .git __pycache__ .tox .mypy_cache .pytest_cache .ruff_cache target build dist .gradle .mvn .next .nuxt .output .vercel .turbo venv .venv env .env "
-    ".idea .vscode .vs coverage htmlcov .nyc_output .terraform .pulumi Pods DerivedData xcuserdata .bundle .cache"
-).split()
-SKIP_FILES = "*.min.js *.min.css *.map package-lock.json yarn.lock pnpm-lock.yaml go.sum Cargo.lock poetry.lock uv.lock *.pb.go *.generated.* *.pyc *.pyo".split()
-SECRET_FILES = ".env .env.* *.key *.pem *.p12 *.pfx *.keystore *.jks credentials.json service-account*.json id_rsa id_rsa.* id_ed25519 id_ed25519.* *.secret *.secrets .htpasswd .netrc .pgpass".split()
+    "node_modules", "vendor", ".git", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "target", "build", "dist", ".gradle", ".mvn",
+    ".next", ".nuxt", ".output", ".vercel", ".turbo", "venv", ".venv", "env", ".env", ".idea", ".vscode", ".vs", "coverage", "htmlcov", ".nyc_output",
+    ".terraform", ".pulumi", "Pods", "DerivedData", "xcuserdata", ".bundle", ".cache",
+)
+SKIP_FILES = (
+    "*.min.js", "*.min.css", "*.map", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "uv.lock", "*.pb.go",
+    "*.generated.*", "*.pyc", "*.pyo",
+)
+SECRET_FILES = (
+    ".env", ".env.*", "*.key", "*.pem", "*.p12", "*.pfx", "*.keystore", "*.jks", "credentials.json", "service-account*.json", "id_rsa", "id_rsa.*",
+    "id_ed25519", "id_ed25519.*", "*.secret", "*.secrets", ".htpasswd", ".netrc", ".pgpass",
+)
 BINARY_EXTENSIONS = (
-    ".exe .dll .so .dylib .a .lib .o .obj .zip .tar .gz .bz2 .xz .7z .rar .jar .war .png .jpg .jpeg .gif .bmp .ico .svg .webp .tiff .tif .psd .mp3 .mp4 .avi .mov .flv .wmv .wav .ogg .webm "
-    ".pyc .pyo .class .wasm .ttf .otf .woff .woff2 .eot .pdf .doc .docx .xls .xlsx .ppt .pptx .db .sqlite .sqlite3 .mdb .bin .dat .pkl .npy .npz .h5 .hdf5"
-).split()
+    ".exe", ".dll", ".so", ".dylib", ".a", ".lib", ".o", ".obj", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".jar", ".war", ".png", ".jpg", ".jpeg",
+    ".gif", ".bmp", ".ico", ".svg", ".webp", ".tiff", ".tif", ".psd", ".mp3", ".mp4", ".avi", ".mov", ".flv", ".wmv", ".wav", ".ogg", ".webm", ".pyc", ".pyo",
+    ".class", ".wasm", ".ttf", ".otf", ".woff", ".woff2", ".eot", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".db", ".sqlite", ".sqlite3",
+    ".mdb", ".bin", ".dat", ".pkl", ".npy", ".npz", ".h5", ".hdf5",
+)
 LANGUAGES = {
     "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "php": "php", "rb": "ruby",
     "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "sql": "sql", "css": "css", "scss": "scss", "less": "less", "styl": "stylus", "vue": "vue",
@@ -39,7 +48,7 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
     return reader.load(root).select(relative.alias("path"), F.col("length").alias("byte_size"), F.col("modificationTime").cast("double").alias("mtime"), "content")
 
 
-def _any_glob(name: Column, globs: list[str]) -> Column:
+def _any_glob(name: Column, globs: tuple[str, ...]) -> Column:
     return name.rlike("|".join(f"(?:{glob_pattern(g)})" for g in globs))
 
 
@@ -50,10 +59,10 @@ def skip_reason(path: Column, byte_size: Column, content: Column | None = None,
     inside = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1))
     out = (
         F.when(path.rlike(r"(^|/)\.\.(/|$)"), "path_traversal")
-        .when(F.exists(inside, lambda d: d.isin(SKIP_DIRS)), "skip_dir")
+        .when(F.exists(inside, lambda d: d.isin(*SKIP_DIRS)), "skip_dir")
         .when(_any_glob(name, SKIP_FILES), "skip_pattern")
         .when(_any_glob(F.lower(name), SECRET_FILES), "secret_file")
-        .when(F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(BINARY_EXTENSIONS), "binary_extension")
+        .when(F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(*BINARY_EXTENSIONS), "binary_extension")
         .when(byte_size > most_bytes, F.concat(F.lit("too_large:"), byte_size.cast("string")))
         .when(byte_size == 0, "empty")
     )
@@ -97,9 +106,14 @@ def reconcile(disk: DataFrame, table: DataFrame, key: str = "name") -> DataFrame
 
 def log_tail(spark: SparkSession, path: str, lines: int = 50, from_start: bool = False, offset: int = 0) -> DataFrame:
     """``(line_no, line)``: a page of a log file from its start or end."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line")).select((F.col("pos") + 1).alias("line_no"), "line")
-    page = whole.orderBy(F.col("line_no").asc() if from_start else F.col("line_no").desc()).offset(offset).limit(lines)
-    return page.orderBy("line_no")
+    # the reader splits a large file between tasks; ids of rows follow tasks and lines, and the lines of each task are counted once
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    part = F.shiftright("id", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a task
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    page = rows.orderBy(F.col("id").asc() if from_start else F.col("id").desc()).offset(offset).limit(lines)
+    numbered = page.withColumn("part", part).join(F.broadcast(before), "part")
+    return numbered.select((F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), "line").orderBy("line_no")
 
 
 def commit_log(lines: DataFrame) -> DataFrame:
