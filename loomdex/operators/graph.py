@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.operators.diff import capped
+from loomdex.functions.text import identifier_tokens, relatedness
+from loomdex.operators.diff import capped, containing
 from loomdex.plans.lineage import cut
 
 MOST_DEPTH = 3
@@ -78,6 +79,47 @@ def blast_radius(files: DataFrame, imports: DataFrame, target: int, name: str, d
     return capped(kinds, ["kind"], ["depth", "path"], cap or 2**31 - 1)
 
 
+def blast_radii(files: DataFrame, imports: DataFrame, targets: DataFrame, depth: int = 2, cap: int | None = LISTED) -> DataFrame:
+    """``blast_radius`` of many ``targets(target, name)`` in one plan, with ``target, name`` in front and ``error`` behind.
+
+    An unknown target has one row whose error says so.  Frontiers carry their target, so a step is one join for all.
+    """
+    t = targets.select(F.col("target").cast("long").alias("target"), "name").distinct()
+    here = t.join(files.select(F.col("id").alias("target"), F.col("path").alias("_path"), F.col("repo_id").alias("_repo")), "target")
+    known = cut(here.withColumn("_stem", F.regexp_replace(F.element_at(F.split("_path", "/"), -1), r"\.[^.]*$", "")))
+    used = imports.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    direct = known.select("target").distinct().join(used, F.col("target") == F.col("resolved_file_id")).select("target", F.col("file_id").alias("id"))
+    # distinct specifiers and stems are compared where they can contain one another
+    low = used.select("specifier", F.lower("specifier").alias("whole")).filter("whole IS NOT NULL").distinct()
+    like = containing(low.select("whole").distinct(), known.select(F.lower("_stem").alias("part")).distinct()).join(low, "whole").select("specifier", "part")
+    named = known.select("target", F.lower("_stem").alias("part")).distinct().join(like, "part").join(used, "specifier").select("target", F.col("file_id").alias("id"))
+    edges = used.filter("resolved_file_id IS NOT NULL").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst")).distinct()
+    frontier = cut(direct.union(named).filter("id <> target").distinct())
+    seen = frontier.withColumn("depth", F.lit(1))
+    for d in range(2, max(1, min(MOST_DEPTH, depth)) + 1):
+        step = frontier.join(edges, frontier["id"] == edges["dst"]).select("target", F.col("src").alias("id")).filter("id <> target").distinct()
+        frontier = cut(step.join(seen, ["target", "id"], "left_anti"))
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+    reached = seen.join(known.select("target", "name", "_repo"), "target").join(files, "id")
+    hits = F.expr(r"coalesce(regexp_count(content, concat('(?U)\\b\\Q', name, '\\E\\b')), 0)")
+    kinds = reached.select("target", "name", "id", "path", "repo_id", "depth", hits.alias("hits"), (F.col("repo_id") != F.col("_repo")).alias("cross_repo"))
+    kinds = kinds.withColumn("kind", F.when(F.col("hits") > 0, "confirmed").otherwise("potential"))
+    out = capped(kinds, ["target", "name", "kind"], ["depth", "path"], cap or 2**31 - 1).withColumn("error", F.lit(None).cast("string"))
+    unknown = t.join(known, ["target", "name"], "left_anti").select("target", "name", F.lit("unknown target").alias("error"))
+    return out.unionByName(unknown, allowMissingColumns=True)
+
+
+def related_symbols(symbols: DataFrame, symbol_id: str, k: int = 10) -> DataFrame:
+    """``(symbol_id, score)`` of the ``k`` symbols most related to one: same file and shared name tokens, score over 0."""
+    own = symbols.filter(F.col("symbol_id") == symbol_id).select("file_id", identifier_tokens(F.col("name")).alias("t")).head()
+    if own is None:
+        return symbols.select("symbol_id", F.lit(0.0).alias("score")).limit(0)
+    tokens = F.array(*[F.lit(x) for x in own["t"]]) if own["t"] else F.array().cast("array<string>")
+    score = relatedness(F.col("file_id") == own["file_id"], identifier_tokens(F.col("name")), tokens)
+    others = symbols.filter(F.col("symbol_id") != symbol_id).select("symbol_id", score.alias("score"))
+    return others.filter("score > 0").orderBy(F.col("score").desc(), "symbol_id").limit(k)
+
+
 def importers(files: DataFrame, imports: DataFrame, targets: DataFrame, symbol_counts: DataFrame) -> DataFrame:
     """``(target, id, path, symbol_count, has_importers)`` for ``targets(target)``; unknown targets have one row with null id."""
     direct = imports.filter("resolved_file_id IS NOT NULL").select(F.col("resolved_file_id").alias("target"), F.col("file_id").alias("id")).distinct()

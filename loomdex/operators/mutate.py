@@ -104,3 +104,13 @@ def cascade(parents: DataFrame, children: Sequence[tuple[str, DataFrame, str]],
     """Each child table without the rows of the deleted ``parents``; ``children`` are (name, rows, foreign key)."""
     gone = parents.select(F.col(key).alias("_gone")).distinct()
     return {name: rows.join(gone, rows[fk] == gone["_gone"], "left_anti") for name, rows, fk in children}
+
+
+def cascade_tree(parents: DataFrame, levels: Sequence[tuple[str, DataFrame, str, str | None]], key: str = "id") -> dict[str, DataFrame]:
+    """Each table of a chain without what hangs on the deleted ``parents``; ``levels`` are (name, rows, foreign key, own key), each on the one before."""
+    gone, out = parents.select(F.col(key).alias("_gone")).distinct(), {}
+    for name, rows, fk, own in levels:
+        out[name] = rows.join(gone, F.col(fk) == F.col("_gone"), "left_anti")
+        if own is not None:
+            gone = rows.join(gone, F.col(fk) == F.col("_gone"), "left_semi").select(F.col(own).alias("_gone")).distinct()
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import estimated_complexity, has_types, naive_params, normalized_body, short_hash
+from loomdex.operators.diff import containing
 
 SEVERITIES = ("critical", "high", "medium", "low")
 #: Rule, severity, pattern and message of the security scan.
@@ -138,31 +139,14 @@ def _line_starts(pattern: str) -> Column:
     return F.filter(F.transform(marked, lambda x, i: F.when(F.contains(x, F.lit(mark)), i + 1)), lambda x: x.isNotNull())
 
 
-def _grams(text: Column) -> Column:
-    """Distinct beginnings, of up to three characters, of everything that the text contains."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
-
-    def pieces(n: int) -> Column:
-        return F.transform(at, lambda i: F.substr(text, i, F.lit(n)))
-
-    return F.array_distinct(F.concat(F.array(F.lit("")), *map(pieces, (1, 2, 3))))
-
-
-def _contained(whole: DataFrame, part: DataFrame) -> DataFrame:
-    """``(whole, part)`` of the texts where one contains the other: met by the part's first three characters, then compared."""
-    w = whole.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
-    p = part.select("part", F.substring("part", 1, 3).alias("gram"))
-    return w.join(p, "gram").filter(F.contains("whole", F.col("part"))).select("whole", "part")
-
-
 def coverage(symbols: DataFrame, called: DataFrame, specifiers: DataFrame) -> DataFrame:
     """``symbols(symbol_id, name, module)`` with ``covered``: called by name in tests, and its module contains, or is contained in, an imported specifier.
 
     Distinct modules and specifiers meet by equi-joins on the beginnings of what they contain, in either direction.
     """
     mods, spec = symbols.select("module").filter("module IS NOT NULL").distinct(), specifiers.select("specifier").filter("specifier IS NOT NULL").distinct()
-    in_module = _contained(mods.withColumnRenamed("module", "whole"), spec.withColumnRenamed("specifier", "part")).select(F.col("whole").alias("module"))
-    in_specifier = _contained(spec.withColumnRenamed("specifier", "whole"), mods.withColumnRenamed("module", "part")).select(F.col("part").alias("module"))
+    in_module = containing(mods.withColumnRenamed("module", "whole"), spec.withColumnRenamed("specifier", "part")).select(F.col("whole").alias("module"))
+    in_specifier = containing(spec.withColumnRenamed("specifier", "whole"), mods.withColumnRenamed("module", "part")).select(F.col("part").alias("module"))
     imported = in_module.union(in_specifier).distinct().withColumn("_imported", F.lit(True))
     names = called.select("name").distinct().withColumn("_called", F.lit(True))
     out = symbols.join(names, "name", "left").join(imported, "module", "left")

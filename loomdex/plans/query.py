@@ -13,6 +13,24 @@ from pyspark.sql import functions as F
 from loomdex.operators.predicates import Conditions
 
 
+#: Logical plans of compiled queries while the log is on.
+QUERY_LOG: list[str] | None = None
+
+
+def enable_query_log() -> None:
+    global QUERY_LOG
+    QUERY_LOG = []
+
+
+def query_log(stop: bool = False) -> list[str]:
+    """The plans logged so far."""
+    global QUERY_LOG
+    found = list(QUERY_LOG or ())
+    if stop:
+        QUERY_LOG = None
+    return found
+
+
 @dataclass(frozen=True)
 class Relation:
     """How a table's rows relate to those of ``other``: belongs_to, has_many, has_one or belongs_to_many (over ``pivot``)."""
@@ -32,12 +50,16 @@ class Relation:
         matched = self.pivot.join(self.other, self.pivot[self.pivot_foreign] == self.other[self.foreign], "left_semi")
         return matched.select(F.col(self.pivot_local).alias("_key")).filter("_key IS NOT NULL").distinct()
 
-    def related(self) -> DataFrame:
-        """Related rows with the local key they belong to, as ``_key``."""
+    #: Relations of ``other``'s own rows, for nested loading ("a.b").
+    relations: dict[str, Relation] | None = None
+
+    def related(self, *nested: str) -> DataFrame:
+        """Related rows, with their own ``nested`` relations loaded, and the local key they belong to, as ``_key``."""
+        other = Query(self.other, relations=self.relations).with_(*nested).df() if nested else self.other
         if self.pivot is None:
-            return self.other.withColumn("_key", F.col(self.foreign))
+            return other.withColumn("_key", F.col(self.foreign))
         link = self.pivot.select(F.col(self.pivot_local).alias("_key"), F.col(self.pivot_foreign).alias("_other"))
-        return self.other.join(link, F.col(self.foreign) == F.col("_other")).drop("_other")
+        return other.join(link, F.col(self.foreign) == F.col("_other")).drop("_other")
 
 
 class Agg:
@@ -211,10 +233,14 @@ class Query:
                 raise ValueError(f"{name!r} can't be counted")
             n = r.related().groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
             df = df.join(n, df[r.local] == n["_key"], "left").withColumn(f"{name}_count", F.coalesce("_n", F.lit(0))).drop("_key", "_n")
-        for name in self.eager:
+        nested: dict[str, list[str]] = {}
+        for path in self.eager:
+            name, _, rest = path.partition(".")
+            nested.setdefault(name, []).extend([rest] if rest else [])
+        for name, inner in nested.items():
             r = self._relation(name)
-            own = r.related()
-            row = F.struct(*[own[c] for c in r.other.columns])
+            own = r.related(*inner)
+            row = F.struct(*[own[c] for c in own.columns if c != "_key"])
             if r.kind in ("has_many", "belongs_to_many"):
                 got = own.groupBy("_key").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
                 df = df.join(got, df[r.local] == got["_key"], "left").withColumn(name, F.coalesce("_rows", F.array().cast(got.schema["_rows"].dataType))).drop("_key", "_rows")
@@ -224,6 +250,12 @@ class Query:
         return df
 
     def df(self) -> DataFrame:
+        df = self._compiled()
+        if QUERY_LOG is not None:
+            QUERY_LOG.append(df._jdf.queryExecution().logical().toString())
+        return df
+
+    def _compiled(self) -> DataFrame:
         df = self._loaded(self.rows())
         distinct = bool(self.columns) and isinstance(self.columns[0], str) and self.columns[0].upper().startswith("DISTINCT ")
         columns = [self.columns[0][9:], *self.columns[1:]] if distinct else list(self.columns)
@@ -238,6 +270,15 @@ class Query:
         df = df.offset(self.skip) if self.skip else df
         return df if self.most is None else df.limit(self.most)
 
+    def to_subquery(self, column: str) -> DataFrame:
+        """The query's values of one column, for ``where_in_subquery``."""
+        return replace(self, columns=(column,), order=(), eager=(), counts=()).df()
+
+    def to_plan(self, mode: str = "formatted") -> str:
+        """Text of the compiled plan, Spark's counterpart of the SQL text."""
+        df = self.df()
+        return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
     # results
     def aggregates(self, **named: Column) -> DataFrame:
         """One row of aggregates, or one a group; numbers of nothing are 0."""

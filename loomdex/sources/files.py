@@ -120,3 +120,43 @@ def commit_log(lines: DataFrame) -> DataFrame:
     """``(commit_hash, author, ts, message)`` of ``value`` rows ``hash|author|iso time|message``."""
     p = F.split("value", r"\|", 4)
     return lines.select(p[0].alias("commit_hash"), p[1].alias("author"), p[2].cast("timestamp").alias("ts"), p[3].alias("message"))
+
+
+def blame_lines(lines: DataFrame) -> DataFrame:
+    """``(path, line, commit_hash, author, ts)`` of porcelain blame rows ``(path, n, value)``, ``n`` the row's number in its path's output.
+
+    A group begins with ``hash old new [size]``; its author and time follow, at least once for each commit, and a tab leads the line itself.
+    """
+    head = r"^([0-9a-f]{40}) \d+ (\d+)"
+    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("commit_hash", F.last(F.when(F.col("value").rlike(head), F.regexp_extract("value", head, 1)), ignorenulls=True).over(w))
+    marked = marked.withColumn("line", F.last(F.when(F.col("value").rlike(head), F.regexp_extract("value", head, 2).cast("int")), ignorenulls=True).over(w))
+    said = marked.groupBy("path", "commit_hash").agg(
+        F.max(F.when(F.col("value").startswith("author "), F.substring("value", 8, 1 << 20))).alias("author"), F.max(F.when(F.col("value").startswith("author-time "), F.substring_index("value", " ", -1).cast("long"))).alias("at")
+    )
+    own = marked.filter(F.col("value").startswith("\t")).select("path", "line", "commit_hash")
+    return own.join(said, ["path", "commit_hash"]).select("path", "line", "commit_hash", "author", F.timestamp_seconds("at").alias("ts"))
+
+
+def diff_hunks(lines: DataFrame) -> DataFrame:
+    """``(path, old_start, old_lines, new_start, new_lines, added, removed)`` of unified diff rows ``(n, value)`` in order of ``n``; ``path`` is the new one."""
+    hunk = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # one diff's text
+    v = F.col("value")
+    marked = lines.withColumns(
+        {
+            "path": F.last(F.when(v.rlike(r"^\+\+\+ "), F.regexp_replace(F.substring("value", 5, 1 << 20), "^b/", "")), ignorenulls=True).over(w),
+            "_hunk": F.sum(F.when(v.rlike(hunk), 1).otherwise(0)).over(w),
+            "_file": F.sum(F.when(v.startswith("diff --git ") | v.startswith("--- "), 1).otherwise(0)).over(w),
+        }
+    )
+    first = F.first(F.when(v.rlike(hunk), v), ignorenulls=True)
+    # the header's own lines stand behind a new file's mark, before its first hunk
+    inside = marked.withColumn("_open", F.last(F.when(v.rlike(hunk), F.col("_file")), ignorenulls=True).over(w)).filter("_hunk > 0 AND _open = _file")
+    got = inside.groupBy("_hunk").agg(F.first("path").alias("path"), first.alias("h"), F.count_if(v.startswith("+")).alias("added"), F.count_if(v.startswith("-")).alias("removed"))
+
+    def number(i: int) -> Column:
+        text = F.regexp_extract("h", hunk, i)
+        return F.when(text == "", 1).otherwise(text.cast("int"))
+
+    return got.select("path", number(1).alias("old_start"), number(2).alias("old_lines"), number(3).alias("new_start"), number(4).alias("new_lines"), "added", "removed").orderBy("path", "new_start")

@@ -69,12 +69,37 @@ def dependencies(files: DataFrame) -> DataFrame:
     return mine.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, DEPENDENCY)
 
 
-def path_aliases(text: str) -> dict[str, list[str]]:
-    """``compilerOptions.paths`` of a tsconfig, comments allowed, resolved against its base folder."""
-    data = json.loads(re.sub(r"(?m)^\s*//.*$|/\*.*?\*/|,(?=\s*[}\]])", "", text))
-    options = data.get("compilerOptions", {})
-    base = options.get("baseUrl", ".").removeprefix("./").strip("./")
-    return {k: ["/".join(p for p in (base, t.removeprefix("./")) if p) for t in v] for k, v in options.get("paths", {}).items()}
+_STRING = r'("(?:[^"\\]|\\.)*")'
+
+
+def _jsonc(text: str) -> dict:
+    """JSON with comments and trailing commas; strings are left alone."""
+    bare = re.sub(_STRING + r"|//[^\n]*|/\*.*?\*/", lambda m: m[1] or "", text, flags=re.S)
+    return json.loads(re.sub(_STRING + r"|,(?=\s*[}\]])", lambda m: m[1] or "", bare))
+
+
+def path_aliases(text: str, others: dict[str, str] | None = None, path: str = "tsconfig.json") -> dict[str, list[str]]:
+    """``compilerOptions.paths`` of a tsconfig, comments and trailing commas allowed, resolved against its base folder.
+
+    ``others`` are texts by path: a config that ``extends`` one of them has its aliases too, its own going first; a missing
+    or circular one adds nothing.
+    """
+    from posixpath import dirname, join, normpath
+
+    def load(at: str, body: str, seen: frozenset[str]) -> dict[str, list[str]]:
+        data = _jsonc(body)
+        found: dict[str, list[str]] = {}
+        parents = data.get("extends", [])
+        for parent in [parents] if isinstance(parents, str) else parents:
+            for place in (normpath(join(dirname(at), parent)), normpath(join(dirname(at), parent + ".json"))):
+                if place in (others or {}) and place not in seen:
+                    found |= load(place, others[place], seen | {place})
+                    break
+        options = data.get("compilerOptions", {})
+        base = normpath(join(dirname(at), options.get("baseUrl", ".")))
+        return found | {k: [normpath(join(base, t)) for t in v] for k, v in options.get("paths", {}).items()}
+
+    return load(path, text, frozenset({path}))
 
 
 def psr4(text: str) -> dict[str, str]:
@@ -87,6 +112,59 @@ def psr4(text: str) -> dict[str, str]:
     return out
 
 
+def dbt_models(text: str) -> list[tuple[str, str, dict[str, str]]]:
+    """(model, description, columns) of a ``schema.yml``: the lists of ``models`` and of sources' ``tables``, by indentation; other keys are passed over."""
+    found: list[list] = []
+    stack: list[tuple[int, str]] = []  # (indent, key) of the open lists
+    at, block = None, None
+    for raw in text.splitlines():
+        if not raw.strip() or raw.lstrip().startswith("#"):
+            continue
+        indent = len(raw) - len(raw.lstrip())
+        if block is not None and indent > block[0]:
+            block[1](raw.strip())
+            continue
+        block = None
+        dash = raw.lstrip().startswith("- ")
+        key, _, value = raw.strip().removeprefix("- ").partition(":")
+        key, value = key.strip(), value.strip().strip("\"'")
+        stack = [x for x in stack if x[0] < indent or (x[0] == indent and dash)]
+        owner = stack[-1][1] if stack else ""
+        if dash and key == "name" and owner in ("models", "tables", "columns"):
+            if owner == "columns" and found:
+                found[-1][2][value] = ""
+                at = (found[-1][2], value)
+            elif owner != "columns":
+                found.append([value, "", {}])
+                at = (found[-1], 1)
+        elif key == "description" and at is not None:
+            holder, place = at
+            if value[:1] in (">", "|"):
+                holder[place] = ""
+
+                def more(line: str, holder=holder, place=place) -> None:
+                    holder[place] = f"{holder[place]} {line}".strip()
+
+                block = (indent, more)
+            else:
+                holder[place] = value
+        elif not value:
+            stack.append((indent, key))
+    return [(m, d, c) for m, d, c in found]
+
+
+def dbt_columns(files: DataFrame) -> DataFrame:
+    """``(model, description, columns)`` of the ``schema.yml`` files among ``files(path, content)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [m for text in pdf["content"] for m in dbt_models(text or "")]
+            yield pd.DataFrame(rows, columns=["model", "description", "columns"])
+
+    mine = files.filter(F.element_at(F.split("path", "/"), -1).rlike(r"^(?:_?schema|sources|.*__models)\.ya?ml$"))
+    return mine.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, "model string, description string, columns map<string, string>")
+
+
 def columns_of(models: DataFrame, pattern: str, query: str) -> DataFrame:
     """``(model, column, description, score)`` of ``models(model, columns map<string, string>)``: a glob on the model, anchored at its start, and the match score."""
     from loomdex.functions.text import match_score

@@ -84,3 +84,36 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{top}/state").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/rows")
+
+
+def emit(stream: DataFrame, folder: str, partition_by: tuple[str, ...] = ()):
+    """Start a query that appends a stream's rows to Parquet files exactly once, as far as there are rows; the sink of an event source."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True)
+    return (writer.partitionBy(*partition_by) if partition_by else writer).start()
+
+
+def queued(jobs: DataFrame, most_done: int = 50) -> DataFrame:
+    """The queue's view of ``jobs(id, key, status, priority, queued_at, ended_at)``: of a key that waits or runs the first job alone, by priority, and the ``most_done`` jobs ended last."""
+    from pyspark.sql import Window
+
+    waits = jobs.filter(F.col("status").isin("queued", "running"))
+    first = Window.partitionBy("key").orderBy((F.col("status") == "running").desc(), "queued_at", "id")
+    live = waits.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    done = jobs.filter(~F.col("status").isin("queued", "running")).orderBy(F.col("ended_at").desc(), "id").limit(most_done)
+    return live.unionByName(done)
+
+
+def live_nodes(nodes: DataFrame, now: Column, seconds: int = 30) -> DataFrame:
+    """``nodes(node_id, role, last_heartbeat)`` with ``alive``; the leader is the longest-lived of those alive if the one named so is not."""
+    from pyspark.sql import Window
+
+    seen = nodes.withColumn("alive", ~stale(F.col("last_heartbeat"), now, seconds))
+    rank = F.row_number().over(Window.orderBy(F.col("alive").desc(), (F.col("role") == "leader").desc(), "started_at", "node_id"))  # a row a node
+    return seen.withColumn("role", F.when((rank == 1) & F.col("alive"), "leader").otherwise("follower"))
+
+
+def closed_sessions(sessions: DataFrame, instances: DataFrame, now: Column) -> DataFrame:
+    """``sessions(id, ended_at, ...)`` with an end for those that have instances, none of which still runs."""
+    own = instances.groupBy(F.col("coding_session_id").alias("_key")).agg(F.count_if(F.col("ended_at").isNull()).alias("_live"))
+    ended = F.when(F.col("ended_at").isNull() & (F.col("_live") == 0), now).otherwise(F.col("ended_at"))
+    return sessions.join(own, F.col("id") == F.col("_key"), "left").withColumn("ended_at", ended).drop("_key", "_live")
