@@ -16,7 +16,8 @@ return link counts and a spanning forest.
 
 Defined cases: null text is empty; a document without words has no n-grams and no links; with fewer than
 ``k`` words the sequence is one n-gram; repeated rows count as documents (a doc_id with several texts is one vertex, as if they linked);
-rows with a null doc_id are left out; an empty table gives no rows.  Extra columns are not read.
+rows with a null doc_id are no vertices and are left out, as no id could be reached from them (give them ids to keep them); sets of equal
+size and equal frequency of their signatures go by hash; a very long text is one set; an empty table gives no rows.  Extra columns are not read.
 N-grams are compared as 64-bit hashes, sets as 128-bit hashes; shortened hashes serve for candidates alone.
 """
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.text import mix, shingle_sets, sliced
+from loomdex.llm.text import mix, shingle_sets, sliced, trimmed
 from loomdex.operators.components import connected_components
 from loomdex.plans.lineage import cut
 
@@ -43,6 +44,8 @@ CLASS_STEPS = 2
 SPARE = 0.3
 #: Signatures that a task gathers before it writes them out.
 GATHERED = 1_000_000
+#: N-grams of all sets together for each bucket of signatures; a bucket has about a quarter as many signatures, at 13 bytes.
+BUCKET_GRAMS = 8_000_000
 SIZED = "doc_id long, n_shingles long, digest binary, vertex long"
 PACKED = "bucket int, signs binary, ids binary, classes binary"
 SHARED = "sign long, id long, uses long, spare int"
@@ -111,7 +114,7 @@ def sized(docs: DataFrame, k: int) -> DataFrame:
                 columns = [pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.binary()), pa.array([_vertex(d) for _, d in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "digest", "vertex"])
 
-    return docs.mapInArrow(run, SIZED)
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), SIZED)
 
 
 def _bytes(values: np.ndarray, width: int) -> bytes:
@@ -165,7 +168,7 @@ def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(lambda batches: trimmed(run(batches)), PACKED)
 
 
 def shared(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
@@ -200,7 +203,7 @@ def shared(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
         if held:
             yield done()
 
-    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, SHARED)
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda batches: trimmed(run(batches)), SHARED)
 
 
 def _vertex(digest: bytes) -> int:
@@ -321,7 +324,9 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     base = cut(sized(docs, k))
 
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as keep each one's signatures within a task's memory, however many there are
+    n_grams = base.agg(F.sum("n_shingles")).head()[0] or 0  # one number
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_grams // BUCKET_GRAMS)
     mine = Window.partitionBy("id").orderBy(F.col("uses").desc(), "sign")  # a set's own signatures
     kept = cut(shared(packed(docs, k, num, den, buckets), num, den, buckets).withColumn("rank", F.row_number().over(mine)).filter("rank > spare").select("sign", "id"))
     pivots = kept.groupBy("sign").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).filter("pivot < most").select("sign", "pivot")
@@ -341,7 +346,8 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
         "block", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "rep", "vertex", "role", "slice", "copies", "text"
     )
-    found = cut(dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_blocks(k, num, den), FOUND))
+    blocks = _blocks(k, num, den)
+    found = cut(dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(lambda batches: trimmed(blocks(batches)), FOUND))
 
     roots = connected_components(found.filter("v IS NOT NULL"), "u", "v").select(F.col("id").alias("rep"), F.col("root"))
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))

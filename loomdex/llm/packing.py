@@ -6,9 +6,9 @@ range-sorted by it and laid end to end, so a sequence holds neighbours.  A prefi
 gives every document its global position; cutting at multiples of the length leaves padding in the last
 sequence alone.
 
-Defined cases: null or empty text is a document of the end id alone; rows with equal curve cells are
-spread by a hash of doc_id below the cell (a hot cell can be split over ranges); repeated rows are laid
-out one after the other; an empty table gives no rows.  Extra columns are not read.
+Defined cases: null or empty text is a document of the end id alone; a null doc_id stays null and is hashed as -1; rows with equal
+curve cells are spread by a hash of doc_id below the cell (a hot cell can be split over ranges), ties beyond go by doc_id, then ids; repeated rows are laid
+out one after the other; a very long text goes through as many sequences as it fills; an empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.text import mix, sliced, tokens
+from loomdex.llm.text import mix, sliced, tokens, trimmed
 
 BUCKETS, DIMS, BITS, SPREAD_BITS = 256, 4, 12, 15
 #: Coordinates of unit vectors are placed on [-REACH, REACH).
@@ -93,7 +93,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
                     names=["doc_id", "place", "n_tokens", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENISED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: trimmed(run(batches)), TOKENISED)
 
 
 def pack(tokenised: DataFrame, length: int = 4096, ranges: int | None = None, id_bytes: int = 4) -> DataFrame:
@@ -133,7 +133,7 @@ def pack(tokenised: DataFrame, length: int = 4096, ranges: int | None = None, id
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     laid = ranged.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "place", "doc_id", "ids")
-    return laid.select("doc_id", "range", "n_tokens", "ids").mapInArrow(cut_up, PIECES)
+    return laid.select("doc_id", "range", "n_tokens", "ids").mapInArrow(lambda batches: trimmed(cut_up(batches)), PIECES)
 
 
 def sequences(pieces: DataFrame, length: int = 4096, pad_id: int = 0, id_bytes: int = 4) -> DataFrame:

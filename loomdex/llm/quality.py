@@ -10,8 +10,9 @@ Site counts come from all labelled documents by grouped aggregation.  The classi
 to at most ``SAMPLE`` labelled documents, those with the lowest hash of their id; scoring covers every text whole.
 
 Defined cases: null text is empty; null host or path is a group of its own; with no labels, or one label
-only, the classifier says that share (1/2 without any) for all; repeated rows score alike; labels of ids that
-have several are taken once, the least; an empty table gives no rows.
+only, the classifier says that share (1/2 without any) for all; equal texts of one site, and repeated rows, score alike; labels of ids that
+have several are taken once, the least; several rows of one labelled id all count for their site; a score at the bound keeps; very long texts are read
+whole, one at a time; extra columns pass through under their names, and new ones give way (``fresh``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex.functions.names import fresh
-from loomdex.llm.text import _IS_SPACE, sliced, text_bytes, words
+from loomdex.llm.text import _IS_SPACE, sliced, text_bytes, trimmed, words
 from loomdex.plans.lineage import cut
 
 SAMPLE, CELLS, ROUNDS, RATE, DECAY = 12_000, 12, 300, 0.1, 1e-3
 MOST_STRENGTH = 1_000.0
-SMALL_SITES = 100_000
+MOST_BROADCAST = 100_000
 _CLASS = np.zeros(256, np.int64)  # 0 lower-case and other letters, 1 upper case, 2 digits, 3 plain punctuation, 4 other symbols, 5 blanks, 6 newlines
 _CLASS[0x41:0x5B] = 1
 _CLASS[0x30:0x3A] = 2
@@ -111,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
         model = fit(np.array([x for _, x, _ in own]).reshape(-1, len(NAMES)), np.array([y for _, _, y in own], float))
         yield pa.RecordBatch.from_pylist([{"model": json.dumps(model)}])
 
-    shaped = rows.mapInArrow(shape, "doc_id long, x array<double>, y int")
+    shaped = rows.mapInArrow(lambda batches: trimmed(shape(batches)), "doc_id long, x array<double>, y int")
     # the scan stays spread; the sample alone meets in one task
     fitted = shaped.repartition(1).mapInArrow(run, "model string").head()
     return json.loads(fitted[0]) if fitted else fit(np.empty((0, len(NAMES))), np.empty(0))
@@ -131,7 +132,7 @@ def evidence(docs: DataFrame, model: dict, passed: tuple[str, ...]) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(passed))), pa.array(logit)], names=[*passed, "_logit"])
 
     mine = docs.select(*[F.col(f"`{c}`") for c in passed], F.col("text").cast("string").alias("_scored_text"))
-    return mine.mapInArrow(run, T.StructType([*mine.schema.fields[:-1], T.StructField("_logit", T.DoubleType())]))
+    return mine.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*mine.schema.fields[:-1], T.StructField("_logit", T.DoubleType())]))
 
 
 def _strength(groups: DataFrame) -> float:
@@ -164,14 +165,14 @@ def sites(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, passed: tuple[str, ...] = ("doc_id",), model: dict | None = None, at_least: float = 0.5) -> DataFrame:
     """The ``passed`` columns of ``docs(doc_id, text, host, path)`` with ``doc_score, host_mean, path_mean, score, keep`` appended.
 
-    ``labels(doc_id, y)`` has 1 for good.  The table of sites is broadcast if it has ``SMALL_SITES`` rows at
-    most, which is counted; a larger one meets the documents in a join whose hot sites Spark splits.
+    ``labels(doc_id, y)`` has 1 for good.  The table of sites is sent to all tasks if it has ``MOST_BROADCAST`` rows at
+    most, which is counted; a larger one is joined by site, with the same results, and Spark splits its hot sites.
     """
     names = fresh(passed, "doc_score", "host_mean", "path_mean", "score", "keep")
     model = model or train(docs, labels)
     scored = evidence(docs.withColumns({"_host": F.col("host").cast("string"), "_path": F.col("path").cast("string")}), model, (*passed, "_host", "_path"))
     known = cut(sites(docs, labels)).withColumnsRenamed({"host": "_of_host", "path": "_of_path", "path_mean": "_path_mean", "host_mean": "_host_mean", "global_mean": "_mean"})
-    if known.count() <= SMALL_SITES:
+    if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
     joined = scored.join(known, scored["_host"].eqNullSafe(known["_of_host"]) & scored["_path"].eqNullSafe(known["_of_path"]))
 

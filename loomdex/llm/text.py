@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import unicodedata
@@ -67,6 +69,15 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end what the worker freed goes back to the system, as workers live on, idle, beside other tasks."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and each row's bounds in it; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -135,9 +146,13 @@ def _unassigned() -> np.ndarray:
 
 
 class _Table:
-    """Hash -> (start, length) in a pool of ids, by open addressing."""
+    """Hash -> (start, length) in a pool of ids, by open addressing.
 
-    def __init__(self, bits: int = 22):
+    A pre-token is known by its 64-bit hash alone: two different ones with one hash would share the first one's ids.  Among the
+    2 ** 19 that the table holds at most the chance of that is below 1e-8.
+    """
+
+    def __init__(self, bits: int = 20):
         self.keys, self.slots, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
         self.pool, self.used, self.n = np.empty(1 << 20, np.uint16), 0, 0
         self.starts, self.lens = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
@@ -179,6 +194,9 @@ class _Table:
 class Tokens:
     """A tokenizers file with a table of pre-tokens.
 
+    Strings of special tokens in a text are ordinary text (``encode_special_tokens``, as the vocabularies' description says), so
+    no text can forge a document's end.
+
     The pre-tokeniser's split is computed over whole batches; each distinct pre-token is encoded by the
     library once per worker (the table is bounded and starts anew when it is half full) and the ids of a
     text are those of its pre-tokens in turn.  ``spaced`` tells the two kinds of file apart: byte-level
@@ -230,7 +248,7 @@ class Tokens:
         if (new := np.flatnonzero(entry < 0)).size:
             distinct, first = np.unique(h[new], return_index=True)
             if self.table.full(len(distinct)):
-                bits = max(22, int(2 * len(h)).bit_length() + 1)
+                bits = max(20, int(2 * len(h)).bit_length() + 1)
                 self.table = _Table(bits)
                 distinct, new = np.unique(h, return_index=True)
             else:

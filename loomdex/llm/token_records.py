@@ -8,7 +8,8 @@ in any order by range reads.  The mask is ``rotate_right(crc32, 15) + 0xa282ead8
 that is stored beside data which itself holds checksums must not be the plain one.
 
 Defined cases: null or empty text is a sequence of the end id alone; rows with a null doc_id come first;
-repeated rows give repeated records (in any order among themselves); an empty table gives no files and no rows.  Extra columns are not read.
+rows of one doc_id come in order of a hash of their text, then the text, so reruns agree, and one id's many rows may be parted between files; repeated
+rows give repeated records; a very long text is one record, made by itself; an empty table gives no files and no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.files import opened, unique_name
-from loomdex.llm.text import sliced, tokens
+from loomdex.llm.text import sliced, tokens, trimmed
 from loomdex.plans.lineage import cut
 
 READ_BYTES = 8 << 20
@@ -81,8 +82,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, partit
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": path.rpartition("/")[2], "records": len(ends), "tokens": total}], schema)
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())])
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return cut(ordered.mapInArrow(put, MANIFEST))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").drop("_hash")
+    return cut(ordered.mapInArrow(lambda batches: trimmed(put(batches)), MANIFEST))
 
 
 def records(folder: str, path: str, ordinals: list[int] | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:

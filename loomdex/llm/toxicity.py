@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from loomdex.functions.names import fresh
 from loomdex.llm.bags import Features, sentence_features
-from loomdex.llm.text import mix, sliced
+from loomdex.llm.text import mix, sliced, trimmed
 from loomdex.plans.lineage import cut
 
 SAMPLE, FEATURES, FOLDS, BLOCK = 12_000, 512, 5, 1 << 20
@@ -79,7 +79,7 @@ def _select(rows: DataFrame, totals: dict[int, tuple[int, float]]) -> list[np.nd
 
     ``totals`` are each fold's documents and their labels' sum.  Measure: the log-likelihood ratio of the label given the feature.
     """
-    counted = rows.select("doc_id", "text", "y").mapInArrow(_counted, "h long, part int, df long, pos double")
+    counted = rows.select("doc_id", "text", "y").mapInArrow(lambda batches: trimmed(_counted(batches)), "h long, part int, df long, pos double")
 
     def of(c: str, i: int) -> Column:
         return F.sum(F.when(F.col("part") == i, F.col(c)).otherwise(0))
@@ -266,9 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"model": json.dumps(fit(batches, known, chosen=sets))}])
 
-    found = rows.mapInArrow(lambda batches: _found(known, batches), "doc_id long, y double, n_sents long, n_hit long, pairs binary, counts binary")
+    found = rows.mapInArrow(lambda batches: trimmed(_found(known, batches)), "doc_id long, y double, n_sents long, n_hit long, pairs binary, counts binary")
     # the scans stay spread; what they found in the sample alone meets in one task, in a fixed order
-    fitted = found.repartition(1).sortWithinPartitions("doc_id", "n_sents", "pairs", "counts", "y").mapInArrow(run, "model string").head()
+    fitted = found.repartition(1).sortWithinPartitions("doc_id", "n_sents", "pairs", "counts", "y").mapInArrow(lambda batches: trimmed(run(batches)), "model string").head()
     return json.loads(fitted[0])
 
 
@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: dict, passed: tuple[str, ...] = ("doc_id",), a
 
     mine = docs.select(*[F.col(f"`{c}`") for c in passed], F.col("text").cast("string").alias("_scored_text"))
     out = T.StructType([*mine.schema.fields[:-1], T.StructField(names["score"], T.DoubleType()), T.StructField(names["sentences"], T.ArrayType(SENTENCE))])
-    return mine.mapInArrow(run, out)
+    return mine.mapInArrow(lambda batches: trimmed(run(batches)), out)
 
 
 def fold(doc_id: Column) -> Column:
