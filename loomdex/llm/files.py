@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.plans.lineage import cut, shared_dir
+from loomdex.plans.lineage import shared_dir
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -36,11 +36,18 @@ def remove(uri: str) -> None:
         files.delete_dir(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as compressed Parquet and read back: a checkpoint of less size."""
+    folder = passing(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def kept(spark: SparkSession, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
-    """``make(folder)``'s rows, checkpointed, after which the folder goes."""
+    """``make(folder)``'s rows, written, after which the folder goes."""
     folder = scratch(spark, name)
     try:
-        return cut(make(folder))
+        return written(make(folder), f"{name}-rows")
     finally:
         remove(folder)
 

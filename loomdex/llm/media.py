@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.files import opened, unique_name
-from loomdex.llm.text import SLICE_BYTES, sliced
-from loomdex.plans.lineage import cut
+from loomdex.llm.files import opened, unique_name, written
+from loomdex.llm.text import SLICE_BYTES, sliced, trimmed
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
@@ -127,7 +126,7 @@ def write(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> DataFra
             out.close()
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(put, MANIFEST))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: trimmed(put(batches)), MANIFEST), "media-manifest")
     place = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
     return rows.select("doc_id", "n_bytes", "digest").join(place, "digest").select("doc_id", "n_bytes", "digest", "place.shard", "place.offset", "place.length")
 
@@ -167,7 +166,7 @@ def _mapped(members: DataFrame, folder: str, most: int | None, fields: list[tupl
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return members.mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in fields))
+    return members.mapInArrow(lambda batches: trimmed(run(batches)), ", ".join(f"{n} {s}" for n, _, s in fields))
 
 
 def metadata(members: DataFrame, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ def op1_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         manifest = media.write(_table(spark, sf_dir, "documents"), folder)
         # the images' headers fill the metadata by range reads, then the whole members are read
         read = media.contents(media.metadata(media.places(manifest), folder), folder)
-        columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", *media.PLACE, *media.HEADER)
+        columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *media.PLACE, *media.HEADER)  # the digest is media_sha256
         return manifest.select("doc_id", "n_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", *columns)
 
     return kept(spark, "media", make)
