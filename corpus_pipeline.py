@@ -24,7 +24,11 @@ def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 
 @shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or toxicity is under ``TOXIC_FROM``."""
+    """Documents whose noisy-or toxicity is under ``TOXIC_FROM``.
+
+    Rows are judged by their text alone: null and empty texts, and repeated rows, like others; a score on the bound goes; without
+    labels nothing goes.  Extra columns pass through; an empty table stays empty.
+    """
     labels = _labels(spark, sf_dir, "toxic").filter(toxicity.fold(F.col("doc_id")) != 1)
     scored = toxicity.score(docs, toxicity.train(docs, labels), tuple(docs.columns))
     score = scored.columns[len(docs.columns)]
@@ -33,7 +37,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior chance of being good reaches ``GOOD_FROM``."""
+    """Documents whose posterior chance of being good reaches ``GOOD_FROM``; ``source`` stands for the host, ``lang`` for the path.
+
+    Null texts are empty ones, null sources and languages groups of their own; equal texts of one site are judged alike, a chance on the
+    bound stays; without labels, or with good ones alone, nothing goes.  Extra columns pass through; an empty table stays empty.
+    """
     placed = docs.withColumns({"host": F.col("source"), "path": F.col("lang")})
     judged = quality.classify(placed, _labels(spark, sf_dir, "quality"), tuple(docs.columns), at_least=GOOD_FROM)
     return judged.filter(F.col(judged.columns[-1])).select(*_own(docs))
@@ -62,13 +70,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for: whole copies, none above twice.
+
+    Null and empty texts have no words, so their copies are drawn but weigh nothing; a null source is a source; repeated rows are documents of
+    their own; ties are drawn in a fixed order, so reruns agree.  Extra columns pass through; an empty table stays empty.
+    """
     return mixing.repeated(docs)
 
 
 @shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of 4096 tokens; ids as little-endian unsigned 16-bit integers."""
+    """Pieces of packed sequences of 4096 tokens; ids as little-endian unsigned 16-bit integers.
+
+    Null and empty texts are documents of the end id alone; copies are laid out one after the other, in a fixed order; long
+    texts are cut freely.  Extra columns are not read; an empty table gives no pieces.
+    """
     folder = passing(spark, "packing")
     packing.tokenise(docs, vocabulary("word_bpe_49k.json")).write.option("compression", "zstd").parquet(folder)
     return packing.pack(spark.read.parquet(folder), id_bytes=2)
