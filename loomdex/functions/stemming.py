@@ -1,7 +1,8 @@
-"""Word folding and stemming for full-text terms: diacritics go, then suffixes by Porter's published rules (1980)."""
+"""Word folding and stemming for full-text terms: diacritics go, then suffixes by Porter's published rules (1980); and exact token counts."""
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 
@@ -98,3 +99,22 @@ def stemmed(words: pd.Series) -> pd.Series:
     """Stems of folded words, each distinct word of a batch once."""
     known = {w: stem(fold(w)) for w in words.dropna().unique()}
     return words.map(known)
+
+
+def exact_tokens(ranks_path: str, pattern: str):
+    """A column function that counts a text's tokens by a byte-pair vocabulary file; the estimate where its library isn't installed."""
+    try:
+        import tiktoken
+    except ImportError:
+        return lambda text: F.greatest(F.lit(1).cast("long"), F.floor(F.length(text) / 4))
+    known: dict = {}
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        if not known:
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+            known["own"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return texts.fillna("").map(lambda t: len(known["own"].encode_ordinary(t)))
+
+    return count

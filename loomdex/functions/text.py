@@ -123,6 +123,27 @@ def is_peak(ts: Column) -> Column:
     return F.dayofweek(ts).between(2, 6) & (F.hour(ts) >= 13) & (F.hour(ts) < 19)
 
 
+def json_list(column: Column) -> Column:
+    """A JSON text as a list of strings; null, blank and broken ones are empty lists."""
+    return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))
+
+
+def json_map(column: Column) -> Column:
+    """A JSON text as a map of strings; null, blank and broken ones are empty maps."""
+    return F.coalesce(F.from_json(column, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def to_json_text(column: Column) -> Column:
+    """A list or map as JSON text; null stays null."""
+    return F.to_json(column)
+
+
+def enriched(keywords_: Column, provided: Column) -> Column:
+    """Keywords with those that a provider adds, sorted, each once."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(keywords_, none), F.coalesce(provided, none)))
+
+
 def fts_terms(query: str) -> list[str]:
     """Search terms of a user's text: anything but letters, digits, ``_`` and ``-`` parts them; keywords and single letters go."""
     import re

@@ -185,7 +185,7 @@ def reference_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, co
     is the importing file's first symbol, or ``__file__:path``.
     """
     heads = symbols.groupBy("file_id").agg(F.min_by("symbol_id", "id").alias("head"))
-    resolved = imports.filter("resolved_file_id IS NOT NULL")
+    resolved = imports.filter("resolved_file_id IS NOT NULL").select("file_id", "specifier", "names", "resolved_file_id")
     pairs = resolved.join(symbols.select(F.col("file_id").alias("resolved_file_id"), F.col("symbol_id").alias("target_symbol_id"), F.col("name").alias("target_name")), "resolved_file_id")
     text = files.join(contents, "content_hash", "left").select(F.col("id").alias("file_id"), "path", F.col("content").cast("string").alias("content"))
     joined = pairs.join(text, "file_id").join(heads, "file_id", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,15 @@ PATTERNS = {
     "csharp": (("class", r"^\s*(?:public\s+|internal\s+|static\s+|sealed\s+|abstract\s+)*class\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|internal|static|virtual|override|async)\s+)+[\w<>\[\],? ]+\s+(\w+)\s*\(")),
     "swift": (("class", r"^\s*(?:public\s+|final\s+)*class\s+(\w+)"), ("type", r"^\s*(?:public\s+)?(?:struct|enum|protocol)\s+(\w+)"), ("function", r"^\s*(?:public\s+|private\s+|static\s+)*func\s+(\w+)")),
 }
-PATTERNS |= {"cpp": PATTERNS["c"], "vue": PATTERNS["javascript"]}
+_CSS = (("constant", r"^\s*(--[\w-]+)\s*:"), ("type", r"^\s*@keyframes\s+([\w-]+)"), ("class", r"^\s*([.#][A-Za-z_][\w-]*)[^{};]*\{"))
+PATTERNS |= {
+    "cpp": PATTERNS["c"],
+    "vue": PATTERNS["javascript"],
+    "css": _CSS,
+    "scss": (("constant", r"^\s*(\$[\w-]+)\s*:"), ("function", r"^\s*@(?:mixin|function)\s+([\w-]+)"), ("template", r"^\s*(%[\w-]+)[^{};]*\{"), *_CSS),
+    "less": (("constant", r"^\s*(@(?!media|import|keyframes|plugin)[\w-]+)\s*:"), ("function", r"^\s*(\.[\w-]+)\([^)]*\)\s*\{"), *_CSS),
+    "stylus": (("constant", r"^\s*(\$?[\w-]+)\s*="), ("function", r"^\s*([\w-]+)\([^)]*\)\s*$"), ("class", r"^\s*([.#][A-Za-z_][\w-]*)\s*$")),
+}
 #: Import statements: a pattern whose first group is the specifier.
 IMPORTS = {
     "javascript": r"(?:^\s*import\s+(?:[^'\";]*?\s+from\s+)?|^\s*export\s+[^'\";]*?\s+from\s+|\brequire\(\s*|\bimport\(\s*)['\"]([^'\"]+)['\"]",
@@ -112,11 +121,54 @@ def _by_pattern(path: str, text: str, language: str, repo: str) -> list[dict]:
     return out
 
 
+def _package_json(path: str, text: str, repo: str) -> list[dict]:
+    """Scripts are functions, dependencies constants, each at the line that names it."""
+    data, lines = json.loads(text), text.split("\n")
+    out = []
+    for part, kind in (("scripts", "function"), ("dependencies", "constant"), ("devDependencies", "constant"), ("peerDependencies", "constant")):
+        start = next((i for i, line in enumerate(lines) if f'"{part}"' in line), 0)
+        for name, value in (data.get(part) or {}).items():
+            at = next((i for i in range(start, len(lines)) if json.dumps(name) in lines[i]), start)
+            out.append(_row(path, text, "json", name, f"{part}.{name}", kind, at + 1, at + 1, f"{name}: {value}"[:200], None, [], None, repo))
+    return out
+
+
+def _kubernetes(path: str, text: str, repo: str) -> list[dict]:
+    """A symbol for each object of a manifest: its kind and name; a Secret's values are no part of it."""
+    out, first = [], 1
+    for part in re.split(r"(?m)^---\s*$", text):
+        size = part.count("\n")
+        kind, name = re.search(r"(?m)^kind:\s*(\w+)", part), re.search(r"(?ms)^metadata:\s*\n(?:[ \t]+[^\n]*\n)*?[ \t]+name:\s*[\"']?([\w.-]+)", part)
+        if kind and name and re.search(r"(?m)^apiVersion:", part):
+            space = re.search(r"(?m)^[ \t]+namespace:\s*[\"']?([\w.-]+)", part)
+            qualified = f"{space[1]}/{kind[1]}/{name[1]}" if space else f"{kind[1]}/{name[1]}"
+            lead = len(part) - len(part.lstrip("\n"))
+            out.append(_row(path, text, "yaml", name[1], qualified, "type", first + lead, max(first + lead, first + size - (1 if part.endswith("\n") else 0)), f"{kind[1]} {name[1]}", None, [], None, repo))
+        first += size
+    return out
+
+
+def without_secrets(text: str) -> str:
+    """A manifest's text with the values of its Secrets replaced by ``***``."""
+    parts = re.split(r"(?m)^(---\s*)$", text)
+    for i, part in enumerate(parts):
+        if re.search(r"(?m)^kind:\s*Secret\b", part):
+            parts[i] = re.sub(r"(?m)^(data|stringData):[ \t]*\n((?:[ \t]+[^\n]*(?:\n|$))+)", lambda m: f"{m[1]}:\n" + re.sub(r"(?m)^([ \t]+[\w.-]+:)[^\n]*(?:\n(?=[ \t]{4,})[^\n]*)*", r"\1 ***", m[2]), part)
+    return "".join(parts)
+
+
 def symbols_of(path: str, text: str, language: str, repo: str = "") -> list[dict]:
     """Symbol rows of one file; repeated ids get ``~1``, ``~2`` behind; a file that doesn't parse has none."""
     try:
-        rows = _python(path, text, repo) if language == "python" else _by_pattern(path, text, language, repo) if language in PATTERNS else []
-    except (SyntaxError, ValueError, RecursionError):
+        if language == "python":
+            rows = _python(path, text, repo)
+        elif language == "json":
+            rows = _package_json(path, text, repo) if path.endswith("package.json") else []
+        elif language == "yaml":
+            rows = _kubernetes(path, text, repo) if "apiVersion:" in text else []
+        else:
+            rows = _by_pattern(path, text, language, repo) if language in PATTERNS else []
+    except (SyntaxError, ValueError, AttributeError, RecursionError):
         return []
     seen: dict[str, int] = {}
     for r in rows:
