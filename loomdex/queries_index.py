@@ -18,8 +18,8 @@ from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
 from loomdex.plans.shipping import shipped
 from loomdex.queries import Tables
+from loomdex.sources import code, manifests, tables
 from loomdex.sources import files as S
-from loomdex.sources import manifests, tables
 from loomdex.streaming import usage
 
 QUERIES: dict = {}
@@ -983,3 +983,57 @@ def job_queue(spark: SparkSession, sf: str) -> DataFrame:
     e, k = Tables(spark, sf).events, F.col("event_id") % 3
     jobs = e.select(F.col("event_id").alias("id"), F.concat(F.col("user_id").cast("string"), "event_type").alias("key"), F.when(k == 0, "queued").when(k == 1, "running").otherwise("done").alias("status"), F.col("ts").alias("queued_at"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ended_at"))
     return usage.queued(jobs).select("id", "key", "status")
+
+
+# parsing, over a module made for every document
+
+def _modules(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    more = F.when(F.col("doc_id") % 3 == 0, "        elif b and a:\n            pass\n").otherwise("")
+    head = F.concat(F.lit("import pkg.m"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("\n\nclass C"), d, F.lit("(Base):\n    def run(self, a, b):\n        if a:\n            return helper(a)\n"))
+    text = F.concat(head, more, F.lit('\ndef helper(x):\n    """Helps."""\n    return x\n'))
+    return Tables(spark, sf).documents.select(F.concat(F.lit("pkg/m"), d, F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("content"))
+
+
+_MODULES = """m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS more FROM documents)"""
+
+
+@query(
+    _with(_MODULES)
+    + """SELECT 'r::pkg/m' || doc_id || '.py::C' || doc_id || '#class' AS symbol_id, 'class' AS kind, 'class C' || doc_id || '(Base)' AS signature, NULL AS docstring, NULL AS parent_symbol_id, 3 AS line_start, CAST(6 + more AS INTEGER) AS line_end, CAST(2 + more AS INTEGER) AS cyclomatic, 3 AS max_nesting, 0 AS param_count FROM m
+UNION ALL SELECT 'r::pkg/m' || doc_id || '.py::C' || doc_id || '.run#method', 'method', 'def run(self, a, b)', NULL, 'r::pkg/m' || doc_id || '.py::C' || doc_id || '#class', 4, CAST(6 + more AS INTEGER), CAST(2 + more AS INTEGER), 2, 2 FROM m
+UNION ALL SELECT 'r::pkg/m' || doc_id || '.py::helper#function', 'function', 'def helper(x)', 'Helps.', NULL, CAST(8 + more AS INTEGER), CAST(10 + more AS INTEGER), 1, 1, 1 FROM m"""
+)
+def parsed_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return code.symbols(_modules(spark, sf), "r").select("symbol_id", "kind", "signature", "docstring", "parent_symbol_id", "line_start", "line_end", "cyclomatic", "max_nesting", "param_count")
+
+
+@query(_with(_MODULES) + "SELECT 'pkg/m' || doc_id || '.py' AS path, 'pkg.m' || (doc_id // 2) AS specifier, 'pkg/m' || (doc_id // 2) || '.py,pkg/m' || (doc_id // 2) || '/__init__.py,src/pkg/m' || (doc_id // 2) || '.py,src/pkg/m' || (doc_id // 2) || '/__init__.py' AS candidates FROM m")
+def parsed_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return code.imports(_modules(spark, sf)).select("path", "specifier", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(_with(_MODULES) + "SELECT 'pkg/m' || doc_id || '.py' AS path, 'r::pkg/m' || doc_id || '.py::C' || doc_id || '.run#method' AS caller_symbol_id, 'helper' AS callee, 6 AS line FROM m")
+def parsed_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return code.calls(_modules(spark, sf), "r")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_size, p_partkey % 4 AS k FROM part) SELECT p_partkey, CAST(CASE k WHEN 0 THEN p_size + 1 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 4 END AS INTEGER) AS cyclomatic, CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS INTEGER) AS max_nesting, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS param_count FROM s"""
+)
+def code_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of four kinds of function: as many branches as a part's size, braces, nothing, and nested braces with literals."""
+    from loomdex.functions.complexity import complexity
+
+    k = F.col("p_partkey") % 4
+    flat = F.concat(F.lit("def f(self, a, b=(1, 2)):\n"), F.repeat(F.lit("    x = 1 if a else 2  # or b\n"), F.col("p_size")))
+    source = F.when(k == 0, flat).when(k == 1, 'function f(a, b, [c, d]) { if (a && b) { return "x && y"; } }').when(k == 2, "").otherwise("func f(a map[string, int]) { for (;;) { if (a) { b() } else if (c) {} } }")
+    language = F.when(k == 0, "python").when(k == 1, "javascript").when(k == 2, F.lit(None)).otherwise("go")
+    return Tables(spark, sf).part.select("p_partkey", complexity(source, language).alias("m")).select("p_partkey", "m.*")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '[\"' || event_type || '\"]' AS listed, '' AS missing FROM events")
+def json_columns(spark: SparkSession, sf: str) -> DataFrame:
+    e = Tables(spark, sf).events
+    listed = X.to_json_text(X.json_list(F.concat(F.lit('["'), "event_type", F.lit('"]'))))
+    return e.select("event_id", F.try_element_at(X.json_map(F.col("props")), F.lit("k")).alias("k"), listed.alias("listed"), F.array_join(X.json_list(F.lit(None).cast("string")), ",").alias("missing"))
