@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.llm.files import written
 from loomdex.llm.text import mix, shingle_sets, sliced, trimmed
 from loomdex.operators.components import connected_components
 from loomdex.plans.lineage import cut
@@ -47,6 +48,11 @@ GATHERED = 1_000_000
 #: N-grams of all sets together for each bucket of signatures; a bucket has about a quarter as many signatures, at 13 bytes.
 BUCKET_GRAMS = 8_000_000
 SIZED = "doc_id long, n_shingles long, digest binary, vertex long"
+#: A signature that one of so many sets of a task's batch has, and this often at least, is hot.
+HOT_SHARE, HOT_LEAST = 256, 256
+#: Hot signatures that every task is told of: those named by most batches.  Others are only held like the rest.
+MOST_HOT = 100_000
+HOT, HOT_USES = -1, 1 << 62
 PACKED = "bucket int, signs binary, ids binary, classes binary"
 SHARED = "sign long, id long, uses long, spare int"
 FOUND = "u long, v long, links long"
@@ -132,9 +138,11 @@ def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
 
     A set counts in its own class (role 0) and, if it can link with smaller ones, in the one below (role 1).
     Sets that allow no difference are left to their digests.  A task writes the signatures of equal sets once,
-    and a row for each bucket, so rows follow the tasks, not the documents.
+    and a row for each bucket, so rows follow the tasks, not the documents.  A row of bucket ``HOT`` names a signature
+    that is hot in a batch.
     """
     schema = pa.schema([("bucket", pa.int32()), ("signs", pa.binary()), ("ids", pa.binary()), ("classes", pa.binary())])
+    gathered, share, least = GATHERED, HOT_SHARE, HOT_LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, seen, held, n = Bounds(num, den), set(), [], 0
@@ -149,6 +157,9 @@ def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
             at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
             full = [(b, i, j) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
             rows = [{"bucket": b, "signs": _bytes(signs[i:j], 6), "ids": _bytes(ids[i:j], 6), "classes": kinds[i:j].tobytes()} for b, i, j in full]
+            names, uses = np.unique(_named(signs, bucket[order]), return_counts=True)
+            if len(hot := names[uses >= max(least, len(held) // share)]):
+                rows += [{"bucket": HOT, "signs": name.tobytes(), "ids": b"", "classes": b""} for name in hot.astype("<u8")]
             return pa.RecordBatch.from_pylist(rows, schema)
 
         for batch in batches:
@@ -162,7 +173,7 @@ def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
                         signs = signatures(grams, kind - role, bounds)
                         held.append((signs, vertex * 2 + role, kind - role))
                         n += len(signs)
-                if n >= GATHERED:
+                if n >= gathered:
                     yield out()
                     held, n = [], 0
         if held:
@@ -171,12 +182,36 @@ def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
     return docs.select("text").mapInArrow(lambda batches: trimmed(run(batches)), PACKED)
 
 
+def _named(signs: np.ndarray, bucket) -> np.ndarray:
+    """Names of signatures: a mix of the 48 bits that are written and the bucket."""
+    return mix((signs & np.uint64((1 << 48) - 1)) + (np.asarray(bucket, np.uint64) << np.uint64(48)))
+
+
 def shared(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """``SHARED`` of ``PACKED`` rows: the signatures that several sets have, each set's once, with their number."""
+    """``SHARED`` of written ``PACKED`` rows: the signatures that several sets have, each set's once, with their number.
+
+    A bucket meets in one task, which holds what is not hot there: less than one of ``HOT_SHARE`` sets has such a signature.
+    Uses of hot signatures go through as they come, several times if several tasks had equal sets; they count as ``HOT_USES``, the
+    most, as only an order is wanted.
+    """
+    named = rows.filter(F.col("bucket") == HOT).groupBy("signs").count().orderBy(F.col("count").desc(), "signs").limit(MOST_HOT).collect()
+    hot = np.sort(np.frombuffer(b"".join(r["signs"] for r in named), "<u8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, key, held = Bounds(num, den), None, []
 
+        def passed(own: list[bytes]) -> pa.RecordBatch | None:
+            """The hot ones of a row, which keeps the others."""
+            s, i, kinds = _values(own[0], 6), _values(own[1], 6), np.frombuffer(own[2], np.uint8)
+            name = _named(s, key)
+            is_hot = np.isin(name, hot)
+            if not is_hot.any():
+                return None
+            own[:] = [_bytes(s[~is_hot], 6), _bytes(i[~is_hot], 6), kinds[~is_hot].tobytes()]
+            spare = np.array([0, *(bounds.parts(k)[1] for k in range(1, int(kinds.max()) + 1))], np.int32)
+            columns = [pa.array(name[is_hot].view(np.int64)), pa.array(i[is_hot].astype(np.int64)), pa.array(np.full(int(is_hot.sum()), HOT_USES)), pa.array(spare[kinds[is_hot]])]
+            return pa.RecordBatch.from_arrays(columns, names=["sign", "id", "uses", "spare"])
+
         def done() -> pa.RecordBatch:
             s, i = (_values(b"".join(h[c] for h in held), 6) for c in (0, 1))
             kinds = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
@@ -189,7 +224,7 @@ def shared(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             uses = np.repeat(runs, runs)
             many = uses > 1
             spare = np.array([0, *(bounds.parts(k)[1] for k in range(1, int(kinds.max()) + 1))], np.int32)
-            sign = mix(s[many] + (np.uint64(key) << np.uint64(48)))
+            sign = _named(s[many], key)
             columns = [pa.array(sign.view(np.int64)), pa.array(i[many].astype(np.int64)), pa.array(uses[many].astype(np.int64)), pa.array(spare[kinds[many]])]
             return pa.RecordBatch.from_arrays(columns, names=["sign", "id", "uses", "spare"])
 
@@ -199,11 +234,15 @@ def shared(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
                     if held:
                         yield done()
                     key, held = bucket, []
-                held.append(own)
+                if len(hot) and (through := passed(own)) is not None:
+                    yield through
+                if own[0]:
+                    held.append(own)
         if held:
             yield done()
 
-    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda batches: trimmed(run(batches)), SHARED)
+    dealt = rows.filter(F.col("bucket") != HOT).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lambda batches: trimmed(run(batches)), SHARED)
 
 
 def _vertex(digest: bytes) -> int:
@@ -328,7 +367,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     n_grams = base.agg(F.sum("n_shingles")).head()[0] or 0  # one number
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_grams // BUCKET_GRAMS)
     mine = Window.partitionBy("id").orderBy(F.col("uses").desc(), "sign")  # a set's own signatures
-    kept = cut(shared(packed(docs, k, num, den, buckets), num, den, buckets).withColumn("rank", F.row_number().over(mine)).filter("rank > spare").select("sign", "id"))
+    kept = cut(shared(written(packed(docs, k, num, den, buckets), "signatures"), num, den, buckets).withColumn("rank", F.dense_rank().over(mine)).filter("rank > spare").select("sign", "id"))
     pivots = kept.groupBy("sign").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).filter("pivot < most").select("sign", "pivot")
     near = kept.join(pivots, "sign").filter("id <> pivot").select("id", "pivot").distinct()
     blocks = connected_components(near, "id", "pivot")

@@ -67,6 +67,21 @@ def test_large_blocks_are_sliced(spark, monkeypatch):
     assert got == brute(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize("least", [2, 5])
+def test_hot_signatures_pass_through(spark, monkeypatch, least):
+    """Families around one passage, with exact copies in every partition: signatures that many sets of a batch share are held by no task."""
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", least)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 4)
+    monkeypatch.setattr(ngram_join, "GATHERED", 300)
+    texts = [*family(21, 40, 60, 3), *family(22, 20, 25, 3), *family(23, 12, 300, 12)]
+    rows = list(enumerate(texts + texts[::3] + texts[:9]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    packed = ngram_join.packed(df, 3, 80, 100, 4)
+    assert packed.filter(F.col("bucket") == ngram_join.HOT).count() > 0
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_join(df, 3, 80, 100).collect()}
+    assert got == brute(rows, 3, 80, 100)
+
+
 def test_join_on_messy_rows(messy, empty, spark):
     rows = ngram_join.jaccard_join(messy).collect()
     assert len(rows) == messy.count()
