@@ -18,7 +18,7 @@ from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
 from loomdex.plans.shipping import shipped
 from loomdex.queries import Tables
-from loomdex.sources import code, manifests, tables
+from loomdex.sources import code, documents, manifests, tables
 from loomdex.sources import files as S
 from loomdex.streaming import usage
 
@@ -1037,3 +1037,16 @@ def json_columns(spark: SparkSession, sf: str) -> DataFrame:
     e = Tables(spark, sf).events
     listed = X.to_json_text(X.json_list(F.concat(F.lit('["'), "event_type", F.lit('"]'))))
     return e.select("event_id", F.try_element_at(X.json_map(F.col("props")), F.lit("k")).alias("k"), listed.alias("listed"), F.array_join(X.json_list(F.lit(None).cast("string")), ",").alias("missing"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, 't' || doc_id AS s FROM documents) SELECT 'd' || doc_id || '.md' AS path, position, title, level, slug, parent_position FROM (
+SELECT doc_id, 0 AS position, 'T' || doc_id AS title, 1 AS level, s AS slug, NULL AS parent_position FROM d UNION ALL SELECT doc_id, 1, 'Part', 2, s || '/part', 0 FROM d UNION ALL SELECT doc_id, 2, 'Part', 2, s || '/part-2', 0 FROM d UNION ALL SELECT doc_id, 3, 'Deep', 3, s || '/part/deep', 2 FROM d)"""
+)
+def sections_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings of a document made for every row, with the row's text between them on one line that can't be one."""
+    d = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("> "), F.regexp_replace("text", r"[\n\r#=`~-]", " "))
+    text = F.concat(F.lit("# T"), d, F.lit("\n\n"), body, F.lit("\n\n## Part\n\nx\n\n## Part\n\n### Deep\n"))
+    docs = Tables(spark, sf).documents.select(F.concat(F.lit("d"), d, F.lit(".md")).alias("path"), text.alias("content"))
+    return documents.sections(docs).select("path", "position", "title", "level", "slug", "parent_position")

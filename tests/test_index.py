@@ -188,3 +188,27 @@ def test_unknown_targets_have_an_error(spark):
     t = spark.createDataFrame([(1, "run"), (9, "run")], "target long, name string")
     got = {(r["target"], r["id"]): (r["depth"], r["kind"], r["cross_repo"], r["error"]) for r in graph.blast_radii(f, i, t).collect()}
     assert got == {(1, 2): (1, "confirmed", True, None), (1, 3): (2, "potential", False, None), (9, None): (None, None, None, "unknown target")}
+
+
+def test_html_sections_against_the_pages(spark):
+    """The query over all pages of a small table: each page's own heading, found by hand, and ranges that join."""
+    import html
+    import os
+
+    from loomdex.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    got = {}
+    for r in QUERIES["sections_html"](spark, sf).orderBy("path", "position").collect():
+        got.setdefault(r["path"], []).append(r)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        heads = [(int(n), re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", t))).strip()) for n, t in re.findall(r"(?s)<h([1-6])[^>]*>(.*?)</h\1>", re.sub(r"<!--.*?-->", "", p["html"]))]
+        rows = got[f"page/{p['page_id']}.html"]
+        own = [r for r in rows if r["level"] > 0]
+        assert [r["level"] for r in own] == [n for n, _ in heads]
+        assert [re.sub(r"\W+", "", r["title"]) for r in own] == [re.sub(r"\W+", "", t) for _, t in heads]
+        assert all(a["byte_end"] == b["byte_start"] for a, b in zip(rows, rows[1:], strict=False))
