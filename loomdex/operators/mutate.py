@@ -114,3 +114,20 @@ def cascade_tree(parents: DataFrame, levels: Sequence[tuple[str, DataFrame, str,
         if own is not None:
             gone = rows.join(gone, F.col(fk) == F.col("_gone"), "left_semi").select(F.col(own).alias("_gone")).distinct()
     return out
+
+
+def dirty(base: DataFrame, edited: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, changed, is_new)`` of edited rows that differ from the stored ones: the names of the columns that do."""
+    columns = [c for c in edited.columns if c not in keys]
+    stored = base.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *columns]]).withColumn("_known", F.lit(True))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    joined = edited.join(stored, on, "left")
+    names = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in columns]), lambda n: n.isNotNull())
+    out = joined.select(*keys, names.alias("changed"), F.col("_known").isNull().alias("is_new"))
+    return out.filter(F.col("is_new") | (F.size("changed") > 0))
+
+
+def save(base: DataFrame, edited: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``base`` with the edited rows that are new or differ; equal ones are not written anew."""
+    changed = edited.join(dirty(base, edited, keys).select(*keys), list(keys), "left_semi").select(*edited.columns)
+    return upsert(base, changed, keys)

@@ -160,3 +160,11 @@ def column_matches(providers: list[DataFrame]) -> DataFrame:
         both = both.unionByName(p)
     best = both.groupBy("model", "column").agg(F.max(F.struct("score", "description")).alias("b"))
     return best.select("model", "column", "b.description", "b.score").orderBy(F.col("score").desc(), "model", "column")
+
+
+def entry_points(symbols: DataFrame, most: int = 20) -> DataFrame:
+    """``(symbol_id, name, path)`` of functions and classes where reading may begin: entry points by name or file, private ones aside."""
+    from loomdex.operators.quality import is_entry_point
+
+    public = symbols.filter(F.col("kind").isin("function", "class") & ~F.col("name").startswith("_") & ~F.col("name").startswith("test_") & ~F.col("name").startswith("Test"))
+    return public.filter(is_entry_point(F.col("name"), F.col("path"))).select("symbol_id", "name", "path").orderBy("path", "symbol_id").limit(most)

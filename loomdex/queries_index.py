@@ -18,6 +18,7 @@ from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
 from loomdex.plans.shipping import shipped
 from loomdex.queries import Tables
+from loomdex.schema import Migration, add_column, conform, drop_column, migrate, rename_column
 from loomdex.sources import code, documents, manifests, tables
 from loomdex.sources import files as S
 from loomdex.streaming import usage
@@ -1050,3 +1051,65 @@ def sections_markdown(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("# T"), d, F.lit("\n\n"), body, F.lit("\n\n## Part\n\nx\n\n## Part\n\n### Deep\n"))
     docs = Tables(spark, sf).documents.select(F.concat(F.lit("d"), d, F.lit(".md")).alias("path"), text.alias("content"))
     return documents.sections(docs).select("path", "position", "title", "level", "slug", "parent_position")
+
+
+# schema and state
+
+@query("SELECT CAST(event_id AS BIGINT) AS id, 'src' || user_id AS name, CAST(NULL AS VARCHAR) AS version, CAST(round(value) AS VARCHAR) AS briefing FROM events")
+def conformed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in the declared columns of a table: types are cast, missing columns null, others left out."""
+    e = Tables(spark, sf).events.select(F.col("event_id").cast("int").alias("id"), F.concat(F.lit("src"), "user_id").alias("name"), F.round("value").alias("briefing"), "props")
+    return conform(e, "repos").select("id", "name", "version", "briefing")
+
+
+@query("SELECT n_nationkey, n_name AS title, CAST(NULL AS BIGINT) AS size, 'up' AS way FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'back' FROM nation")
+def migrated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A table two migrations up, and back again to the first columns."""
+    steps = [
+        Migration(1, "title", rename_column("nation", "n_name", "title"), rename_column("nation", "title", "n_name")),
+        Migration(2, "size", add_column("nation", "size", "long"), drop_column("nation", "size")),
+    ]
+    first = {"nation": Tables(spark, sf).nation}
+    up, at = migrate(first, steps, 0)
+    back, _ = migrate(up, steps, at, 0)
+    a = up["nation"].select("n_nationkey", "title", "size", F.lit("up").alias("way"))
+    return a.union(back["nation"].select("n_nationkey", F.col("n_name").alias("title"), F.col("n_regionkey").cast("long").alias("size"), F.lit("back").alias("way")))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 12 = 0 THEN 's_name,s_acctbal' WHEN s_suppkey % 4 = 0 THEN 's_name' ELSE 's_acctbal' END AS changed, s_suppkey % 5 = 0 AS is_new FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 6 = 0 OR s_suppkey % 5 = 0")
+def dirty_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = Tables(spark, sf).supplier.select("s_suppkey", "s_name", "s_acctbal")
+    k = F.col("s_suppkey")
+    edited = s.withColumns({"s_name": F.when(k % 4 == 0, "new").otherwise(F.col("s_name")), "s_acctbal": F.when(k % 6 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal"))})
+    return mutate.dirty(s.filter(k % 5 != 0), edited, ["s_suppkey"]).withColumn("changed", F.array_join("changed", ","))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'new' ELSE s_name END AS s_name, s_acctbal FROM supplier")
+def saved_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = Tables(spark, sf).supplier.select("s_suppkey", "s_name", "s_acctbal")
+    edited = s.withColumn("s_name", F.when(F.col("s_suppkey") % 4 == 0, "new").otherwise(F.col("s_name")))
+    return mutate.save(s.filter("s_suppkey % 5 <> 0"), edited, ["s_suppkey"])
+
+
+@query("WITH c AS (SELECT user_id AS node_id, min(ts) AS first_ts FROM events GROUP BY 1), f AS (SELECT node_id FROM c ORDER BY first_ts, node_id LIMIT 1) SELECT 'free' AS lease, node_id AS holder FROM f UNION ALL SELECT 'stale', node_id FROM f UNION ALL SELECT 'held', -1 UNION ALL SELECT 'renewed', 5")
+def lease_claims(spark: SparkSession, sf: str) -> DataFrame:
+    claims = Tables(spark, sf).events.groupBy(F.col("user_id").alias("node_id")).agg(F.min("ts").alias("at"))
+    now = F.lit("2024-02-01 00:00:30").cast("timestamp_ntz")
+    out = None
+    for name, holder, at in (("free", None, None), ("stale", -1, "2024-02-01 00:00:00"), ("held", -1, "2024-02-01 00:00:25"), ("renewed", 5, "2024-01-01 00:00:00")):
+        lock = spark.range(1).select(F.lit(holder).cast("long").alias("holder"), F.lit(at).cast("timestamp_ntz").alias("taken_at")).filter("holder IS NOT NULL")
+        one = usage.claim(lock, claims, now).select(F.lit(name).alias("lease"), "holder")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT event_type, count(*) - least(256, count(*)) AS dropped FROM events GROUP BY 1")
+def bounded_fan_out(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.fan_out(Tables(spark, sf).events, "event_type", "event_id")[1]
+
+
+@query(_with(_FILES, _SYMBOLS) + "SELECT symbol_id, name, 'src/' || f.id || '/cli.py' AS path FROM symbols s JOIN files f ON f.id = s.file_id WHERE kind IN ('function', 'class') AND f.id % 9 = 0 AND NOT starts_with(name, 'test_') AND NOT starts_with(name, 'Test') AND name NOT IN ('main', 'setup', 'teardown') ORDER BY 3, 1 LIMIT 20")
+def entry_point_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    c = Code(spark, sf)
+    path = F.concat(F.lit("src/"), F.col("id").cast("string"), F.when(F.col("id") % 9 == 0, "/cli.py").otherwise("/m.py"))
+    return overview.entry_points(c.symbols.filter("name NOT IN ('main', 'setup', 'teardown') AND NOT startswith(name, 'test_') AND NOT startswith(name, 'Test')").join(c.files.select(F.col("id").alias("file_id"), path.alias("path")), "file_id"))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 #: Spark DDL of each table; readers take it as it is.
 TABLES: dict[str, str] = {
     "repos": ("id LONG, name STRING, source_path STRING, github_url STRING, indexed_at TIMESTAMP, git_head STRING, repo_type STRING, package_manager STRING, package_name STRING, version STRING, briefing STRING"),
@@ -32,3 +39,62 @@ TABLES: dict[str, str] = {
 
 #: What a symbol may be.
 SYMBOL_KINDS = ("function", "class", "method", "constant", "type", "template", "import")
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """``df`` in a table's declared columns, order and types; missing ones are null, others are left out."""
+    declared = T.StructType.fromDDL(TABLES[table])
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared])
+
+
+Tables = dict[str, DataFrame]
+
+
+@dataclass(frozen=True)
+class Migration:
+    """A numbered change of the tables, and its undoing."""
+
+    number: int
+    name: str
+    up: Callable[[Tables], Tables]
+    down: Callable[[Tables], Tables] | None = None
+
+
+def migrate(tables: Tables, migrations: Sequence[Migration], at: int, to: int | None = None) -> tuple[Tables, int]:
+    """The tables at version ``to`` (by default the last), from version ``at``; writing them is the caller's step.
+
+    Migrations run in order of their numbers, or back from the last one applied; one without a way back stops a rollback by an error.
+    """
+    steps = sorted(migrations, key=lambda m: m.number)
+    if len({m.number for m in steps}) < len(steps):
+        raise ValueError("migrations share a number")
+    to = steps[-1].number if to is None and steps else at if to is None else to
+    out = dict(tables)
+    for m in steps if to >= at else reversed(steps):
+        if at < m.number <= to:
+            out = m.up(out)
+        elif to < m.number <= at:
+            if m.down is None:
+                raise ValueError(f"migration {m.number} ({m.name}) can't be undone")
+            out = m.down(out)
+    return out, to
+
+
+def add_column(table: str, column: str, kind: str) -> Callable[[Tables], Tables]:
+    return lambda t: {**t, table: t[table].withColumn(column, F.lit(None).cast(kind))}
+
+
+def drop_column(table: str, column: str) -> Callable[[Tables], Tables]:
+    return lambda t: {**t, table: t[table].drop(column)}
+
+
+def rename_column(table: str, old: str, new: str) -> Callable[[Tables], Tables]:
+    return lambda t: {**t, table: t[table].withColumnRenamed(old, new)}
+
+
+def rename_table(old: str, new: str) -> Callable[[Tables], Tables]:
+    return lambda t: {new if n == old else n: df for n, df in t.items()}
+
+
+def drop_table(name: str) -> Callable[[Tables], Tables]:
+    return lambda t: {n: df for n, df in t.items() if n != name}

@@ -117,3 +117,24 @@ def closed_sessions(sessions: DataFrame, instances: DataFrame, now: Column) -> D
     own = instances.groupBy(F.col("coding_session_id").alias("_key")).agg(F.count_if(F.col("ended_at").isNull()).alias("_live"))
     ended = F.when(F.col("ended_at").isNull() & (F.col("_live") == 0), now).otherwise(F.col("ended_at"))
     return sessions.join(own, F.col("id") == F.col("_key"), "left").withColumn("ended_at", ended).drop("_key", "_live")
+
+
+def claim(lock: DataFrame, claims: DataFrame, now: Column, seconds: int = 10) -> DataFrame:
+    """The one-row lease ``lock(holder, taken_at)`` after ``claims(node_id, at)``: the holder's own renewal counts first, and a lease
+    that is absent or stale goes to the earliest claim.  A compare-and-set for one micro-batch, whose driver writes the row."""
+    best = claims.agg(F.min(F.struct("at", "node_id")).alias("first"), F.collect_set("node_id").alias("all"))  # nodes are few
+    joined = best.join(lock, F.lit(True), "left")
+    keeps = F.array_contains("all", F.col("holder"))
+    free = F.col("holder").isNull() | stale(F.col("taken_at"), now, seconds)
+    taken = F.when(keeps, F.col("holder")).when(free & F.col("first").isNotNull(), F.col("first.node_id")).otherwise(F.col("holder"))
+    at = F.when(keeps | (free & F.col("first").isNotNull()), now).otherwise(F.col("taken_at"))
+    return joined.select(taken.alias("holder"), at.alias("taken_at")).filter("holder IS NOT NULL")
+
+
+def fan_out(events: DataFrame, queue: str, order: str, capacity: int = 256) -> tuple[DataFrame, DataFrame]:
+    """What bounded queues hold of undelivered events, the first ``capacity`` each, and ``(queue, dropped)`` for the rest."""
+    from pyspark.sql import Window
+
+    numbered = events.withColumn("_rn", F.row_number().over(Window.partitionBy(queue).orderBy(order)))
+    dropped = numbered.groupBy(queue).agg(F.count_if(F.col("_rn") > capacity).alias("dropped"))
+    return numbered.filter(F.col("_rn") <= capacity).drop("_rn"), dropped

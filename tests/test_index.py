@@ -212,3 +212,34 @@ def test_html_sections_against_the_pages(spark):
         assert [r["level"] for r in own] == [n for n, _ in heads]
         assert [re.sub(r"\W+", "", r["title"]) for r in own] == [re.sub(r"\W+", "", t) for _, t in heads]
         assert all(a["byte_end"] == b["byte_start"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_results_are_cached_for_a_while(spark):
+    from loomdex.plans.cache import ResultCache
+
+    now, made = [0.0], []
+
+    def make(n):
+        return lambda: (made.append(n), spark.range(n))[1]
+
+    cache = ResultCache(2, 30, lambda: now[0])
+    assert cache.get("a", make(3), ["files"]).count() == cache.get("a", make(4)).count() == 3 and (cache.hits, cache.misses) == (1, 1)
+    cache.get("b", make(5))
+    cache.get("c", make(6))  # a goes
+    assert set(cache.held) == {"b", "c"}
+    now[0] = 31.0
+    assert cache.get("b", make(7), ["files"]).count() == 7
+    cache.invalidate("files")
+    assert set(cache.held) == {"c"}
+    cache.invalidate()
+    assert not cache.held and made == [3, 5, 6, 7]
+
+
+def test_migrations_without_a_way_back(spark):
+    from loomdex.schema import Migration, drop_table, migrate, rename_table
+
+    t = {"a": spark.range(2)}
+    steps = [Migration(2, "gone", drop_table("b")), Migration(1, "moved", rename_table("a", "b"))]
+    assert set(migrate(t, steps, 0, 1)[0]) == {"b"} and migrate(t, steps, 0) == ({}, 2)
+    with pytest.raises(ValueError):
+        migrate(t, steps, 2, 0)
