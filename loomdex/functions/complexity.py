@@ -14,6 +14,7 @@ DECISIONS = {
     "c": r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?!\.)",
 }
 INDENTED = ("python", "ruby", "yaml")
+#: Comments and literals by the languages' definitions of them.
 _NOISE = {
     "python": (r'(?s)""".*?"""|\'\'\'.*?\'\'\'', r"(?m)#.*$"),
     "c": (r"(?s)/\*.*?\*/", r"(?m)//.*$"),

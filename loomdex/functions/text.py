@@ -10,6 +10,9 @@ CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 URL = r"https?://[^\s\)\]\}>\"'`,;]+"
 TAG = r"(?m)(?:^|(?<=\s))#([A-Za-z][A-Za-z0-9_-]{1,})"
 BRANCH = r"\b(if|elif|else|for|while|except|catch|case|switch|and|or|&&|\|\|)\b"
+PARAMETERS, RECEIVERS = r"\(([^)]*)\)", ("self", "cls")
+#: What is taken out of a body before bodies are compared, in this order.
+BODY_NOISE = ((r'(?s)""".*?"""', ""), (r"(?s)'''.*?'''", ""), (r"(?m)#.*$", ""), (r'"[^"]*"', '""'), (r"'[^']*'", "''"), (r"\s+", " "))
 FTS_KEYWORDS = ("AND", "OR", "NOT", "NEAR")
 
 
@@ -53,17 +56,16 @@ def estimated_complexity(source: Column) -> Column:
 
 def naive_params(signature: Column) -> Column:
     """Comma-separated names in the first parentheses, without self and cls."""
-    inside = F.regexp_extract(signature, r"\(([^)]*)\)", 1)
-    return F.size(F.filter(F.split(inside, ","), lambda p: (F.trim(p) != "") & ~F.trim(p).isin("self", "cls")))
+    inside = F.regexp_extract(signature, PARAMETERS, 1)
+    return F.size(F.filter(F.split(inside, ","), lambda p: (F.trim(p) != "") & ~F.trim(p).isin(*RECEIVERS)))
 
 
 def normalized_body(source: Column) -> Column:
     """Code without docstrings, comments, literals' contents and line structure."""
-    out = F.regexp_replace(source, r'(?s)""".*?"""', "")
-    out = F.regexp_replace(out, r"(?s)'''.*?'''", "")
-    out = F.regexp_replace(out, r"(?m)#.*$", "")
-    out = F.regexp_replace(F.regexp_replace(out, r'"[^"]*"', '""'), r"'[^']*'", "''")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = source
+    for pattern, new in BODY_NOISE:
+        out = F.regexp_replace(out, pattern, new)
+    return F.trim(out)
 
 
 def short_hash(text: Column) -> Column:
