@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ SECURITY_RULES = (
     ("assert_in_production", "low", r"(?m)^\s*assert\s+(?!.*#\s*noqa)", "assert statements are stripped in optimized mode (-O)"),
     ("broad_except", "low", r"(?m)except\s*:\s*$", "Bare except catches KeyboardInterrupt and SystemExit"),
 )
+#: Texts of which a file must hold one, in any case, for a rule to match at all.
+RULE_WORDS = {
+    "eval_usage": ("eval",), "exec_usage": ("exec",), "shell_injection": ("subprocess.",), "pickle_load": ("pickle.load",), "yaml_unsafe_load": ("yaml.load",), "sql_concatenation": ("execute",),
+    "hardcoded_password": ("password", "passwd", "pwd", "secret", "token", "api_key"), "md5_usage": ("md5",), "assert_in_production": ("assert",), "broad_except": ("except",),
+}
 #: Names and files that count as entry points.
 ENTRY_NAMES = ("main", "__init__", "__main__", "setup", "teardown")
 ENTRY_FILES = ("__main__.py", "cli.py", "server.py", "app.py")
@@ -116,15 +124,17 @@ def security_scan(files: DataFrame) -> DataFrame:
     A match counts on the line where it begins, whole patterns that span lines included.  Everything happens inside the
     file's row; only findings, with their line, become rows.
     """
-    code = files.filter(F.col("language").isNotNull() & ~is_test_path(F.col("path")))
+    code = files.filter(F.col("language").isNotNull() & ~is_test_path(F.col("path"))).select("path", "content", F.lower("content").alias("_low"))
     lines = F.split("content", "\n")
 
     def findings(rule: str, severity: str, pattern: str, message: str) -> Column:
         made = F.transform(_line_starts(pattern), lambda i: F.struct(i.alias("line"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.element_at(lines, i).alias("own")))
-        # nearly all files have no match, which one search tells
-        return F.when(F.col("content").rlike(pattern), made).otherwise(F.array().cast("array<struct<line:int,rule:string,severity:string,message:string,own:string>>"))
+        # nearly all files have no match, which a search for the rule's words tells, or one for the pattern
+        held = reduce(operator.or_, (F.contains("_low", F.lit(w)) for w in RULE_WORDS[rule]))
+        return F.when(held, F.when(F.col("content").rlike(pattern), made))
 
-    each = code.select("path", F.explode(F.concat(*[findings(*r) for r in ((n, s, p, m) for n, s, p, m in SECURITY_RULES)])).alias("f"))
+    none = F.array().cast("array<struct<line:int,rule:string,severity:string,message:string,own:string>>")
+    each = code.select("path", F.explode(F.concat(*[F.coalesce(findings(*r), none) for r in SECURITY_RULES])).alias("f"))
     own = F.col("f.own")
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     found = each.filter(~F.contains(own, F.lit(NOQA))).select("path", "f.line", "f.rule", "f.severity", "f.message", F.substring(F.trim(own), 1, 120).alias("snippet"))

@@ -40,20 +40,23 @@ class Index:
 
 def build(docs: DataFrame, key: str, fields: Sequence[str], folder: str, buckets: int = BUCKETS, stem_words: bool = False) -> Index:
     """Write the index of ``docs(key, fields...)``; nulls are empty, keys are distinct."""
-    each = F.concat(*[F.transform(tokens(F.col(f).cast("string")), _with_field(i)) for i, f in enumerate(fields)])
-    words = docs.select(F.col(key).alias("key"), F.explode(each).alias("t")).groupBy("key", "t.term", "t.field").agg(F.count(F.lit(1)).alias("tf"))
+    numbers = range(len(fields))
+    made = docs.select(F.col(key).alias("key"), *[tokens(F.col(f).cast("string")).alias(f"_{i}") for i, f in enumerate(fields)])
+    # a term's postings carry their documents' lengths, which a document's tokens say, so neither build nor search joins them
+    sized = made.select("key", F.array(*[F.size(f"_{i}") for i in numbers]).alias("lengths"), F.explode(F.concat(*[F.transform(f"_{i}", _with_field(i)) for i in numbers])).alias("t"))
+    postings = sized.groupBy("key", "lengths", "t.term").agg(F.array(*[F.count_if(F.col("t.field") == i).cast("int") for i in numbers]).alias("tfs"))
     if stem_words:
-        stems = words.select("term").distinct().withColumn("stem", stemmed("term"))
-        words = words.join(stems, "term").groupBy("key", F.col("stem").alias("term"), "field").agg(F.sum("tf").alias("tf"))
-    tfs = F.array(*[F.coalesce(F.sum(F.when(F.col("field") == i, F.col("tf"))), F.lit(0)).cast("int") for i in range(len(fields))])
-    lengths = docs.select(F.col(key).alias("key"), F.array(*[F.size(tokens(F.col(f).cast("string"))) for f in fields]).alias("lengths"))
-    # a term's postings carry their documents' lengths, so a search joins nothing
-    postings = words.groupBy("key", "term").agg(tfs.alias("tfs")).join(lengths, "key").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        stems = postings.select("term").distinct().withColumn("stem", stemmed("term"))
+        tfs = F.array(*[F.sum(F.col("tfs")[i]).cast("int") for i in numbers])
+        postings = postings.join(stems, "term").groupBy("key", "lengths", F.col("stem").alias("term")).agg(tfs.alias("tfs"))
+    postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     spread = F.pmod(F.xxhash64("key"), F.lit(8))  # a frequent term's postings are several files
     postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/postings")
-    sums = docs.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.size(tokens(F.col(f).cast("string")))), F.lit(0)).alias(f"l{i}") for i, f in enumerate(fields)]).head()  # one row
-    settings = {"fields": list(fields), "buckets": buckets, "stem": stem_words, "n": sums["n"], "tokens": [sums[f"l{i}"] for i in range(len(fields))]}
     spark = docs.sparkSession
+    # the sums are those of the written postings, and documents without any token are counted too
+    written = spark.read.parquet(f"{folder}/postings")
+    sums = written.agg(*[F.coalesce(F.sum(F.col("tfs")[i]), F.lit(0)).alias(f"l{i}") for i in numbers]).head()  # one row
+    settings = {"fields": list(fields), "buckets": buckets, "stem": stem_words, "n": docs.count(), "tokens": [sums[f"l{i}"] for i in numbers]}
     spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
     return Index(spark, folder)
 

@@ -797,7 +797,7 @@ def _indexed(spark: SparkSession, sf: str) -> search_index.Index:
     """The index of ``documents`` in a folder of this run's own."""
     import uuid
 
-    return search_index.build(Tables(spark, sf).documents, "doc_id", ["text", "lang"], f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return search_index.build(Tables(spark, sf).documents, "doc_id", ["text", "lang"], f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=8)
 
 
 @query(_index_sql("LIMIT 25"))
