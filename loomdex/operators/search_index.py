@@ -43,8 +43,12 @@ def build(docs: DataFrame, key: str, fields: Sequence[str], folder: str, buckets
     numbers = range(len(fields))
     made = docs.select(F.col(key).alias("key"), *[tokens(F.col(f).cast("string")).alias(f"_{i}") for i, f in enumerate(fields)])
     # a term's postings carry their documents' lengths, which a document's tokens say, so neither build nor search joins them
-    sized = made.select("key", F.array(*[F.size(f"_{i}") for i in numbers]).alias("lengths"), F.explode(F.concat(*[F.transform(f"_{i}", _with_field(i)) for i in numbers])).alias("t"))
-    postings = sized.groupBy("key", "lengths", "t.term").agg(F.array(*[F.count_if(F.col("t.field") == i).cast("int") for i in numbers]).alias("tfs"))
+    sizes = [f"_l{i}" for i in numbers]
+    words = made.select("key", *[F.size(f"_{i}").alias(c) for i, c in enumerate(sizes)], F.posexplode(F.concat(*[f"_{i}" for i in numbers])).alias("pos", "term"))
+    ends = [sum((F.col(c) for c in sizes[: i + 1]), F.lit(0)) for i in numbers]  # the fields' tokens stand one behind the other
+    tfs = [F.count_if((F.col("pos") < ends[i]) & (F.col("pos") >= ends[i] - F.col(sizes[i]))).cast("int") for i in numbers]
+    counted = words.groupBy("key", *sizes, "term").agg(*[t.alias(f"_n{i}") for i, t in enumerate(tfs)])
+    postings = counted.select("key", F.array(*sizes).alias("lengths"), "term", F.array(*[f"_n{i}" for i in numbers]).alias("tfs"))
     if stem_words:
         stems = postings.select("term").distinct().withColumn("stem", stemmed("term"))
         tfs = F.array(*[F.sum(F.col("tfs")[i]).cast("int") for i in numbers])
@@ -61,10 +65,6 @@ def build(docs: DataFrame, key: str, fields: Sequence[str], folder: str, buckets
     return Index(spark, folder)
 
 
-def _with_field(i: int):
-    return lambda t: F.struct(t.alias("term"), F.lit(i).alias("field"))
-
-
 def search(index: Index, query: str, weights: dict[str, float] | None = None, among: DataFrame | None = None, limit: int | None = None, order: Sequence[Column | str] | None = None, all_terms: bool = False) -> DataFrame:
     """``(key, score)``, best first: BM25 as ``retrieval.bm25`` over the whole index, then kept for keys in ``among(key, ...)``.
 
