@@ -130,3 +130,13 @@ def test_mutations(spark):
     usage = spark.createDataFrame([(1, "2024-01-01", 1, 50)], "repo_id long, date string, calls long, tokens long")
     more = spark.createDataFrame([(1, "2024-01-01", 2, 30)], usage.schema)
     assert mutate.add_counters(usage, more, ["repo_id", "date"]).head()[2:] == (3, 80)
+
+
+def test_like_folds_ascii_alone(spark):
+    from loomdex.operators.predicates import Conditions
+
+    df = spark.createDataFrame([("Émile",), ("émile",), ("a\\b",), ("A_B",), ("axb",), (None,)], "s string")
+    found = lambda p: {r["s"] for r in Conditions().where_like("s", p).apply(df).collect()}
+    assert found("éMILE") == {"émile"} and found("ÉmiLE") == {"Émile"}
+    assert found("a_b") == {"a\\b", "A_B", "axb"} and found("A\\B") == {"a\\b"}
+    assert {r["s"] for r in Conditions().where_not_like("s", "a%").apply(df).collect()} == {"Émile", "émile"}
