@@ -8,8 +8,9 @@ Until that passes 0 or 1 the correction has mean 0, so a document's chance is th
 be off by some hundredths, a source's words are not.  A cell misses its part by less than its smallest documents.
 
 Defined cases: null text has size 0; null source is a source of its own, the last; a source of size 0
-has target 0 and its documents are taken once; an empty table gives no rows; rows of equal size are drawn in order of their draws, then
-ids, then a hash of the text, so reruns agree; repeated rows draw one after the other; a very long text counts as any other;
+has target 0 and its documents are taken once; an empty table gives no rows; rows without an id are drawn by their text; rows of equal size are drawn in
+order of their draws, then ids, then a hash of the text, so reruns agree; repeated rows share a cell and draw one after the other, ``MOST_TOGETHER`` at
+a time, so that no row looks at more, however many there are; a very long text counts as any other;
 extra columns pass through ``mix`` untouched, new names that clash get a suffix from ``fresh``.
 """
 
@@ -24,7 +25,7 @@ from loomdex.plans.lineage import cut
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
 #: Documents of a source that are drawn together.
-CELL = 64
+CELL, MOST_TOGETHER = 64, 256
 #: Sources whose table is small enough to be sent to every task.
 MOST_BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,21 +56,21 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return stepped.select("source", "documents", "source_size", F.when(final.isNull(), F.col("cap")).otherwise(F.least("cap", final * F.col("w"))).alias("target"))
 
 
-def draws(doc_id: Column, seed: int) -> tuple[Column, Column]:
-    """Two numbers in [0, 1) from 52 bits each of an md5 of the id and the seed, which SQL elsewhere can repeat; null ids draw alike."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"#{seed}")))
+def draws(key: Column, seed: int) -> tuple[Column, Column]:
+    """Two numbers in [0, 1) from 52 bits each of an md5 of the key and the seed, which SQL elsewhere can repeat; null keys draw alike."""
+    digest = F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(f"#{seed}")))
     first, second = (F.conv(F.substring(digest, at, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52)) for at in (1, 14))
     return first, second
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, words: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, words: Column | None = None, key: Column | None = None) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies`` appended (names that clash get a suffix from ``fresh``).
 
-    ``words`` is the size, by default the number of words of ``text``.  Sizes are summed per source by partial aggregation; the
+    ``words`` is the size, by default the number of words of ``text``; ``key`` is what draws go by, by default the id or, without one, the text's md5.  Sizes are summed per source by partial aggregation; the
     per-source table is counted and sent to every task up to ``MOST_BROADCAST`` rows, else joined by source.  The
     documents are shuffled once, by source and cell, so that a source with a third of all rows is spread as any other.
     """
-    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_cell", "mix_draw", "mix_taken", "mix_text")
+    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_cell", "mix_draw", "mix_taken", "mix_turn")
     size, rate, cell, draw, taken = (F.col(names[n]) for n in ("size", "mix_rate", "mix_cell", "mix_draw", "mix_taken"))
     sized = docs.withColumn(names["size"], (word_count(F.col("text")) if words is None else words).cast("long"))
     per = cut(targets(sized.select("source", size.alias("size")), share, most, weights))
@@ -78,11 +79,15 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, w
     if per.count() <= MOST_BROADCAST:
         per = F.broadcast(per)
     own = per.withColumnRenamed("documents", names["mix_cell"])
-    first, second = draws(F.col("doc_id"), seed)
+    by_text = F.md5(F.col("text").cast("string")) if "text" in docs.columns else F.lit(None).cast("string")
+    first, second = draws(F.coalesce(F.col("doc_id").cast("string"), by_text) if key is None else key, seed)
     joined = sized.join(own, sized["source"].eqNullSafe(own[names["mix_source"]]))
     joined = joined.withColumns({names["mix_draw"]: first, names["mix_cell"]: F.floor(second * F.greatest(F.lit(1), F.floor(cell / CELL)))})
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    w = Window.partitionBy(names["mix_source"], names["mix_cell"]).orderBy(size.desc(), draw, F.col("doc_id").asc_nulls_last(), text).rowsBetween(Window.unboundedPreceding, 0)
+    order = [size.desc(), draw, F.col("doc_id").asc_nulls_last(), text]
+    turn = F.floor((F.row_number().over(Window.partitionBy(names["mix_source"], names["mix_cell"]).orderBy(*order)) - 1) / MOST_TOGETHER)
+    joined = joined.withColumn(names["mix_turn"], turn)
+    w = Window.partitionBy(names["mix_source"], names["mix_cell"], names["mix_turn"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fraction = rate - F.floor(rate)
 
     def step(a: Column, x: Column) -> Column:

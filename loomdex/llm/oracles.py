@@ -7,16 +7,17 @@ from loomdex.llm.url_reputation import SUFFIXES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
-MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+MIX = rf"""WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(text), '') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
  FROM r WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, n, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM l, f),
-j AS (SELECT doc_id, size, d.source, source_size, n, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#0') AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+j AS (SELECT doc_id, size, d.source, source_size, n, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate, md5(key || '#0') AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 u AS (SELECT *, rate - floor(rate) AS f, CAST(('0x' || substring(h, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u, CAST(floor(CAST(('0x' || substring(h, 14, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * greatest(1, n // 64)) AS BIGINT) AS cell FROM j),
-c AS (SELECT *, list({{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': CAST(size AS DOUBLE), 'u': u, 'f': f}}) OVER (PARTITION BY source, cell ORDER BY size DESC, u, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS own FROM u),
+v AS (SELECT *, (row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, u, doc_id NULLS LAST) - 1) // 256 AS turn FROM u),
+c AS (SELECT *, list({{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': CAST(size AS DOUBLE), 'u': u, 'f': f}}) OVER (PARTITION BY source, cell, turn ORDER BY size DESC, u, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS own FROM v),
 r2 AS (SELECT *, list_reduce(own, lambda a, x: {{'missed': a.missed + x.f * x.size - CASE WHEN CASE WHEN x.size > 0 THEN x.u * x.size < a.missed + x.f * x.size ELSE x.u < x.f END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * x.size,
  'take': CASE WHEN CASE WHEN x.size > 0 THEN x.u * x.size < a.missed + x.f * x.size ELSE x.u < x.f END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 'size': x.size, 'u': x.u, 'f': x.f}}, {{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': 0.0::DOUBLE, 'u': 0.0::DOUBLE, 'f': 0.0::DOUBLE}}).take AS take FROM c)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + take) * size AS BIGINT) AS taken FROM r2"""

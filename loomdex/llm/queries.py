@@ -82,8 +82,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the texts are counted once; what is mixed are short rows
-    sized = cut(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
-    mixed = mixing.mix(sized, words=F.col("words"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("string")))
+    sized = cut(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), key.alias("key")))
+    mixed = mixing.mix(sized, words=F.col("words"), key=F.col("key"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

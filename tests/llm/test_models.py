@@ -253,6 +253,14 @@ def test_mix(messy, empty, spark):
     assert all(abs(r["r"] - 1) < 0.05 for r in near)
 
 
+def test_many_rows_of_one_key_are_drawn_a_part_at_a_time(spark):
+    """A third of all rows are one row, a third have no id and one text: nothing is gathered beyond a turn, and the targets are met."""
+    rows = [(1, "s", "a b c")] * 1500 + [(None, "s", "x y")] * 1500 + [(10 + i, "t" if i % 2 else "s", "w " * (i % 30)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = mixing.mix(df).groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) / F.first("target")).alias("near"), F.count("*").alias("n"), F.max("copies").alias("most")).collect()
+    assert sum(r["n"] for r in got) == len(rows) and all(abs(r["near"] - 1) < 0.02 and r["most"] <= 2 for r in got)
+
+
 def plain_mix(rows, share=1.5, most=2.0, seed=0):
     """copies by (doc_id, size): the draws of ``mix`` in plain code over ``rows(doc_id, source, size)``."""
     import hashlib
