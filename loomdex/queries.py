@@ -464,9 +464,7 @@ def smells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS word FROM benchmark)
-SELECT p_partkey, coalesce(list_bool_or(list_transform(string_split(p_name, ' '), lambda x: x IN (SELECT word FROM w))), false) AS has_tests FROM part""".replace(
-        "coalesce(list_bool_or(list_transform(string_split(p_name, ' '), lambda x: x IN (SELECT word FROM w))), false)", "EXISTS (SELECT 1 FROM w WHERE list_contains(string_split(p_name, ' '), w.word))"
-    )
+SELECT p_partkey, EXISTS (SELECT 1 FROM w WHERE list_contains(string_split(p_name, ' '), w.word)) AS has_tests FROM part"""
 )
 def coverage_flags(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
@@ -610,9 +608,9 @@ def usage_lifetime(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn, CAST(count(*) OVER (PARTITION BY c_mktsegment) AS BIGINT) AS total FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 25".replace(
-    "row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn, ", "c_mktsegment, "
-))
+@query(
+    """SELECT c_custkey, c_mktsegment, CAST(count(*) OVER (PARTITION BY c_mktsegment) AS BIGINT) AS total FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 25"""
+)
 def capped_lists(spark: SparkSession, sf: str) -> DataFrame:
     c = Tables(spark, sf).customer.select("c_custkey", "c_mktsegment", "c_acctbal")
     return diff.capped(c, ["c_mktsegment"], [F.col("c_acctbal").desc(), "c_custkey"], 25).select("c_custkey", "c_mktsegment", "total")
@@ -628,7 +626,9 @@ def peak_hours(spark: SparkSession, sf: str) -> DataFrame:
     return Tables(spark, sf).events.select("event_id", X.is_peak(F.col("ts")).alias("peak"))
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2".replace("row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back", "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back"))
+@query(
+    """SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2"""
+)
 def recent_calls(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
     return Tables(spark, sf).conversations.select("conv_id", "turn", "role", F.row_number().over(w).alias("back")).filter("back <= 2")

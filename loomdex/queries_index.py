@@ -184,12 +184,17 @@ def importers_of_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _with(_SYMBOLS, "e AS (SELECT doc_id, 'C' || doc_id AS child, unnest(['C' || (doc_id // 2), 'Base']) AS parent FROM raw)", "up(name, depth) AS (SELECT parent, 1 FROM e WHERE child = 'C37' UNION SELECT e.parent, depth + 1 FROM up JOIN e ON e.child = up.name WHERE depth < 40 AND up.name <> e.parent)",
-          "down(name, depth) AS (SELECT child, 1 FROM e WHERE parent = 'C37' UNION SELECT e.child, depth + 1 FROM down JOIN e ON e.parent = down.name WHERE depth < 40 AND e.child <> down.name)", recursive=True)
-    + """, a AS (SELECT name, min(depth) AS depth, 'ancestor' AS relation FROM up GROUP BY 1 UNION ALL SELECT name, min(depth), 'descendant' FROM down GROUP BY 1)
-SELECT a.name, CAST(depth AS INTEGER) AS depth, relation, coalesce(s.symbol_id, '(external)') AS location FROM a LEFT JOIN (SELECT name, min(symbol_id) AS symbol_id FROM symbols WHERE kind = 'class' GROUP BY 1) s ON s.name = a.name WHERE a.name <> 'C37'""".replace(", a AS", "", 1).replace("(SELECT name, min(depth) AS depth, 'ancestor' AS relation", "SELECT * FROM (WITH a AS (SELECT name, min(depth) AS depth, 'ancestor' AS relation", 1)
-    + ")"
-)
+    _with(
+        _SYMBOLS,
+        "e AS (SELECT 'C' || doc_id AS child, unnest(['C' || (doc_id // 2), 'Base']) AS parent FROM raw)",
+        "up(name, depth) AS (SELECT parent, 1 FROM e WHERE child = 'C37' UNION SELECT e.parent, depth + 1 FROM up JOIN e ON e.child = up.name WHERE depth < 40 AND up.name <> e.parent)",
+        "down(name, depth) AS (SELECT child, 1 FROM e WHERE parent = 'C37' UNION SELECT e.child, depth + 1 FROM down JOIN e ON e.parent = down.name WHERE depth < 40 AND e.child <> down.name)",
+        "a AS (SELECT name, min(depth) AS depth, 'ancestor' AS relation FROM up GROUP BY 1 UNION ALL SELECT name, min(depth), 'descendant' FROM down GROUP BY 1)",
+        "s AS (SELECT name, min(symbol_id) AS symbol_id FROM symbols WHERE kind = 'class' GROUP BY 1)",
+        recursive=True,
+    )
+    + "SELECT name, CAST(depth AS INTEGER) AS depth, relation, coalesce(symbol_id, '(external)') AS location FROM a LEFT JOIN s USING (name) WHERE name <> 'C37'"
+)
 def class_ancestors_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return graph.class_hierarchy(Code(spark, sf).symbols, "C37")
 
@@ -311,7 +316,8 @@ def context_bundle_row(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _with(_SYMBOLS)
-    + """SELECT symbol_id, score FROM (SELECT symbol_id, CASE WHEN file_id = 30 THEN 3.0::DOUBLE ELSE 0.0 END + 0.5 * CASE WHEN name LIKE '\\_get\\_%' ESCAPE '\\' THEN 1 + CASE WHEN name = '_get_12' THEN 1 ELSE 0 END WHEN lower(name) = 'get' THEN 1 ELSE 0 END AS score FROM symbols WHERE symbol_id <> 's37.13') WHERE score > 0 ORDER BY score DESC, symbol_id LIMIT 15""".replace("file_id = 30", "file_id = 37")
+    + """SELECT symbol_id, score FROM (SELECT symbol_id, CASE WHEN file_id = 37 THEN 3.0::DOUBLE ELSE 0.0 END + 0.5 * CASE WHEN starts_with(name, '_get_') THEN CASE WHEN name = '_get_12' THEN 2 ELSE 1 END WHEN lower(name) = 'get' THEN 1 ELSE 0 END AS score
+ FROM symbols WHERE symbol_id <> 's37.13') WHERE score > 0 ORDER BY score DESC, symbol_id LIMIT 15"""
 )
 def related_symbols_topk(spark: SparkSession, sf: str) -> DataFrame:
     return graph.related_symbols(Code(spark, sf).symbols, "s37.13", 15)
@@ -766,7 +772,7 @@ def drift_and_embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     return Tables(spark, sf).documents.select("doc_id", X.drifted(F.col("text"), stored).alias("drifted"), said.alias("embedded"), X.directory(F.col("source")).alias("directory"))
 
 
-@query("SELECT page_id, array_to_string(list_distinct(list_filter(string_split('#' || regexp_replace(url, '[^A-Za-z]+', ' #', 'g'), ' '), lambda x: length(x) >= 3)), '') AS tags FROM pages".replace("list_distinct(", "list_sort(list_distinct(").replace("length(x) >= 3))", "length(x) >= 3)))"))
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(string_split('#' || regexp_replace(url, '[^A-Za-z]+', ' #', 'g'), ' '), lambda x: length(x) >= 3))), '') AS tags FROM pages")
 def hashtags(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("#"), F.regexp_replace("url", "[^A-Za-z]+", " #"))
     return Tables(spark, sf).pages.select("page_id", F.array_join(F.transform(F.array_sort(X.tags(text)), lambda t: F.concat(F.lit("#"), t)), "").alias("tags"))
@@ -826,7 +832,7 @@ def search_service_reranked(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' the ' || p_type), '[a-z0-9]+') AS toks FROM part), s AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM t),
 p AS (SELECT p_partkey, term, len(list_filter(toks, lambda x: x = term)) AS wtf, len(toks) AS length FROM t, (SELECT DISTINCT term FROM q) WHERE list_contains(toks, term)), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 r AS (SELECT item_id AS query_id, p_partkey, -sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY 1, 2)
-SELECT query_id, p_partkey, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, p_partkey) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, p_partkey) <= 5""".replace("row_number() OVER (PARTITION BY query_id ORDER BY score, p_partkey) AS rank", "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, p_partkey) AS INTEGER) AS rank")
+SELECT query_id, p_partkey, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, p_partkey) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, p_partkey) <= 5"""
 )
 def batch_search_queries(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
