@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index
-from loomdex.plans.lineage import shared_dir
+from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
 from loomdex.plans.shipping import shipped
-from loomdex.queries import Tables
+from loomdex.queries import ORACLE_SQL as CORE_SQL
+from loomdex.queries import SEARCH, Tables
 from loomdex.schema import Migration, add_column, conform, drop_column, migrate, rename_column
 from loomdex.sources import code, documents, manifests, tables
 from loomdex.sources import files as S
@@ -1119,3 +1120,102 @@ def entry_point_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     c = Code(spark, sf)
     path = F.concat(F.lit("src/"), F.col("id").cast("string"), F.when(F.col("id") % 9 == 0, "/cli.py").otherwise("/m.py"))
     return overview.entry_points(c.symbols.filter("name NOT IN ('main', 'setup', 'teardown') AND NOT startswith(name, 'test_') AND NOT startswith(name, 'Test')").join(c.files.select(F.col("id").alias("file_id"), path.alias("path")), "file_id"))
+
+
+# further sources, sinks and searches
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def jdbc_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers written to a database and read back in ranges of their key; the database is Spark's own, in the driver's memory."""
+    import uuid
+
+    url = f"jdbc:derby:memory:loomdex{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    c = Tables(spark, sf).customer.select("c_custkey", "c_name", "c_acctbal")
+    c.coalesce(1).write.format("jdbc").options(url=url, dbtable="customer", **options).save()
+    low, high = c.agg(F.min("c_custkey"), F.max("c_custkey")).head()
+    return cut(tables.jdbc(spark, url, "customer", "c_custkey", (low or 0, (high or 0) + 1), 4, **options))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def partitions_overwritten(spark: SparkSession, sf: str) -> DataFrame:
+    """A table by status of which one partition is written anew."""
+    import uuid
+
+    folder = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    tables.write(o, folder, ["o_orderstatus"])
+    tables.write(o.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0)), folder, ["o_orderstatus"], "overwrite")
+    return spark.read.parquet(folder).select("o_orderkey", F.col("o_orderstatus").cast("string").alias("o_orderstatus"), "o_totalprice")
+
+
+@query("""SELECT p_partkey, CAST(greatest(1, length('{"id":' || p_partkey || ',"name":"' || p_name || '"}') // 4) AS BIGINT) AS tokens FROM part""")
+def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return Tables(spark, sf).part.select("p_partkey", X.token_estimate(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).alias("tokens"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), CASE WHEN p_size % 2 = 0 THEN [p_type, 'part'] ELSE [] END))), ',') AS keywords FROM part")
+def provider_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    p = Tables(spark, sf).part
+    provided = F.when(F.col("p_size") % 2 == 0, F.array("p_type", F.lit("part")))
+    return p.select("p_partkey", F.array_join(X.enriched(F.split("p_name", " "), provided), ",").alias("keywords"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents) SELECT doc_id AS key FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'with')"""
+)
+def search_for_every_term(spark: SparkSession, sf: str) -> DataFrame:
+    index = search_index.build(Tables(spark, sf).documents, "doc_id", ["text"], _folder(spark), buckets=8)
+    return search_index.search(index, "with the", all_terms=True).select("key")
+
+
+def _folder(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+@query(
+    _with(
+        _SECTIONS,
+        "t AS (SELECT section_id, level, regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(coalesce(summary, '')), '[\\p{L}\\p{N}]+') AS b, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS c FROM sections)",
+        "q AS (SELECT unnest(['user', 'the', 'que']) AS term)",
+        "s AS (SELECT count(*) AS n, avg(len(a) + len(b) + len(c)) AS mean FROM t)",
+        "p AS (SELECT section_id, level, term, 10.0 * len(list_filter(a, lambda x: x = term)) + 3.0 * len(list_filter(b, lambda x: x = term)) + len(list_filter(c, lambda x: x = term)) AS wtf, len(a) + len(b) + len(c) AS length FROM t, q WHERE list_contains(a, term) OR list_contains(b, term) OR list_contains(c, term))",
+        "d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)",
+    )
+    + """SELECT section_id AS key, CAST(any_value(level) AS INTEGER) AS level, round(-sum(greatest(1e-6, ln((s.n - df + 0.5) / (df + 0.5))) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * length / s.mean))), 9) AS score FROM p JOIN d USING (term), s GROUP BY 1"""
+)
+def section_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections by their weights of title, summary and text, with a column of theirs beside the score."""
+    sections = Code(spark, sf).sections.withColumnRenamed("content", "body_text")
+    index = search_index.build(sections, "section_id", ["title", "summary", "body_text"], _folder(spark), buckets=8)
+    weights = {c: retrieval.SECTION_WEIGHTS[c] for c in ("title", "summary", "body_text")}
+    found = search_index.search(index, "user the que", weights, sections.select(F.col("section_id").alias("key"), "level"))
+    return found.select("key", "level", F.round("score", 9).alias("score"))
+
+
+@query(CORE_SQL["hybrid_rrf"])
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    vector = list(t.embeddings.filter("vec_id = 0").head()["embedding"])
+    found = retrieval.hybrid(t.documents, "doc_id", SEARCH, {"text": 1.0}, t.embeddings.withColumnRenamed("vec_id", "doc_id"), "embedding", vector, 10)
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query("SELECT 'kept' AS reason, count(*) AS files FROM pages WHERE page_id % 4 > 1 UNION ALL SELECT 'skip_dir', count(*) FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'secret_file', count(*) FROM pages WHERE page_id % 4 = 1")
+def discovered_files(spark: SparkSession, sf: str) -> DataFrame:
+    k, p = F.col("page_id") % 4, F.col("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("build/"), p)).when(k == 1, F.concat(F.lit("k/"), p, F.lit(".pem"))).otherwise(F.concat(F.lit("web/"), p, F.lit(".html")))
+    tree = Tables(spark, sf).pages.select(path.alias("path"), F.length("html").cast("long").alias("byte_size"), F.encode("html", "utf-8").alias("content"))
+    kept, left_out = S.discover(tree, None, 1 << 40)
+    return kept.agg(F.count(F.lit(1)).alias("files")).select(F.lit("kept").alias("reason"), "files").union(left_out.select("reason", "files"))
+
+
+@query("SELECT n_nationkey FROM nation QUALIFY row_number() OVER (PARTITION BY n_nationkey % 3, n_regionkey ORDER BY length(n_name) DESC, n_nationkey) = 1")
+def near_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    """Preferences of three scopes whose vectors are those of their region: of near ones the first by priority stays."""
+    n = Tables(spark, sf).nation
+    vector = F.array(*[F.when(F.col("n_regionkey") == i, 1.0).otherwise(0.01 * i) for i in range(5)])
+    rows = n.select("n_nationkey", (F.col("n_nationkey") % 3).alias("scope_id"), vector.alias("v"), F.length("n_name").alias("priority"))
+    return diff.suppress_near(rows, "n_nationkey", "v", "priority", 0.99).select("n_nationkey")
