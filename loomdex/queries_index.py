@@ -568,21 +568,21 @@ def provider_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 # scopes, presenters and the fluent query
 
-@query(_with(_FILES, _REPOS, _SYMBOLS) + "SELECT s.symbol_id, s.name, s.kind, f.path AS file, s.line_start FROM symbols s JOIN files f ON f.id = s.file_id JOIN repos r ON r.id = f.repo_id WHERE s.kind = 'class' AND r.name = 'src5'")
+@query(_with(_FILES, _REPOS, _SYMBOLS) + "SELECT s.symbol_id, s.name, s.kind, f.path AS file, CAST(s.line_start AS INTEGER) AS line_start FROM symbols s JOIN files f ON f.id = s.file_id JOIN repos r ON r.id = f.repo_id WHERE s.kind = 'class' AND r.name = 'src5'")
 def scoped_symbols(spark: SparkSession, sf: str) -> DataFrame:
     c = Code(spark, sf)
     q = Query(c.symbols, scopes=symbol_scopes(c.files, c.repos, c.workspace_repos)).classes().in_repo("src5")
     return present(q.df(), "symbol", "brief")
 
 
-@query(_with(_FILES, _SYMBOLS) + "SELECT s.symbol_id, s.name, s.kind, coalesce(s.signature, '') AS signature, s.line_start, s.line_end, s.parent_symbol_id FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.kind = 'function' AND f.repo_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+@query(_with(_FILES, _SYMBOLS) + "SELECT s.symbol_id, s.name, s.kind, coalesce(s.signature, '') AS signature, CAST(s.line_start AS INTEGER) AS line_start, CAST(s.line_end AS INTEGER) AS line_end, s.parent_symbol_id FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.kind = 'function' AND f.repo_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def workspace_outline(spark: SparkSession, sf: str) -> DataFrame:
     c = Code(spark, sf)
     q = Query(c.symbols, scopes=symbol_scopes(c.files, c.repos, c.workspace_repos)).functions().in_workspace(2)
     return present(q.df(), "symbol", "outline")
 
 
-@query(_with(_FILES, _SYMBOLS) + "SELECT symbol_id, name, qualified_name, kind, symbols.language, path AS file, signature, '' AS summary, coalesce(docstring, '') AS docstring, CAST(0 AS INTEGER) AS n_decorators, '' AS source, line_start, line_end FROM symbols JOIN files ON files.id = file_id")
+@query(_with(_FILES, _SYMBOLS) + "SELECT symbol_id, name, qualified_name, kind, symbols.language, path AS file, signature, '' AS summary, coalesce(docstring, '') AS docstring, CAST(0 AS INTEGER) AS n_decorators, '' AS source, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end FROM symbols JOIN files ON files.id = file_id")
 def symbols_in_full(spark: SparkSession, sf: str) -> DataFrame:
     c = Code(spark, sf)
     rows = c.symbols.join(c.files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id")
