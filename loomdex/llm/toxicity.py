@@ -249,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     """The model of ``docs(doc_id, text)`` and ``labels(doc_id, y)``; it alone, and before it the features' hashes, come to the driver."""
     chosen = F.broadcast(sample_of(labels, most))  # at most ``most`` short rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(chosen, "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y")).distinct()
+    # one scan of all texts finds the sample, which is written; all that follows reads it alone
+    rows = cut(texts.join(chosen, "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y")).distinct())
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
