@@ -5,7 +5,7 @@ Bernoulli draw with the rate's fraction as probability.  The draws of a source d
 come near the target: documents are dealt by hash into cells of about ``CELL``, and inside a cell, from the largest down,
 what the draws so far took too little or too much is added to the next document's chance, as words over its size.
 Until that passes 0 or 1 the correction has mean 0, so a document's chance is the fraction; where it does, one document's chance may
-be off by some hundredths, a source's words are not.  A cell misses its part by less than its smallest documents.
+be off by some hundredths (in sources of some fifty documents a few, by up to a quarter), a source's words are not.  A cell misses its part by less than its smallest documents.
 
 Defined cases: null text has size 0; null source is a source of its own, the last; a source of size 0
 has target 0 and its documents are taken once; an empty table gives no rows; rows without an id are drawn by their text; rows of equal size are drawn in

@@ -6,13 +6,14 @@ range-sorted by it and laid end to end, so a sequence holds neighbours.  A prefi
 gives every document its global position; cutting at multiples of the length leaves padding in the last
 sequence alone.
 
-Defined cases: null or empty text is a document of the end id alone; a null doc_id stays null and is hashed as -1; rows with equal
+Defined cases: null or empty text is a document of the end id alone; a null doc_id stays null and is hashed by its ids; rows with equal
 curve cells are spread by a hash of doc_id below the cell (a hot cell can be split over ranges), ties beyond go by doc_id, then ids; repeated rows are laid
 out one after the other; a very long text goes through as many sequences as it fills; an empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,10 +84,11 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             for part in sliced(batch, "text"):
                 ids = [np.concatenate([x, end]) for x in encoder.batch(part.column("text").to_pylist())]
                 doc = part.column("doc_id")
+                keys = np.array([zlib.crc32(x.tobytes()) if d is None else d for d, x in zip(doc.to_pylist(), ids, strict=True)], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc,
-                        pa.array(places(ids, doc.fill_null(-1).to_numpy(zero_copy_only=False))),
+                        pa.array(places(ids, keys)),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
                     ],
