@@ -146,7 +146,8 @@ def _strength(groups: DataFrame) -> float:
 
 def sites(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(host, path, n, path_mean, host_mean, global_mean)`` from the labels of ``docs(doc_id, host, path)``, one row a path."""
-    counted = (
+    # a row a path, read by every level
+    counted = cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "host", "path")
         .join(one_label(labels), "doc_id", "left")
         .groupBy("host", "path")
