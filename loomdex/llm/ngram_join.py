@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.files import written
+from loomdex.llm.files import remove, scratch
 from loomdex.llm.text import mix, shingle_sets, sliced, trimmed
 from loomdex.operators.components import connected_components
 from loomdex.plans.lineage import cut
@@ -367,7 +367,13 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     n_grams = base.agg(F.sum("n_shingles")).head()[0] or 0  # one number
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_grams // BUCKET_GRAMS)
     mine = Window.partitionBy("id").orderBy(F.col("uses").desc(), "sign")  # a set's own signatures
-    kept = cut(shared(written(packed(docs, k, num, den, buckets), "signatures"), num, den, buckets).withColumn("rank", F.dense_rank().over(mine)).filter("rank > spare").select("sign", "id"))
+    folder = scratch(docs.sparkSession, "signatures")
+    try:
+        packed(docs, k, num, den, buckets).write.option("compression", "zstd").parquet(folder)
+        ranked = shared(docs.sparkSession.read.parquet(folder), num, den, buckets).withColumn("rank", F.dense_rank().over(mine))
+        kept = cut(ranked.filter("rank > spare").select("sign", "id"))
+    finally:
+        remove(folder)
     pivots = kept.groupBy("sign").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).filter("pivot < most").select("sign", "pivot")
     near = kept.join(pivots, "sign").filter("id <> pivot").select("id", "pivot").distinct()
     blocks = connected_components(near, "id", "pivot")
