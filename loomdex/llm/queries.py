@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import license_scan, media, mixing, ngram_join, packing, quality, token_records, toxicity, url_reputation, va_search
+from loomdex.llm import byte_bpe, license_scan, media, mixing, ngram_join, packing, quality, token_records, toxicity, url_reputation, va_search
 from loomdex.llm.files import kept
 from loomdex.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from loomdex.llm.text import vocabulary
@@ -97,6 +97,13 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks, keep=("doc_id", "ids"))
+    in_decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(in_decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_source_mix,
         op10_url_reputation,
+        op11_byte_bpe,
     )
 }
 
