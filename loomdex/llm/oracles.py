@@ -74,4 +74,39 @@ n AS (SELECT up.doc_id, r.directory, dir_license, dir_score FROM up JOIN r ON r.
 SELECT f.doc_id, f.path, coalesce(own, dir_license) AS license, coalesce(own_score, dir_score) AS score, CASE WHEN own IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own IS NULL THEN n.directory END AS directory
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLE_SQL = {"op4_license_scan": LICENSES, "op9_source_mix": MIX, "op10_url_reputation": URLS}
+
+
+def _round(i: int) -> str:
+    """One round: ``a`` has each vector's nearest centroid of ``c``, and the next ``c`` the floored means."""
+    return f"""d{i} AS MATERIALIZED (SELECT r, c, sum((x - y) * (x - y)) AS distance FROM x JOIN c{i} USING (i) GROUP BY 1, 2),
+a{i} AS MATERIALIZED (SELECT r, c, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1),
+s{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, c{i}.i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{i} LEFT JOIN s{i} USING (c, i))"""
+
+
+CENTROIDS = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64),
+x AS MATERIALIZED (SELECT r, i, CAST(v[i] AS HUGEINT) AS x FROM v, (SELECT unnest(range(1, 65)) AS i)),
+c0 AS MATERIALIZED (SELECT c, i, CAST(v[i] AS HUGEINT) AS y FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL QUALIFY c < 16), (SELECT unnest(range(1, 65)) AS i)),
+{", ".join(_round(i) for i in range(4))},
+g AS (SELECT c, sum(distance) AS inertia FROM a3 GROUP BY 1), h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS digest FROM c3 GROUP BY 1)
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(g.inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(inertia) FROM g) AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM v JOIN a3 USING (r) JOIN g ON g.c = a3.c JOIN h ON h.c = a3.c"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')"
+
+
+RANKED = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS terms FROM documents),
+s AS (SELECT CAST(count_if(len(terms) > 0) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+p AS MATERIALIZED (SELECT r, doc_id, size, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS size, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT row_number() OVER () AS q, item_id, {_terms("text")} AS terms FROM benchmark),
+t AS (SELECT q, item_id, term, count(*) AS uses FROM (SELECT q, item_id, unnest(terms) AS term FROM q) GROUP BY ALL),
+w AS (SELECT q, item_id, term, uses, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM t JOIN f USING (term), s),
+g AS (SELECT q, item_id, r, doc_id, CAST(sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * docs) // total)))) AS BIGINT) AS score FROM w JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM g WHERE score > 0 QUALIFY rank <= 20"""
+
+ORACLE_SQL = {"op12_ranked_search": RANKED, "op13_centroid_clusters": CENTROIDS, "op4_license_scan": LICENSES, "op9_source_mix": MIX, "op10_url_reputation": URLS}

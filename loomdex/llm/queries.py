@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import byte_bpe, license_scan, media, mixing, ngram_join, packing, quality, token_records, toxicity, url_reputation, va_search
+from loomdex.llm import byte_bpe, centroids, license_scan, media, mixing, ngram_join, packing, quality, tiered_search, token_records, toxicity, url_reputation, va_search
 from loomdex.llm.files import kept
 from loomdex.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from loomdex.llm.text import vocabulary
@@ -104,6 +104,18 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(in_decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: str) -> DataFrame:
+        index = tiered_search.build(_table(spark, sf_dir, "documents"), f"{folder}/index")
+        return tiered_search.search(index, _table(spark, sf_dir, "benchmark"), k=20).drop("tier")
+
+    return kept(spark, "tiers", make)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(centroids.usable(_table(spark, sf_dir, "embeddings"), dims=64, scale=64.0), k=16, rounds=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
@@ -118,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_source_mix,
         op10_url_reputation,
         op11_byte_bpe,
+        op12_ranked_search,
+        op13_centroid_clusters,
     )
 }
 

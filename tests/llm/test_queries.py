@@ -16,12 +16,13 @@ pipeline = pytest.importorskip("corpus_pipeline")
 NEW = ("host string, rule string, verdict string, digest string, license string, size long, target double, keep int, rank int, component_id long, row long, _salt int, place long, y int, part int")
 
 
-def written(spark, folder, documents, labels, pages, embeddings):
+def written(spark, folder, documents, labels, pages, embeddings, items=()):
     extra = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in NEW.split(", ")]
     documents.select("*", *extra).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("*", F.lit("x").alias("text"), F.lit(1).alias("y")).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", F.lit("x").alias("host"), F.lit(0).alias("_salt")).write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(embeddings, "vec_id long, embedding array<float>, label int").select("*", F.lit(1).alias("rank"), F.lit(1).alias("score")).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame(items, "item_id long, text string").select("*", F.lit("x").alias("doc_id"), F.lit(1).alias("terms")).write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
 
@@ -37,7 +38,7 @@ def hard(spark, tmp_path_factory):
     labels = [(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(25)] + [(3, 0, 1), (None, 1, 1), (7, None, None), (999, 1, 0)]
     pages = [(i, f"http://h{i % 3}.example.org/en/{i}", "x") for i in range(20)] + [(3, None, None), (None, "http://null.example.org/", None), (4, "junk", ""), (4, "junk", ""), (30, "https://" + "a" * 5000 + ".com/de/1", None)]
     vectors = [(i, [r.choice([0.0, 0.5, -1.25]) for _ in range(6)], 0) for i in range(120)] + [(50, None, 0), (None, [1.0] * 6, 0), (7, [float("nan")] * 6, 0), (100, [0.5, None, 1.0], 0), (8, [], 0), (9, [1.0] * 9, 0)]
-    return written(spark, f"file://{tmp_path_factory.mktemp('hard')}", documents_of(spark), labels, pages, vectors)
+    return written(spark, f"file://{tmp_path_factory.mktemp('hard')}", documents_of(spark), labels, pages, vectors, [(1, "one two words"), (None, "id"), (2, None), (3, "zzzz"), (3, "TWO")])
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +58,7 @@ def test_empty_tables_through_the_pipeline(spark, nothing):
 def test_a_row_for_every_row(spark, hard):
     documents, pages = spark.read.parquet(f"{hard}/documents.parquet"), spark.read.parquet(f"{hard}/pages.parquet")
     n, ids = documents.count(), sorted((r["doc_id"] for r in documents.select("doc_id").collect()), key=lambda x: (x is None, x))
-    for name in ("op1_media_shards", "op2_token_records", "op4_license_scan", "op6_quality_classifier", "op8_toxicity", "op9_source_mix"):
+    for name in ("op1_media_shards", "op2_token_records", "op4_license_scan", "op6_quality_classifier", "op8_toxicity", "op9_source_mix", "op11_byte_bpe"):
         rows = queries.QUERIES[name](spark, hard).collect()
         assert len(rows) == n and sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x)) == ids, name
     urls = queries.QUERIES["op10_url_reputation"](spark, hard).collect()
