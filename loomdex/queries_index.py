@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index
+from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments
 from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
@@ -802,24 +802,51 @@ SELECT doc_id AS key, round(-sum(greatest(1e-6, ln((s.n - df + 0.5) / (df + 0.5)
 
 def _indexed(spark: SparkSession, sf: str) -> search_index.Index:
     """The index of ``documents`` in a folder of this run's own."""
-    import uuid
+    return search_index.build(Tables(spark, sf).documents, "doc_id", ["text", "lang"], _folder(spark), buckets=8)
+
+
+def _segments(spark: SparkSession, sf: str) -> segments.Segments:
+    """The same as segments."""
+    return segments.build(Tables(spark, sf).documents, "doc_id", ["text", "lang"], _folder(spark))
 
-    return search_index.build(Tables(spark, sf).documents, "doc_id", ["text", "lang"], f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=8)
+
+_WEIGHTS = {"text": 1.0, "lang": 4.0}
 
 
 @query(_index_sql("LIMIT 25"))
 def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = search_index.search(_indexed(spark, sf), "the with fr", {"text": 1.0, "lang": 4.0}, limit=25)
+    found = _segments(spark, sf).search("the with fr", _WEIGHTS, limit=25)
     return found.withColumn("score", F.round("score", 9))
 
 
 @query(_index_sql("", "WHERE source IN ('src1', 'src2', 'src5')"))
 def indexed_search_in_repos(spark: SparkSession, sf: str) -> DataFrame:
     among = Tables(spark, sf).documents.filter(F.col("source").isin("src1", "src2", "src5")).select(F.col("doc_id").alias("key"))
-    found = search_index.search(_indexed(spark, sf), "the with fr", {"text": 1.0, "lang": 4.0}, among)
+    found = _segments(spark, sf).search("the with fr", _WEIGHTS, among)
     return found.withColumn("score", F.round("score", 9))
 
 
+@query(_index_sql("LIMIT 30", "WHERE source IN ('src1', 'src2', 'src5')"))
+def filtered_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of three repositories, by the stripes whose bounds reach them."""
+    among = Tables(spark, sf).documents.filter(F.col("source").isin("src1", "src2", "src5")).select(F.col("doc_id").alias("key"))
+    return _segments(spark, sf).search("the with fr", _WEIGHTS, among, limit=30).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "WITH changed AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN concat('the changed fr ', text) ELSE text END AS text, lang FROM documents WHERE doc_id % 7 <> 0), "
+    + _index_sql("LIMIT 200").removeprefix("WITH ").replace("FROM documents", "FROM changed")
+)
+def search_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Three quarters of the documents, then the rest, new texts of every fifth, every seventh deleted, and segments merged as they grow alike."""
+    docs = Tables(spark, sf).documents
+    index = segments.build(docs.filter("doc_id % 4 <> 1"), "doc_id", ["text", "lang"], _folder(spark))
+    index.add(docs.filter("doc_id % 4 = 1"), "doc_id").maintain(2)
+    index.add(docs.filter("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("the changed fr "), F.coalesce("text", F.lit("")))), "doc_id").maintain(2)
+    index.delete(docs.filter("doc_id % 7 = 0"), "doc_id").maintain(2)
+    return index.search("the with fr", _WEIGHTS, limit=200).withColumn("score", F.round("score", 9))
+
+
 @query("WITH r AS (" + _index_sql("LIMIT 20") + "), b AS (SELECT *, row_number() OVER (ORDER BY score, key) - 1 AS rank FROM r) SELECT key, score, CAST(rank AS INTEGER) AS rank, key % 3 = 0 AS seen, CASE WHEN key % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS boost FROM b")
 def search_service_reranked(spark: SparkSession, sf: str) -> DataFrame:
     d = Tables(spark, sf).documents.select(F.col("doc_id").alias("key"))
@@ -1165,8 +1192,8 @@ def provider_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents) SELECT doc_id AS key FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'with')"""
 )
 def search_for_every_term(spark: SparkSession, sf: str) -> DataFrame:
-    index = search_index.build(Tables(spark, sf).documents, "doc_id", ["text"], _folder(spark), buckets=8)
-    return search_index.search(index, "with the", all_terms=True).select("key")
+    index = segments.build(Tables(spark, sf).documents, "doc_id", ["text"], _folder(spark))
+    return index.search("with the", all_terms=True).select("key")
 
 
 def _folder(spark: SparkSession) -> str:
