@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments
+from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, vector_index
 from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
@@ -1230,6 +1230,30 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
+def _neighbours_sql(distance: str, where: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, e.vec_id, {distance}(e.v, q.v) AS distance FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0{where})
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM d QUALIFY rank <= 10"""
+
+
+def _neighbours(spark: SparkSession, sf: str, metric: str, where=None) -> DataFrame:
+    """The ten nearest of every fiftieth vector, by an index of all."""
+    e = Tables(spark, sf).embeddings
+    index = vector_index.build(e, "vec_id", "embedding", _folder(spark), 64, metric, keep=["label"])
+    found = index.search(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10, where, others=True)
+    return found.rows.withColumnRenamed("key", "vec_id").withColumn("distance", F.round("distance", 6))
+
+
+@query(_neighbours_sql("list_distance", ""))
+def neighbours_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbours(spark, sf, "l2")
+
+
+@query(_neighbours_sql("list_cosine_distance", " AND e.label = 3"))
+def neighbours_cosine_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbours(spark, sf, "cosine", F.col("label") == 3)
+
+
 @query("SELECT 'kept' AS reason, count(*) AS files FROM pages WHERE page_id % 4 > 1 UNION ALL SELECT 'skip_dir', count(*) FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'secret_file', count(*) FROM pages WHERE page_id % 4 = 1")
 def discovered_files(spark: SparkSession, sf: str) -> DataFrame:
     k, p = F.col("page_id") % 4, F.col("page_id").cast("string")
