@@ -87,6 +87,18 @@ def _inverted(fields: int, stems: bool):
     return run
 
 
+def in_ranges(column: str, numbers: Sequence[int]) -> Column:
+    """Whether a column is in the ``RANGES`` closest ranges around some numbers, as a filter that file readers understand."""
+    numbers = sorted(set(numbers))
+    gaps = sorted(range(1, len(numbers)), key=lambda i: numbers[i - 1] - numbers[i])[: RANGES - 1]
+    edges = [0, *sorted(gaps), len(numbers)]
+    within = F.lit(False)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            within = within | F.col(column).between(numbers[a], numbers[b - 1])
+    return within
+
+
 def _posting_rows(state: dict) -> str:
     """Columns of the posting rows: greatest frequencies and their sums a field, and the postings."""
     n = range(len(state["fields"]))
@@ -292,17 +304,10 @@ class _Scorer:
 
     def within(self, chosen: Sequence) -> DataFrame:
         """The posting rows of at most ``MOST`` stripes, of which the reader is told ranges."""
-        numbers = sorted({r["stripe"] for r in chosen})
-        gaps = sorted(range(1, len(numbers)), key=lambda i: numbers[i - 1] - numbers[i])[: RANGES - 1]
-        edges = [0, *sorted(gaps), len(numbers)]
-        ranges = F.lit(False)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b > a:
-                ranges = ranges | F.col("stripe").between(numbers[a], numbers[b - 1])
         exact = F.lit(False)
         for s in sorted({r["segment"] for r in chosen}):
             exact = exact | ((F.col("segment") == s) & F.col("stripe").isin([r["stripe"] for r in chosen if r["segment"] == s]))
-        return self.rows.filter(ranges & exact)
+        return self.rows.filter(in_ranges("stripe", [r["stripe"] for r in chosen]) & exact)
 
     def best(self, k: int) -> DataFrame:
         if k <= 0:

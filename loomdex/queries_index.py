@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, vector_index
+from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, text_index, vector_index
 from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
@@ -1230,6 +1230,33 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
+def _grams(spark: SparkSession, sf: str) -> text_index.TextIndex:
+    docs = Tables(spark, sf).documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return text_index.build(docs, _folder(spark))
+
+
+@query(CORE_SQL["grep_lines"])
+def indexed_grep(spark: SparkSession, sf: str) -> DataFrame:
+    return _grams(spark, sf).grep("license", around=1)
+
+
+_PATTERN = "(?i)(licen[cs]ed? under|copyright) .*[0-9a-z]"
+
+
+@query(CORE_SQL["grep_lines"].replace("contains(lower(lines[n]), 'license')", f"regexp_matches(lines[n], '{_PATTERN}')"))
+def indexed_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return _grams(spark, sf).match(_PATTERN, around=1)
+
+
+_LITERAL_PATTERN = r"Licensed under( the)? [A-Z]\w+"
+
+
+@query(CORE_SQL["grep_lines"].replace("contains(lower(lines[n]), 'license')", f"regexp_matches(lines[n], '{_LITERAL_PATTERN}')"))
+def indexed_literal_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    """A pattern that only files with its literal part are read for."""
+    return _grams(spark, sf).match(_LITERAL_PATTERN, around=1)
+
+
 def _neighbours_sql(distance: str, where: str) -> str:
     return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, e.vec_id, {distance}(e.v, q.v) AS distance FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0{where})
