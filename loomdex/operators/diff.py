@@ -64,26 +64,6 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def suppress_near(rows: DataFrame, key: str, text_vector: str, priority: str, threshold: float) -> DataFrame:
-    """Greedy removal of near-duplicates in order of falling priority, then key: a row goes if a kept one is at least that similar.
-
-    The order makes it sequential, so it is one grouped call per ``scope_id``-sized list (preferences of a user), never over a corpus.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([priority, key], ascending=[False, True])
-        kept: list[int] = []
-        unit = [np.asarray(v, float) / (np.linalg.norm(v) or 1.0) if v is not None else None for v in group[text_vector]]
-        for i, v in enumerate(unit):
-            if v is None or all(unit[j] is None or float(v @ unit[j]) < threshold for j in kept):
-                kept.append(i)
-        return group.iloc[kept]
-
-    return rows.groupBy("scope_id").applyInPandas(run, rows.schema)
-
-
 def _grams(text: Column) -> Column:
     """Distinct beginnings, of up to three characters, of everything that the text contains."""
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))

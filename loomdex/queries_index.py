@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, text_index, vector_index
+from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, suppression, text_index, vector_index
 from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
@@ -1296,4 +1296,16 @@ def near_preferences(spark: SparkSession, sf: str) -> DataFrame:
     n = Tables(spark, sf).nation
     vector = F.array(*[F.when(F.col("n_regionkey") == i, 1.0).otherwise(0.01 * i) for i in range(5)])
     rows = n.select("n_nationkey", (F.col("n_nationkey") % 3).alias("scope_id"), vector.alias("v"), F.length("n_name").alias("priority"))
-    return diff.suppress_near(rows, "n_nationkey", "v", "priority", 0.99).select("n_nationkey")
+    return suppression.suppress(rows, "n_nationkey", "v", "priority", 0.99, 5, ["scope_id"]).select("n_nationkey")
+
+
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding AS v, row_number() OVER (ORDER BY label DESC, vec_id) AS place FROM embeddings),
+near AS MATERIALIZED (SELECT a.place, list(b.place) AS sooner FROM e a JOIN e b ON b.place < a.place AND list_cosine_similarity(a.v, b.v) >= 0.3 GROUP BY 1),
+steps(place, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+SELECT e.place, CASE WHEN list_has_any(kept, coalesce(sooner, [])) THEN kept ELSE list_append(kept, e.place) END FROM steps JOIN e ON e.place = steps.place + 1 LEFT JOIN near ON near.place = e.place)
+SELECT vec_id, label FROM (SELECT vec_id, place FROM e) JOIN embeddings USING (vec_id) WHERE place IN (SELECT unnest(kept) FROM (SELECT kept FROM steps ORDER BY place DESC LIMIT 1))"""
+)
+def vectors_suppressed(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors by falling label; of ones within a cosine of 0.3, which here make chains, the first stay."""
+    return suppression.suppress(Tables(spark, sf).embeddings, "vec_id", "embedding", "label", 0.3, 64).select("vec_id", "label")

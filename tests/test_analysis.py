@@ -178,8 +178,6 @@ def test_diffs(spark):
     d = diff.snapshot_diff(old, new, ["k"], "v")
     assert dict(d.collect()) == {"a": "removed", "b": "changed", "c": "unchanged", "d": "added"}
     assert diff.breaking_risk(d).head()["breaking_risk"] == "high"
-    p = spark.createDataFrame([(1, "a", [1.0, 0.0], 3), (1, "b", [1.0, 0.01], 2), (1, "c", [0.0, 1.0], 1)], "scope_id long, key string, v array<double>, priority int")
-    assert sorted(r["key"] for r in diff.suppress_near(p, "key", "v", "priority", 0.95).collect()) == ["a", "c"]
 
 
 PY = 'import os\nfrom pkg.mod import f as g\n\nLIMIT = 3\n\nclass A(Base):\n    """Doc."""\n\n    @prop\n    def run(self, x: int) -> int:\n        return helper(x)\n\ndef top():\n    A().run(1)\n\nmain()\n'
