@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.plans.lineage import cut
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``(keys, status)``: added, removed, changed or unchanged."""
@@ -65,7 +67,7 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 
 def _grams(text: Column) -> Column:
-    """Distinct beginnings, of up to three characters, of everything that the text contains."""
+    """Distinct pieces, of up to three characters, of the text."""
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
 
     def pieces(n: int) -> Column:
@@ -74,8 +76,28 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *map(pieces, (1, 2, 3))))
 
 
-def containing(whole: DataFrame, part: DataFrame) -> DataFrame:
-    """``(whole, part)`` of the texts where one contains the other: met by the part's first three characters, then compared."""
-    w = whole.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
-    p = part.select("part", F.substring("part", 1, 3).alias("gram"))
-    return w.join(p, "gram").filter(F.contains("whole", F.col("part"))).select("whole", "part")
+def _keys(part: Column, wild: bool) -> Column:
+    """Of the pieces of a text that whatever contains it contains too, those of the greatest length up to three characters; ``_`` and ``%`` may be no character of theirs."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part)))
+
+    def pieces(n: int) -> Column:
+        own = F.filter(F.transform(at, lambda i: F.substr(part, i, F.lit(n))), lambda x: F.length(x) == n)
+        return F.array_distinct(F.filter(own, lambda x: ~x.rlike("[_%]")) if wild else own)
+
+    three, two, one = map(pieces, (3, 2, 1))
+    return F.when(F.size(three) > 0, three).when(F.size(two) > 0, two).when(F.size(one) > 0, one).otherwise(F.array(F.lit("")))
+
+
+def containing(whole: DataFrame, part: DataFrame, wild: bool = False) -> DataFrame:
+    """``(whole, part)`` of the distinct texts where one contains the other, or with ``wild`` is LIKE something with the other in it.
+
+    The two meet by the part's rarest three characters, counted over all wholes, and are then compared; so a beginning that all have in common
+    brings nothing together, and a part with characters that no whole has meets none.
+    """
+    sought = cut(part.select("part", F.explode(_keys(F.col("part"), wild)).alias("gram")))
+    grams = whole.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
+    met = cut(grams.join(sought.select("gram").distinct(), "gram", "left_semi"))
+    uses = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = sought.join(uses, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    test = F.expr("whole LIKE concat('%', replace(part, '\\\\', '\\\\\\\\'), '%')") if wild else F.contains("whole", F.col("part"))
+    return met.join(rarest, "gram").filter(test).select("whole", "part")

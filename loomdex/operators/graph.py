@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.text import identifier_tokens, relatedness
 from loomdex.operators.diff import capped, containing
+from loomdex.operators.predicates import LOWER, UPPER, like
 from loomdex.plans.lineage import cut
 
 MOST_DEPTH = 3
@@ -67,7 +68,7 @@ def blast_radius(files: DataFrame, imports: DataFrame, target: int, name: str, d
     stem = re.sub(r"\.[^.]*$", "", here["path"].rpartition("/")[2])
     own = scope.select(F.col("id").alias("file_id"))
     used = imports.join(own, "file_id")
-    first = used.filter((F.col("resolved_file_id") == target) | F.col("specifier").ilike(f"%{stem}%")).select(F.col("file_id").alias("id")).filter(F.col("id") != target).distinct()
+    first = used.filter((F.col("resolved_file_id") == target) | like(F.col("specifier"), f"%{stem}%")).select(F.col("file_id").alias("id")).filter(F.col("id") != target).distinct()
     edges = used.filter("resolved_file_id IS NOT NULL").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst")).distinct()
     seen, frontier = first.withColumn("depth", F.lit(1)), first
     for d in range(2, max(1, min(MOST_DEPTH, depth)) + 1):
@@ -89,10 +90,11 @@ def blast_radii(files: DataFrame, imports: DataFrame, targets: DataFrame, depth:
     known = cut(here.withColumn("_stem", F.regexp_replace(F.element_at(F.split("_path", "/"), -1), r"\.[^.]*$", "")))
     used = imports.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
     direct = known.select("target").distinct().join(used, F.col("target") == F.col("resolved_file_id")).select("target", F.col("file_id").alias("id"))
-    # distinct specifiers and stems are compared where they can contain one another
-    low = used.select("specifier", F.lower("specifier").alias("whole")).filter("whole IS NOT NULL").distinct()
-    like = containing(low.select("whole").distinct(), known.select(F.lower("_stem").alias("part")).distinct()).join(low, "whole").select("specifier", "part")
-    named = known.select("target", F.lower("_stem").alias("part")).distinct().join(like, "part").join(used, "specifier").select("target", F.col("file_id").alias("id"))
+    # distinct specifiers are compared with the stems that they can be like, as ``blast_radius`` compares them
+    low = used.select("specifier", F.translate("specifier", UPPER, LOWER).alias("whole")).filter("whole IS NOT NULL").distinct()
+    stems = known.select("target", F.translate("_stem", UPPER, LOWER).alias("part")).distinct()
+    alike = containing(low.select("whole").distinct(), stems.select("part").distinct(), wild=True).join(low, "whole").select("specifier", "part")
+    named = stems.join(alike, "part").join(used, "specifier").select("target", F.col("file_id").alias("id"))
     edges = used.filter("resolved_file_id IS NOT NULL").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst")).distinct()
     frontier = cut(direct.union(named).filter("id <> target").distinct())
     seen = frontier.withColumn("depth", F.lit(1))
@@ -100,9 +102,12 @@ def blast_radii(files: DataFrame, imports: DataFrame, targets: DataFrame, depth:
         step = frontier.join(edges, frontier["id"] == edges["dst"]).select("target", F.col("src").alias("id")).filter("id <> target").distinct()
         frontier = cut(step.join(seen, ["target", "id"], "left_anti"))
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
-    reached = seen.join(known.select("target", "name", "_repo"), "target").join(files, "id")
+    reached = cut(seen.join(known.select("target", "name", "_repo"), "target"))
+    # a text is looked at once for each name that is sought in it, however many targets reach its file
     hits = F.expr(r"coalesce(regexp_count(content, concat('(?U)\\b\\Q', name, '\\E\\b')), 0)")
-    kinds = reached.select("target", "name", "id", "path", "repo_id", "depth", hits.alias("hits"), (F.col("repo_id") != F.col("_repo")).alias("cross_repo"))
+    counted = reached.select("id", "name").distinct().join(files.select("id", "content"), "id").select("id", "name", hits.alias("hits"))
+    placed = reached.join(files.select("id", "path", "repo_id"), "id").join(counted, ["id", "name"])
+    kinds = placed.select("target", "name", "id", "path", "repo_id", "depth", "hits", (F.col("repo_id") != F.col("_repo")).alias("cross_repo"))
     kinds = kinds.withColumn("kind", F.when(F.col("hits") > 0, "confirmed").otherwise("potential"))
     out = capped(kinds, ["target", "name", "kind"], ["depth", "path"], cap or 2**31 - 1).withColumn("error", F.lit(None).cast("string"))
     unknown = t.join(known, ["target", "name"], "left_anti").select("target", "name", F.lit("unknown target").alias("error"))
@@ -187,12 +192,20 @@ def reference_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, co
     heads = symbols.groupBy("file_id").agg(F.min_by("symbol_id", "id").alias("head"))
     resolved = imports.filter("resolved_file_id IS NOT NULL").select("file_id", "specifier", "names", "resolved_file_id")
     pairs = resolved.join(symbols.select(F.col("file_id").alias("resolved_file_id"), F.col("symbol_id").alias("target_symbol_id"), F.col("name").alias("target_name")), "resolved_file_id")
-    text = files.join(contents, "content_hash", "left").select(F.col("id").alias("file_id"), "path", F.col("content").cast("string").alias("content"))
-    joined = pairs.join(text, "file_id").join(heads, "file_id", "left")
-    named = F.coalesce(F.size("names"), F.lit(0)) > 0
+    with_names = F.coalesce(F.size("names"), F.lit(0)) > 0
+    kept = ["file_id", "specifier", "target_symbol_id"]
+    named = pairs.filter(with_names & F.array_contains("names", F.col("target_name"))).select(*kept)
+    # without names a text's words are taken once; only a name that is no word is sought in the text of each pair
+    nameless = pairs.filter(~with_names & F.col("target_name").isNotNull())
+    text = files.join(contents, "content_hash").select(F.col("id").alias("file_id"), F.col("content").cast("string").alias("content"))
+    of_importers = text.join(resolved.filter(~with_names).select("file_id").distinct(), "file_id", "left_semi")
+    is_word = F.col("target_name").rlike(r"(?U)^\w+$")
+    words = of_importers.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)\w+"), F.lit(0)))).alias("target_name"))
+    by_word = nameless.filter(is_word).join(words, ["file_id", "target_name"], "left_semi").select(*kept)
     occurs = F.expr(r"coalesce(regexp_count(content, concat('(?U)\\b\\Q', target_name, '\\E\\b')), 0) > 0")
-    hit = F.when(named, F.array_contains("names", F.col("target_name"))).otherwise(occurs)
-    return joined.filter(hit).select(F.coalesce("head", F.concat(F.lit("__file__:"), F.col("path"))).alias("source_symbol_id"), "target_symbol_id", F.col("specifier").alias("target_specifier")).distinct()
+    by_text = nameless.filter(~is_word).join(text, "file_id").filter(occurs).select(*kept)
+    hits = named.union(by_word).union(by_text).join(files.select(F.col("id").alias("file_id"), "path"), "file_id").join(heads, "file_id", "left")
+    return hits.select(F.coalesce("head", F.concat(F.lit("__file__:"), F.col("path"))).alias("source_symbol_id"), "target_symbol_id", F.col("specifier").alias("target_specifier")).distinct()
 
 
 def callers(references: DataFrame, symbols: DataFrame, files: DataFrame, symbol_id: str) -> DataFrame:

@@ -153,6 +153,32 @@ def test_containing(spark):
     assert got == {(w, p) for w in whole for p in part if p in w}
 
 
+def test_containing_meets_by_rare_pieces_and_wildcards(spark):
+    whole = [f"pkg.m{i}" for i in range(60)] + ["pkg.my_util", "pkg.myXutil", "a\\b", "pk%", "é_x"]
+    part = ["pkg.m7", "pkg", "my_util", "_", "g_m", "k%", "\\", "é", "____", "nowhere", ""]
+    frames = spark.createDataFrame([(w,) for w in whole], "whole string"), spark.createDataFrame([(p,) for p in part], "part string")
+    assert {tuple(r) for r in diff.containing(*frames).collect()} == {(w, p) for w in whole for p in part if p in w}
+    pattern = {p: re.compile("(?s)" + "".join("." if c == "_" else ".*" if c == "%" else re.escape(c) for c in p)) for p in part}
+    assert {tuple(r) for r in diff.containing(*frames, wild=True).collect()} == {(w, p) for w in whole for p in part if pattern[p].search(w)}
+
+
+def test_one_and_many_targets_agree_on_stems(spark):
+    f = spark.createDataFrame([(1, 1, "a/my_util.py", "run()"), (2, 1, "b/x.py", "run"), (3, 1, "b/y.py", ""), (4, 1, "ÄB.py", ""), (5, 1, "z.py", "")], "id long, repo_id long, path string, content string")
+    i = spark.createDataFrame([(2, "pkg.myXutil", None), (3, "PKG.MY_UTIL", None), (5, "äb", None), (2, "ÄB.c", None)], "file_id long, specifier string, resolved_file_id long")
+    for target, want in ((1, {2, 3}), (4, {2})):
+        assert {r["id"] for r in graph.blast_radius(f, i, target, "run").collect()} == want
+        assert {r["id"] for r in graph.blast_radii(f, i, spark.createDataFrame([(target, "run")], "target long, name string")).collect()} == want
+
+
+def test_references_by_names_words_and_text(spark):
+    files = spark.createDataFrame([(1, "a.py", "h1"), (2, "b.py", "h2"), (3, "c.py", None)], "id long, path string, content_hash string")
+    contents = spark.createDataFrame([("h1", "use go and a.b, café"), ("h2", "go2")], "content_hash string, content string")
+    symbols = spark.createDataFrame([(1, 2, "b::go", "go"), (2, 2, "b::go2", "go2"), (3, 2, "b::a.b", "a.b"), (4, 2, "b::café", "café"), (5, 2, "b::x", None)], "id long, file_id long, symbol_id string, name string")
+    imports = spark.createDataFrame([(1, "b", None, 2), (3, "b3", ["go2"], 2), (3, "b4", None, 2), (1, "n", None, None)], "file_id long, specifier string, names array<string>, resolved_file_id long")
+    got = {tuple(r) for r in graph.reference_graph(files, symbols, imports, contents).collect()}
+    assert got == {("__file__:a.py", "b::go", "b"), ("__file__:a.py", "b::a.b", "b"), ("__file__:a.py", "b::café", "b"), ("__file__:c.py", "b::go2", "b3")}
+
+
 def test_similar_memories_in_blocks(spark):
     import numpy as np
 
