@@ -22,7 +22,7 @@ from loomdex.queries import SEARCH, Tables
 from loomdex.schema import Migration, add_column, conform, drop_column, migrate, rename_column
 from loomdex.sources import code, documents, manifests, tables
 from loomdex.sources import files as S
-from loomdex.streaming import usage
+from loomdex.streaming import lifetimes, usage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1010,6 +1010,32 @@ def ended_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return usage.closed_sessions(sessions, c.instances, F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
+@query(
+    """WITH e AS (SELECT user_id AS session_id, event_id % 4 AS instance, ts, event_type = 'purchase' AS ends, event_id FROM events),
+l AS (SELECT *, CASE WHEN ends THEN ts ELSE least(ts + INTERVAL 8 HOURS, coalesce(lead(ts) OVER (PARTITION BY session_id, instance ORDER BY ts, event_id), ts + INTERVAL 8 HOURS)) END AS until FROM e),
+b AS (SELECT *, coalesce(ts > max(until) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM l),
+r AS (SELECT *, count_if(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b),
+d AS (SELECT session_id, min(ts) AS started_at, max(until) AS ended_at, count(*) AS events, count(DISTINCT instance) AS instances FROM r GROUP BY session_id, run),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT session_id, 'ended' AS status, epoch_us(started_at) AS started_us, epoch_us(ended_at) AS ended_us, events, instances FROM d, m WHERE ended_at <= mark
+UNION ALL SELECT session_id, 'purged', epoch_us(started_at), epoch_us(ended_at), events, instances FROM d, m WHERE ended_at + INTERVAL 7 DAYS <= mark"""
+)
+def session_lifetimes(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's sessions, of four instances each, by events that come in six micro-batches; a purchase ends an instance, as eight hours of silence do."""
+    e = Tables(spark, sf).events.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 4).cast("string").alias("instance_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ends"), F.lit(1).cast("long").alias("events"))
+    folder, old = _folder(spark), spark.conf.get(lifetimes.STATE_STORE[0])
+    ordered = cut(e.withColumn("part", (F.dayofmonth("ts") / 6).cast("int")))
+    for part in range(6):  # files of their own, one after the other
+        ordered.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    spark.conf.set(*lifetimes.STATE_STORE)
+    try:
+        out = usage.drained(lifetimes.lifetimes(source, 8 * 3600), "append")
+    finally:
+        spark.conf.set(lifetimes.STATE_STORE[0], old)
+    return out.select("session_id", "status", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "events", "instances")
+
+
 @query(
     """WITH j AS (SELECT event_id AS id, user_id || event_type AS key, CASE event_id % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' ELSE 'done' END AS status, ts AS queued_at, ts + INTERVAL 1 MINUTE AS ended_at FROM events)
 SELECT id, key, status FROM (SELECT * FROM j WHERE status <> 'done' QUALIFY row_number() OVER (PARTITION BY key ORDER BY (status = 'running') DESC, queued_at, id) = 1) UNION ALL SELECT id, key, status FROM (SELECT * FROM j WHERE status = 'done' ORDER BY ended_at DESC, id LIMIT 50)"""
