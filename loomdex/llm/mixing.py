@@ -1,16 +1,15 @@
 """Mixing sources to target weights by whole-document repetition.
 
 A document is emitted floor(rate) times, rate being its source's target over its size, and once more by a hash-seeded
-Bernoulli draw with the rate's fraction as probability.  The draws of a source depend on one another, so that its taken words
-come near the target: documents are dealt by hash into cells of about ``CELL``, and inside a cell, from the largest down,
-what the draws so far took too little or too much is added to the next document's chance, as words over its size.
-Until that passes 0 or 1 the correction has mean 0, so a document's chance is the fraction; where it does, one document's chance may
-be off by some hundredths (in sources of some fifty documents a few, by up to a quarter), a source's words are not.  A cell misses its part by less than its smallest documents.
+Bernoulli draw with the rate's fraction as probability.  Each document's probability is that fraction exactly, but the draws of a source depend on one
+another, so that its taken words come near the target: documents are dealt by hash into cells of about ``CELL``, and inside a cell, from the largest down,
+one undecided document is held against the next.  The chances of the two are moved, so that the words expected stay the same, until one of the chances is 0 or 1;
+which way is drawn so that either keeps its mean.  What is left at the end is drawn by its chance.  So a cell misses its part by less than one document, mostly a small one.
 
 Defined cases: null text has size 0; null source is a source of its own, the last; a source of size 0
 has target 0 and its documents are taken once; an empty table gives no rows; rows without an id are drawn by their text; rows of equal size are drawn in
-order of their draws, then ids, then a hash of the text, so reruns agree; repeated rows share a cell and draw one after the other, ``MOST_TOGETHER`` at
-a time, so that no row looks at more, however many there are; a very long text counts as any other;
+order of their draws, then ids, then a hash of the text, so reruns agree; repeated rows share a cell and are drawn apart, by their place in it, ``MOST_TOGETHER`` at
+a time, so that no row looks at more, however many there are; documents without words are drawn each by its own; a very long text counts as any other;
 extra columns pass through ``mix`` untouched, new names that clash get a suffix from ``fresh``.
 """
 
@@ -63,6 +62,29 @@ def draws(key: Column, seed: int) -> tuple[Column, Column]:
     return first, second
 
 
+def decided(together: Column, fraction: Column) -> Column:
+    """Places of the documents taken among ``array<struct<size, draw, place>>``, each with probability ``fraction``.
+
+    ``p`` is the chance of the document held, 0 or 1 once it is decided, and place 0 stands for none.
+    """
+
+    def state(p: Column, of: Column, u: Column, out: Column) -> Column:
+        return F.struct(p.alias("p"), of["size"].alias("size"), of["place"].alias("place"), u.alias("u"), out.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        ratio = x["size"] / a["size"]
+        up, down = F.least(1.0 - a["p"], fraction * ratio), F.least(a["p"], (1.0 - fraction) * ratio)
+        with_a, with_x = F.concat(a["out"], F.array(a["place"])), F.concat(a["out"], F.array(x["place"]))
+        raised = F.when(1.0 - a["p"] <= fraction * ratio, state(F.greatest(F.lit(0.0), fraction - (1.0 - a["p"]) / ratio), x, a["u"], with_a)).otherwise(state(a["p"] + fraction * ratio, a, a["u"], a["out"]))
+        lowered = F.when(a["p"] <= (1.0 - fraction) * ratio, state(F.least(F.lit(1.0), fraction + a["p"] / ratio), x, a["u"], a["out"])).otherwise(state(a["p"] - (1.0 - fraction) * ratio, a, a["u"], with_x))
+        alone = state(a["p"], a, a["u"], F.when(x["draw"] < fraction, with_x).otherwise(a["out"]))
+        held = F.when(x["draw"] * (up + down) < down, raised).otherwise(lowered)
+        return F.when(x["size"] == 0, alone).when(a["place"] == 0, state(fraction, x, x["draw"], a["out"])).otherwise(held)
+
+    none = F.struct(F.lit(0.0).alias("p"), F.lit(1.0).alias("size"), F.lit(0).alias("place"), F.lit(0.0).alias("u"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(together, none, step, lambda a: F.when(a["u"] < a["p"], F.concat(a["out"], F.array(a["place"]))).otherwise(a["out"]))
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, words: Column | None = None, key: Column | None = None) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies`` appended (names that clash get a suffix from ``fresh``).
 
@@ -70,7 +92,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, w
     per-source table is counted and sent to every task up to ``MOST_BROADCAST`` rows, else joined by source.  The
     documents are shuffled once, by source and cell, so that a source with a third of all rows is spread as any other.
     """
-    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_cell", "mix_draw", "mix_taken", "mix_turn")
+    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_cell", "mix_draw", "mix_taken", "mix_turn", "mix_place", "mix_key")
     size, rate, cell, draw, taken = (F.col(names[n]) for n in ("size", "mix_rate", "mix_cell", "mix_draw", "mix_taken"))
     sized = docs.withColumn(names["size"], (word_count(F.col("text")) if words is None else words).cast("long"))
     per = cut(targets(sized.select("source", size.alias("size")), share, most, weights))
@@ -80,31 +102,26 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, w
         per = F.broadcast(per)
     own = per.withColumnRenamed("documents", names["mix_cell"])
     by_text = F.md5(F.col("text").cast("string")) if "text" in docs.columns else F.lit(None).cast("string")
-    first, second = draws(F.coalesce(F.col("doc_id").cast("string"), by_text) if key is None else key, seed)
+    own_key = F.coalesce(F.coalesce(F.col("doc_id").cast("string"), by_text) if key is None else key, F.lit(""))
+    first, second = draws(own_key, seed)
     joined = sized.join(own, sized["source"].eqNullSafe(own[names["mix_source"]]))
-    joined = joined.withColumns({names["mix_draw"]: first, names["mix_cell"]: F.floor(second * F.greatest(F.lit(1), F.floor(cell / CELL)))})
+    joined = joined.withColumns({names["mix_key"]: own_key, names["mix_draw"]: first, names["mix_cell"]: F.floor(second * F.greatest(F.lit(1), F.floor(cell / CELL)))})
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     order = [size.desc(), draw, F.col("doc_id").asc_nulls_last(), text]
-    turn = F.floor((F.row_number().over(Window.partitionBy(names["mix_source"], names["mix_cell"]).orderBy(*order)) - 1) / MOST_TOGETHER)
-    joined = joined.withColumn(names["mix_turn"], turn)
-    w = Window.partitionBy(names["mix_source"], names["mix_cell"], names["mix_turn"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fraction = rate - F.floor(rate)
-
-    def step(a: Column, x: Column) -> Column:
-        due = a["missed"] + fraction * x["size"]
-        take = F.when(F.when(x["size"] > 0, x["draw"] * x["size"] < due).otherwise(x["draw"] < fraction), 1.0).otherwise(0.0)
-        return F.struct((due - take * x["size"]).alias("missed"), take.alias("take"))
-
-    start = F.struct(F.lit(0.0).alias("missed"), F.lit(0.0).alias("take"))
-    before = F.collect_list(F.struct(size.cast("double").alias("size"), draw.alias("draw"))).over(w)
-    drawn = joined.withColumn(names["mix_taken"], before).withColumn(names["mix_taken"], F.aggregate(taken, start, step)["take"])
+    number = F.row_number().over(Window.partitionBy(names["mix_source"], names["mix_cell"]).orderBy(*order)) - 1
+    joined = joined.withColumn(names["mix_place"], number)
+    place = F.col(names["mix_place"])
+    joined = joined.withColumns({names["mix_turn"]: F.floor(place / MOST_TOGETHER), names["mix_place"]: (place % MOST_TOGETHER + 1).cast("int"), names["mix_draw"]: draws(F.concat(names["mix_key"], F.lit("@"), place.cast("string")), seed)[0]})
+    w = Window.partitionBy(names["mix_source"], names["mix_cell"], names["mix_turn"]).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    together = F.collect_list(F.struct(size.cast("double").alias("size"), draw.alias("draw"), place.alias("place"))).over(w)
+    drawn = joined.withColumn(names["mix_taken"], together).withColumn(names["mix_taken"], F.array_contains(decided(taken, rate - F.floor(rate)), place))
     out = drawn.withColumn(names["copies"], F.floor(rate) + taken.cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[names[n] for n in ("size", "source_size", "target", "copies")])
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row ``copies`` times."""
-    names = fresh(docs.columns, "size", "source_size", "target", "copies")
+    names = fresh(docs.columns, "size", "source_size", "target", "copies", "mix_copy")
     out = mix(docs, **options)
     n = F.col(names["copies"]).cast("int")
-    return out.filter(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.filter(n > 0).withColumn(names["mix_copy"], F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])

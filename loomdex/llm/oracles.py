@@ -14,12 +14,18 @@ l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coales
  FROM r WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, n, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM l, f),
-j AS (SELECT doc_id, size, d.source, source_size, n, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate, md5(key || '#0') AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+j AS (SELECT doc_id, key, size, d.source, source_size, n, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate, md5(key || '#0') AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 u AS (SELECT *, rate - floor(rate) AS f, CAST(('0x' || substring(h, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u, CAST(floor(CAST(('0x' || substring(h, 14, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * greatest(1, n // 64)) AS BIGINT) AS cell FROM j),
-v AS (SELECT *, (row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, u, doc_id NULLS LAST) - 1) // 256 AS turn FROM u),
-c AS (SELECT *, list({{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': CAST(size AS DOUBLE), 'u': u, 'f': f}}) OVER (PARTITION BY source, cell, turn ORDER BY size DESC, u, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS own FROM v),
-r2 AS (SELECT *, list_reduce(own, lambda a, x: {{'missed': a.missed + x.f * x.size - CASE WHEN CASE WHEN x.size > 0 THEN x.u * x.size < a.missed + x.f * x.size ELSE x.u < x.f END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * x.size,
- 'take': CASE WHEN CASE WHEN x.size > 0 THEN x.u * x.size < a.missed + x.f * x.size ELSE x.u < x.f END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 'size': x.size, 'u': x.u, 'f': x.f}}, {{'missed': 0.0::DOUBLE, 'take': 0.0::DOUBLE, 'size': 0.0::DOUBLE, 'u': 0.0::DOUBLE, 'f': 0.0::DOUBLE}}).take AS take FROM c)
+v AS (SELECT * EXCLUDE (u), row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, u, doc_id NULLS LAST) - 1 AS number FROM u),
+t2 AS (SELECT *, number // 256 AS turn, CAST(number % 256 + 1 AS INTEGER) AS place, CAST(('0x' || substring(md5(key || '@' || CAST(number AS VARCHAR) || '#0'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM v),
+c AS (SELECT source, cell, turn, any_value(f) AS f, list({{'p': 0.0::DOUBLE, 'size': CAST(size AS DOUBLE), 'place': place, 'u': u, 'out': CAST([] AS INTEGER[])}} ORDER BY place) AS own FROM t2 GROUP BY ALL),
+e AS (SELECT source, cell, turn, list_reduce(own, lambda a, x: CASE WHEN x.size = 0 THEN {{'p': a.p, 'size': a.size, 'place': a.place, 'u': a.u, 'out': CASE WHEN x.u < f THEN list_append(a.out, x.place) ELSE a.out END}}
+ WHEN a.place = 0 THEN {{'p': f, 'size': x.size, 'place': x.place, 'u': x.u, 'out': a.out}}
+ WHEN x.u * (least(1.0 - a.p, f * (x.size / a.size)) + least(a.p, (1.0 - f) * (x.size / a.size))) < least(a.p, (1.0 - f) * (x.size / a.size)) THEN
+  CASE WHEN 1.0 - a.p <= f * (x.size / a.size) THEN {{'p': greatest(0.0, f - (1.0 - a.p) / (x.size / a.size)), 'size': x.size, 'place': x.place, 'u': a.u, 'out': list_append(a.out, a.place)}} ELSE {{'p': a.p + f * (x.size / a.size), 'size': a.size, 'place': a.place, 'u': a.u, 'out': a.out}} END
+ ELSE CASE WHEN a.p <= (1.0 - f) * (x.size / a.size) THEN {{'p': least(1.0, f + a.p / (x.size / a.size)), 'size': x.size, 'place': x.place, 'u': a.u, 'out': a.out}} ELSE {{'p': a.p - (1.0 - f) * (x.size / a.size), 'size': a.size, 'place': a.place, 'u': a.u, 'out': list_append(a.out, x.place)}} END END,
+ {{'p': 0.0::DOUBLE, 'size': 1.0::DOUBLE, 'place': CAST(0 AS INTEGER), 'u': 0.0::DOUBLE, 'out': CAST([] AS INTEGER[])}}) AS d FROM c),
+r2 AS (SELECT t2.*, CASE WHEN list_contains(d.out, place) OR (d.u < d.p AND d.place = place) THEN 1 ELSE 0 END AS take FROM t2 JOIN e ON t2.source IS NOT DISTINCT FROM e.source AND t2.cell = e.cell AND t2.turn = e.turn)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + take) * size AS BIGINT) AS taken FROM r2"""
 
 

@@ -24,6 +24,17 @@ def test_stages_keep_columns_and_copies_go(messy, spark, tmp_path):
     assert 7 not in ids and ids.count(6) == 1 and {0, 1, 2, 3, 4, 6, 10} <= set(ids)
 
 
+def test_values_of_further_columns_stay(messy, spark, tmp_path):
+    names = ["host", "path", "_host", "_path", "_copy", "_digest", "_row", "_mean", "keep", "copies", "size", "target", "y"]
+    docs = messy.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    sf = folder_of(spark, tmp_path, docs, [(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(20)])
+    for _, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, sf)
+        assert rows.columns == docs.columns
+        own = rows.collect()
+        assert own and all(r[n] == f"{n}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in own for n in names)
+
+
 def test_nothing_goes_through(empty, spark, tmp_path):
     docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
     sf = folder_of(spark, tmp_path, docs, [])
