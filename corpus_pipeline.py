@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.functions.names import fresh
 from loomdex.llm import mixing, ngram_join, packing, quality, toxicity
 from loomdex.llm.files import passing
 from loomdex.llm.text import vocabulary
@@ -42,9 +43,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are empty ones, null sources and languages groups of their own; equal texts of one site are judged alike, a chance on the
     bound stays; without labels, or with good ones alone, nothing goes.  Extra columns pass through; an empty table stays empty.
     """
-    placed = docs.withColumns({"host": F.col("source"), "path": F.col("lang")})
-    judged = quality.classify(placed, _labels(spark, sf_dir, "quality"), tuple(docs.columns), at_least=GOOD_FROM)
-    return judged.filter(F.col(judged.columns[-1])).select(*_own(docs))
+    # the classifier has names of its own, so further columns go by under others
+    further = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
+    names = fresh(docs.columns, *[f"further_{i}" for i in range(len(further))])
+    carried = {c: names[f"further_{i}"] for i, c in enumerate(further)}
+    own = docs.select(*[F.col(f"`{c}`").alias(carried.get(c, c)) for c in docs.columns], F.col("source").alias("host"), F.col("lang").alias("path"))
+    judged = quality.classify(own, _labels(spark, sf_dir, "quality"), tuple(carried.get(c, c) for c in docs.columns), at_least=GOOD_FROM)
+    return judged.filter(F.col(judged.columns[-1])).select(*[F.col(carried.get(c, c)).alias(c) for c in docs.columns])
 
 
 @shipped
@@ -60,12 +65,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         later = ngram_join.jaccard_join(docs, k=5, num=80, den=100).filter("component_id <> doc_id").select(F.col("doc_id").alias("_later"))
         return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
     # numbers in the order of the rule stand for the ids; written once, as they depend on the partitions
-    ordered = docs.withColumn("_digest", F.sha2(F.col("text").cast("string"), 256)).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "_digest")
-    rows = cut(ordered.withColumn("_row", F.monotonically_increasing_id()))
-    joined = ngram_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    names = fresh(docs.columns, "_digest", "_row")
+    digest, row = names["_digest"], names["_row"]
+    ordered = docs.withColumn(digest, F.sha2(F.col("text").cast("string"), 256)).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), digest)
+    rows = cut(ordered.withColumn(row, F.monotonically_increasing_id()))
+    joined = ngram_join.jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"), k=5, num=80, den=100)
     later = joined.filter("component_id <> doc_id").select(F.col("doc_id").alias("_later"))
-    kept = rows.join(later, F.col("_row") == F.col("_later"), "left_anti")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_digest"]).union(kept.filter("doc_id IS NULL")).select(*_own(docs))
+    kept = rows.join(later, F.col(row) == F.col("_later"), "left_anti")
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", digest]).union(kept.filter("doc_id IS NULL")).select(*_own(docs))
 
 
 @shipped
