@@ -49,10 +49,10 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     up = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = up.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    # the first source that its share at this level doesn't fill sets the level for all that follow
+    # the first source that its share at this level doesn't fill sets the level for all that follow; of those full at the same level the first has the highest
     stepped = ranked.withColumn("level", level)
-    final = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"]
-    return stepped.select("source", "documents", "source_size", F.when(final.isNull(), F.col("cap")).otherwise(F.least("cap", final * F.col("w"))).alias("target"))
+    final = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct((F.col("cap") / F.col("w")).alias("full"), (-F.col("level")).alias("minus")))).over(everything)
+    return stepped.select("source", "documents", "source_size", F.when(final.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), -final["minus"] * F.col("w"))).alias("target"))
 
 
 def draws(key: Column, seed: int) -> tuple[Column, Column]:

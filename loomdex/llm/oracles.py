@@ -12,7 +12,7 @@ s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FRO
 r AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
  FROM r WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
+f AS (SELECT first(level ORDER BY cap / w, level DESC) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, n, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM l, f),
 j AS (SELECT doc_id, key, size, d.source, source_size, n, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0::DOUBLE END AS rate, md5(key || '#0') AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 u AS (SELECT *, rate - floor(rate) AS f, CAST(('0x' || substring(h, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u, CAST(floor(CAST(('0x' || substring(h, 14, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * greatest(1, n // 64)) AS BIGINT) AS cell FROM j),
