@@ -14,7 +14,6 @@ score of the k-th found so far.
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from collections.abc import Iterator, Sequence
@@ -23,13 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions.stemming import fold, stem, stemmed
 from loomdex.operators.retrieval import K1, B, query_terms, tokens
 from loomdex.plans.lineage import cut
+from loomdex.plans.versions import publish, state_of
 
 #: Documents of a stripe, folders of postings, segments of like size that are merged.
 STRIPE, BUCKETS, FANOUT = 256, 16, 4
@@ -116,22 +115,10 @@ class Segments:
     # versions
 
     def state(self) -> dict:
-        """The last published version."""
-        row = self.spark.read.schema("state string, version int").parquet(f"{self.folder}/versions").orderBy(F.desc("version")).head()
-        return json.loads(row["state"])
+        return state_of(self.spark, self.folder)
 
     def _publish(self, state: dict) -> dict:
-        """Make ``state`` the version behind the one that it was made from; RuntimeError where another writer has."""
-        state = {**state, "version": state["version"] + 1}
-        rows = self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write
-        place = f"{self.folder}/versions/version={state['version']}"
-        try:
-            rows.mode("errorifexists").parquet(place)
-        except AnalysisException:
-            if self.state()["version"] >= state["version"]:
-                raise RuntimeError(f"another writer has published version {state['version']}") from None
-            rows.mode("overwrite").parquet(place)  # a writer that ended in the middle
-        return state
+        return publish(self.spark, self.folder, state)
 
     # tables
 

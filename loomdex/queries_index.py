@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, suppression, text_index, vector_index
+from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, stored, suppression, text_index, vector_index
 from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
@@ -1283,6 +1283,34 @@ def indexed_literal_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return _grams(spark, sf).match(_LITERAL_PATTERN, around=1)
 
 
+@query(
+    """WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN 'changed' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 10 = 4 THEN o_custkey ELSE 0 END + CASE WHEN o_orderkey % 10 IN (3, 4) THEN 1 ELSE 0 END AS touched FROM orders WHERE o_orderkey % 10 <> 9)
+SELECT o_orderkey, o_custkey, status, CAST(touched AS BIGINT) AS touched FROM b WHERE o_orderkey % 13 <> 0 UNION ALL SELECT -o_orderkey, o_custkey, 'new', 7 FROM orders WHERE o_orderkey % 10 = 9"""
+)
+def stored_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a table in a folder: created without every tenth, then merged into five times."""
+    orders = Tables(spark, sf).orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.lit(0).cast("long").alias("touched"))
+    key = F.col("o_orderkey")
+    table = stored.create(orders.filter(key % 10 != 9), ["o_orderkey"], _folder(spark), 16)
+    table.insert_or_ignore(orders.filter((key % 10).isin(3, 4)).withColumn("status", F.lit("ignored")))
+    table.upsert(orders.filter(key % 10 == 3).withColumns({"status": F.lit("changed"), "touched": F.lit(1).cast("long")}))
+    table.update(orders.filter(key % 10 == 4).select("o_orderkey", (F.col("o_custkey") + 1).alias("touched")))
+    table.upsert(orders.filter(key % 10 == 9).withColumns({"o_orderkey": -key, "status": F.lit("new"), "touched": F.lit(7).cast("long")}))
+    return table.delete(orders.filter(key % 13 == 0).filter(key % 10 != 9)).vacuum().read()
+
+
+@query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS calls, CAST(sum(event_id % 7) AS BIGINT) AS weight FROM events GROUP BY 1, 2")
+def stored_counters_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of users and kinds of events, added to a table batch by batch."""
+    e = Tables(spark, sf).events.select("user_id", "event_type", F.lit(1).cast("long").alias("calls"), (F.col("event_id") % 7).cast("long").alias("weight"))
+    folder = _folder(spark)
+    e.repartition(4).write.parquet(f"{folder}/in")
+    table = stored.create(e.limit(0), ["user_id", "event_type"], f"{folder}/table", 8)
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    source.writeStream.foreachBatch(table.sink("events")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
+
+
 def _neighbours_sql(distance: str, where: str) -> str:
     return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, e.vec_id, {distance}(e.v, q.v) AS distance FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0{where})

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomdex.operators.mutate import add_counters
 from loomdex.plans.lineage import shared_dir
 
 
@@ -54,20 +53,6 @@ def stale(last_heartbeat: Column, now: Column, seconds: int = 10) -> Column:
     return F.unix_timestamp(now) - F.unix_timestamp(last_heartbeat) > seconds
 
 
-def merge_into(path: str, keys: list[str]):
-    """A ``foreachBatch`` function that adds a batch's counters to the parquet table at ``path``, version by version.
-
-    The batch id names the version, so a repeated batch replaces its own result instead of counting twice.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = spark.createDataFrame([], batch.schema) if batch_id == 0 else spark.read.parquet(f"{path}/v{batch_id - 1}")
-        add_counters(base, batch, keys).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    return run
-
-
 def watch(spark: SparkSession, folder: str, glob: str, handle, debounce: str = "2 seconds"):
     """Start a query that hands each micro-batch of changed files to ``handle(batch, batch_id)``."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)

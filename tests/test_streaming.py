@@ -22,15 +22,6 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(usage.drained(usage.sessions(stream, "user_id", "2 hours")).collect()) == sorted(usage.sessions(df, "user_id", "2 hours").collect())
 
 
-def test_merge_is_repeatable(spark, tmp_path):
-    batch = spark.createDataFrame([(1, 2)], "repo_id long, calls long")
-    merge = usage.merge_into(str(tmp_path / "t"), ["repo_id"])
-    merge(batch, 0)
-    merge(batch, 1)
-    merge(batch, 1)
-    assert spark.read.parquet(str(tmp_path / "t/v1")).head()["calls"] == 4
-
-
 def test_retention_and_staleness(spark):
     t = dt.datetime(2024, 1, 20)
     df = spark.createDataFrame([(1, None), (2, t - dt.timedelta(days=8)), (3, t - dt.timedelta(days=1))], "id long, ended_at timestamp")
