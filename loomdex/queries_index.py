@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import diff, graph, mutate, overview, quality, retrieval, search_index, segments, stored, suppression, text_index, vector_index
+from loomdex.operators import diff, graph, mutate, overview, positions, quality, retrieval, search_index, segments, stored, suppression, text_index, ts_rank, vector_index
 from loomdex.plans.lineage import cut, shared_dir
 from loomdex.plans.query import Query, Relation
 from loomdex.plans.scopes import INSTANCE_SCOPES, NODE_SCOPES, REPO_SCOPES, present, section_scopes, symbol_scopes
@@ -1311,6 +1311,34 @@ def stored_counters_stream(spark: SparkSession, sf: str) -> DataFrame:
     return table.read()
 
 
+@query(
+    """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS toks FROM documents),
+w AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS pos FROM t),
+p AS (SELECT DISTINCT doc_id, term, least(pos, 16383) AS pos FROM w), k AS (SELECT doc_id, term, pos FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) <= 256),
+n AS (SELECT doc_id, count(*) AS length FROM k GROUP BY 1)
+SELECT a.doc_id AS key, round((1 - product(1 - sqrt(0.1 * 0.1 * CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)) END))) / any_value(log2(length + 1)), 8) AS rank
+FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.term = 'the' AND b.term = 'with' JOIN n ON n.doc_id = a.doc_id GROUP BY 1"""
+)
+def positional_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with both words by how near they stand to one another, divided by the logarithm of their length."""
+    index = ts_rank.build(Tables(spark, sf).documents, "doc_id", {"text": "D"}, _folder(spark))
+    return index.search("with the", flags=ts_rank.LOG_LENGTH).withColumn("rank", F.round("rank", 8))
+
+
+@query("SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS rank, CAST(sum(event_id % 100) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WINDOW w AS (ORDER BY value DESC, event_id)")
+def positions_of_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All events by falling value, with their ranks and a running sum."""
+    order = [F.desc("value"), "event_id"]
+    placed = positions.numbered(Tables(spark, sf).events.select("event_id", "value"), order)
+    return positions.running(placed, ["rank"], F.col("event_id") % 100).drop("value")
+
+
+@query("SELECT event_id, 3 AS page, CAST((SELECT ceil(count(*) / 40.0) FROM events) AS INTEGER) AS pages FROM events ORDER BY value DESC, event_id LIMIT 40 OFFSET 80")
+def page_of_events(spark: SparkSession, sf: str) -> DataFrame:
+    own, pages = positions.page(Tables(spark, sf).events.select("event_id", "value"), [F.desc("value"), "event_id"], 3, 40)
+    return own.select("event_id", F.lit(3).alias("page"), F.lit(pages).alias("pages"))
+
+
 def _neighbours_sql(distance: str, where: str) -> str:
     return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, e.vec_id, {distance}(e.v, q.v) AS distance FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0{where})
