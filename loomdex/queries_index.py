@@ -856,7 +856,7 @@ def search_service_reranked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT item_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(substring(text, 1, 30)), '[a-z0-9]+')), lambda t: length(t) >= 2 AND t NOT IN ('and', 'or', 'not', 'near'))) AS term FROM benchmark),
+    """WITH q AS (SELECT item_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), lambda t: length(t) >= 2 AND t NOT IN ('and', 'or', 'not', 'near'))) AS term FROM benchmark),
 t AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' the ' || p_type), '[a-z0-9]+') AS toks FROM part), s AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM t),
 p AS (SELECT p_partkey, term, len(list_filter(toks, lambda x: x = term)) AS wtf, len(toks) AS length FROM t, (SELECT DISTINCT term FROM q) WHERE list_contains(toks, term)), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 r AS (SELECT item_id AS query_id, p_partkey, -sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY 1, 2)
@@ -865,7 +865,7 @@ SELECT query_id, p_partkey, round(score, 9) AS score, CAST(row_number() OVER (PA
 def batch_search_queries(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
     docs = t.part.select("p_partkey", F.concat_ws(" the ", "p_name", "p_type").alias("t"))
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 30).alias("query"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = retrieval.batch_search(docs, "p_partkey", {"t": 1.0}, asked, 5).filter("error IS NULL")
     return found.select("query_id", "p_partkey", F.round("score", 9).alias("score"), "rank")
 

@@ -74,7 +74,7 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
 
 
-def discover(tree: DataFrame, most_files: int | None = MOST_FILES, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+def discover(tree: DataFrame, most_files: int | None = None, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Files to index, in path order up to ``most_files`` (a setting of the scan), and the left-out ones by reason."""
     judged = tree.withColumn("skip_reason", skip_reason(F.col("path"), F.col("byte_size"), F.col("content") if "content" in tree.columns else None, most_bytes))
     kept = judged.filter("skip_reason IS NULL").drop("skip_reason").withColumns({"language": language_of(F.col("path")), "content_hash": F.sha2("content", 256)} if "content" in tree.columns else {"language": language_of(F.col("path"))})

@@ -66,6 +66,21 @@ def test_update_equals_a_new_index(spark, snapshot, tmp_path, monkeypatch):
         assert rows(getattr(updated, name), *columns) == rows(getattr(whole, name), *columns), name
 
 
+def test_unchanged_files_are_not_read(spark, snapshot, tmp_path):
+    """What has its size and time is taken for what it was; without trust in times every content counts."""
+    folder = f"file://{tmp_path}/v1"
+    snapshot.write(folder)
+    other = {**TREE, "pkg/b.py": TREE["pkg/b.py"].replace("helper", "HELPER")}  # the same size
+    hashes = lambda s: set(rows(s.files, "path", "content_hash"))
+    blind = I.index(tree(spark, other), "r", before=I.Snapshot.read(spark, folder))
+    assert hashes(blind) == hashes(snapshot) and rows(blind.blobs, "content_hash") == rows(snapshot.blobs, "content_hash")
+    assert rows(blind.references, "source_symbol_id", "target_symbol_id") == rows(snapshot.references, "source_symbol_id", "target_symbol_id")
+    careful = I.index(tree(spark, other), "r", before=I.Snapshot.read(spark, folder), trust_times=False)
+    assert hashes(careful) == hashes(I.index(tree(spark, other), "r")) != hashes(snapshot)
+    some = I.index(tree(spark, other), "r", most_files=2)
+    assert some.files.count() == some.blobs.count() == 2
+
+
 def test_secrets_are_stripped():
     out = code.without_secrets(TREE["k8s.yaml"])
     assert "hunter2" not in out and "key: ***" in out and "name: web" in out
