@@ -166,9 +166,10 @@ def packed(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
             for part in sliced(batch, "text"):
                 for grams in shingle_sets(part.column("text"), k):
                     kind = bounds.class_of(len(grams))
-                    if not kind or (vertex := _vertex(xxhash.xxh3_128_digest(grams.tobytes()))) in seen:
+                    if not kind or (digest := xxhash.xxh3_128_digest(grams.tobytes())) in seen:
                         continue
-                    seen.add(vertex)
+                    seen.add(digest)  # different sets of one vertex both count
+                    vertex = _vertex(digest)
                     for role in range(1 + bounds.reaches_down(len(grams), kind)):
                         signs = signatures(grams, kind - role, bounds)
                         held.append((signs, vertex * 2 + role, kind - role))
