@@ -596,16 +596,17 @@ def sections_in_repo(spark: SparkSession, sf: str) -> DataFrame:
     return present(q.df(), "section", "full").withColumn("n_tags", F.size("tags")).drop("tags")
 
 
-@query(_with(_REPOS, _INSTANCES) + "SELECT 'libraries' AS scope, count(*) AS n FROM repos WHERE repo_type = 'library' UNION ALL SELECT 'local_repos', count(*) FROM repos WHERE repo_type <> 'library' UNION ALL SELECT 'active', count(*) FROM instances WHERE ended_at IS NULL UNION ALL SELECT 'leader', count(*) FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'followers', count(*) FROM region WHERE r_regionkey <> 0")
+@query(_with(_REPOS, _INSTANCES) + "SELECT 'libraries' AS scope, name FROM repos WHERE repo_type = 'library' UNION ALL SELECT 'local_repos', name FROM repos WHERE repo_type <> 'library' UNION ALL SELECT 'active', instance_id FROM instances WHERE ended_at IS NULL UNION ALL SELECT 'leader', r_name FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'followers', r_name FROM region WHERE r_regionkey <> 0")
 def scope_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of each scope, by name."""
     c = Code(spark, sf)
     nodes = c.t.region.select(F.col("r_name").alias("node_id"), F.when(F.col("r_regionkey") == 0, "leader").otherwise("follower").alias("role"))
-    parts = [(c.repos, REPO_SCOPES), (c.instances, INSTANCE_SCOPES), (nodes, NODE_SCOPES)]
-    rows = [(name, getattr(Query(base, scopes=scopes), name)()) for base, scopes in parts for name in scopes]
+    parts = [(c.repos, "name", REPO_SCOPES), (c.instances, "instance_id", INSTANCE_SCOPES), (nodes, "node_id", NODE_SCOPES)]
     out = None
-    for name, q in rows:
-        one = q.df().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("scope"), "n")
-        out = one if out is None else out.union(one)
+    for base, key, scopes in parts:
+        for name in scopes:
+            one = getattr(Query(base, scopes=scopes), name)().df().select(F.lit(name).alias("scope"), F.col(key).alias("name"))
+            out = one if out is None else out.union(one)
     return out
 
 
@@ -714,13 +715,14 @@ def pivot_attach_detach(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.detach(more, t.nation.filter("n_name < 'J'").select(F.lit(2).alias("workspace_id"), F.col("n_nationkey").alias("repo_id")))
 
 
-@query(_with(_FILES, _REPOS, _SYMBOLS, _REFERENCES) + "SELECT 'files' AS rows_of, count(*) AS n FROM files WHERE repo_id NOT IN (SELECT id FROM repos WHERE repo_type = 'library') UNION ALL SELECT 'symbols', count(*) FROM symbols JOIN files f ON f.id = file_id WHERE repo_id % 4 <> 0 UNION ALL SELECT 'references', count(*) FROM refs JOIN symbols s ON s.symbol_id = source_symbol_id JOIN files f ON f.id = s.file_id WHERE repo_id % 4 <> 0")
+@query(_with(_FILES, _REPOS, _SYMBOLS, _REFERENCES) + "SELECT 'files' AS rows_of, path AS name FROM files WHERE repo_id NOT IN (SELECT id FROM repos WHERE repo_type = 'library') UNION ALL SELECT 'symbols', symbol_id FROM symbols JOIN files f ON f.id = file_id WHERE repo_id % 4 <> 0 UNION ALL SELECT 'references', source_symbol_id FROM refs JOIN symbols s ON s.symbol_id = source_symbol_id JOIN files f ON f.id = s.file_id WHERE repo_id % 4 <> 0")
 def library_deletion(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each table."""
     c = Code(spark, sf)
     left = mutate.cascade_tree(c.repos.filter("repo_type = 'library'"), [("files", c.files, "repo_id", "id"), ("symbols", c.symbols, "file_id", "symbol_id"), ("references", c.references, "source_symbol_id", None)])
     out = None
-    for name, rows in left.items():
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rows_of"), "n")
+    for name, key in (("files", "path"), ("symbols", "symbol_id"), ("references", "source_symbol_id")):
+        one = left[name].select(F.lit(name).alias("rows_of"), F.col(key).alias("name"))
         out = one if out is None else out.union(one)
     return out
 
@@ -883,16 +885,16 @@ def discovery_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return tree.select("page_id", S.skip_reason(F.col("path"), F.col("byte_size")).alias("reason"), S.language_of(F.col("path")).alias("language"))
 
 
-@query("SELECT 'changed' AS step, count(*) AS n FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 UNION ALL SELECT 'kept', count(*) FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'blobs', count(DISTINCT text) FROM documents")
+@query(_with(_FILES) + "SELECT 'changed' AS step, path AS name FROM files WHERE id % 3 = 0 OR id % 5 = 0 UNION ALL SELECT 'kept', path FROM files WHERE id % 5 <> 0 UNION ALL SELECT DISTINCT 'blobs', content_hash FROM files")
 def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A scan against an index that lacks every fifth file and has an older content of every third."""
+    """A scan against an index that lacks every fifth file and has an older content of every third: what changed, what stays, and the contents held."""
     files = Code(spark, sf).files.select("id", "path", "content_hash", F.col("content"))
     stored = files.filter("id % 5 <> 0").withColumn("content_hash", F.when(F.col("id") % 3 == 0, "old").otherwise(F.col("content_hash")))
     blobs = S.store_blobs(files.select("content_hash", "content").dropDuplicates(["content_hash"]).filter("content_hash < '8'"), files)
-    parts = [("changed", S.changed(files, stored)), ("kept", S.purge(files, stored)), ("blobs", blobs)]
+    parts = [("changed", S.changed(files, stored), "path"), ("kept", S.purge(files, stored), "path"), ("blobs", blobs, "content_hash")]
     out = None
-    for name, rows in parts:
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n")
+    for name, rows, key in parts:
+        one = rows.select(F.lit(name).alias("step"), F.col(key).alias("name"))
         out = one if out is None else out.union(one)
     return out
 
@@ -1363,13 +1365,14 @@ def neighbours_cosine_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf, "cosine", F.col("label") == 3)
 
 
-@query("SELECT 'kept' AS reason, count(*) AS files FROM pages WHERE page_id % 4 > 1 UNION ALL SELECT 'skip_dir', count(*) FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'secret_file', count(*) FROM pages WHERE page_id % 4 = 1")
+@query("SELECT 'kept' AS reason, 'web/' || page_id || '.html' AS path, 1 AS files FROM pages WHERE page_id % 4 > 1 UNION ALL SELECT 'skip_dir', NULL, count(*) FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'secret_file', NULL, count(*) FROM pages WHERE page_id % 4 = 1")
 def discovered_files(spark: SparkSession, sf: str) -> DataFrame:
     k, p = F.col("page_id") % 4, F.col("page_id").cast("string")
     path = F.when(k == 0, F.concat(F.lit("build/"), p)).when(k == 1, F.concat(F.lit("k/"), p, F.lit(".pem"))).otherwise(F.concat(F.lit("web/"), p, F.lit(".html")))
     tree = Tables(spark, sf).pages.select(path.alias("path"), F.length("html").cast("long").alias("byte_size"), F.encode("html", "utf-8").alias("content"))
     kept, left_out = S.discover(tree, None, 1 << 40)
-    return kept.agg(F.count(F.lit(1)).alias("files")).select(F.lit("kept").alias("reason"), "files").union(left_out.select("reason", "files"))
+    left_out = left_out.select("reason", F.lit(None).cast("string").alias("path"), "files")
+    return kept.select(F.lit("kept").alias("reason"), "path", F.lit(1).cast("long").alias("files")).union(left_out)
 
 
 @query("SELECT n_nationkey FROM nation QUALIFY row_number() OVER (PARTITION BY n_nationkey % 3, n_regionkey ORDER BY length(n_name) DESC, n_nationkey) = 1")
