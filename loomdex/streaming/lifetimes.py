@@ -41,9 +41,10 @@ class Lifetime(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            for at, instance, ends, events in zip(frame["at"].tolist(), frame["instance_id"].tolist(), frame["ends"].tolist(), frame["events"].tolist(), strict=True):
-                self.held.appendValue((at, instance, bool(ends), events))
-                self._timer(at)
+            own = [(at, instance, bool(ends), events) for at, instance, ends, events in zip(frame["at"].tolist(), frame["instance_id"].tolist(), frame["ends"].tolist(), frame["events"].tolist(), strict=True)]
+            if own:
+                self.held.appendList(own)
+                self._timer(min(own)[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,6 +66,7 @@ class Lifetime(StatefulProcessor):
         if due:
             if rest := held[len(due) :]:
                 self.held.put(rest)
+                self._timer(rest[0][0])
             else:
                 self.held.clear()
         if state["run"]:

@@ -30,9 +30,8 @@ def index(spark, texts, tmp_path_factory):
 
 @pytest.mark.parametrize("needle", ["license", "LICEN", "foo_bar def", "ärger", "σας", "\U0001f600smile", "abcabcabcabc", "abcabcabc", "needle here", "needle", "x", "ab", "", "absent text", "a\nb", "(c) 2024", "y" * 200 + " licen"])
 def test_substrings(index, texts, needle):
-    for around in (0, 2):
-        assert rows_of(index.grep(needle, around)) == rows_of(retrieval.grep(texts.fillna("", "content"), needle, around))
-    assert rows_of(index.grep(needle, 0, 3)) == rows_of(retrieval.grep(texts.fillna("", "content"), needle, 0, 3))
+    want = rows_of(retrieval.grep(texts.fillna("", "content"), needle, 2))
+    assert rows_of(index.grep(needle, 2)) == want and rows_of(index.grep(needle, 2, 3)) == want[:3]
 
 
 @pytest.mark.parametrize("pattern", [r"licen[sc]e +foo", r"(?i)LICENSE", r"\bdef\b.*2024$", r"abc(abc)+ x", r"license|naïve", r"(needle) (here)?", r"\p{Lu}RGER", r"[a-z]{3}_bar", r"^x?$", r"ΣΑΣ def"])
