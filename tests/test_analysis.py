@@ -264,3 +264,9 @@ def test_batch_search_keeps_terms_in_their_rows(spark, monkeypatch):
         want = sorted((-sum(idf[t] * 2 * x.count(t) * 2.2 / (2 * x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in terms if t in x), i) for i, x in enumerate(toks) if set(terms) & set(x))[:4]
         own = sorted((x for x in got if x["query_id"] == q and not x["error"]), key=lambda x: x["rank"])
         assert [x["id"] for x in own] == [i for _, i in want] and all(abs(x["score"] - s) < 1e-9 for x, (s, _) in zip(own, want, strict=True))
+
+
+def test_trade_within_a_nation_is_an_edge(spark):
+    from loomdex import queries
+
+    assert queries.QUERIES["dep_graph"](spark, "/root/testdata/sf0.001").filter("src = dst").count() > 0
