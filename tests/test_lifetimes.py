@@ -80,3 +80,40 @@ def test_the_state_store_is_asked_for(spark):
     if spark.conf.get(lifetimes.STATE_STORE[0]) != lifetimes.STATE_STORE[1]:
         with pytest.raises(ValueError, match="RocksDB"):
             lifetimes.lifetimes(events, 10)
+
+
+def test_a_session_asks_for_its_state_once():
+    import json
+
+    import pandas as pd
+
+    class Kept:
+        exists, calls, now = False, [], 0
+
+        @property
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.exists, self.value = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, at):
+            self.wakes = at
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+    kept, step = Kept(), lifetimes._lifetime(1_000_000, 5_000_000)
+    rows = pd.DataFrame({"at": [2_500_000, 1_000_000, 1_500_000], "instance_id": ["a", "a", "b"], "ends": [False] * 3, "events": [1, 1, 1]})
+    assert not list(step((7,), iter([rows]), kept)) and kept.calls == ["update"] and kept.wakes == 1001
+    assert len(json.loads(kept.value[0])["held"]) == 3
+    kept.now = 3_000
+    assert not list(step((7,), iter([]), kept)) and kept.calls == ["update", "get", "update"] and kept.wakes == 3501
+    kept.now = 9_000
+    out = pd.concat(step((7,), iter([]), kept))
+    assert out[["session_id", "status", "events", "instances"]].values.tolist() == [[7, "ended", 3, 2], [7, "purged", 3, 2]] and not kept.exists
