@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.plans.lineage import cut
+from loomdex.plans.lineage import cut, shared_dir
+from loomdex.plans.versions import remove
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,31 +21,42 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     factor.  All steps are partial aggregates and equi-joins on the remaining edges: a hub vertex is
     combined before its shuffle and its join partition can be split.
 
+    Contracted edges are read back from files, whose size is known.  A checkpoint keeps its plan's estimate of
+    size, in which a join is the product of its sides; from round to round that number would have three times
+    as many digits, and a dozen rounds would fill the driver with it.
+
     Null endpoints and self-loops are ignored; vertices without edges don't appear; an empty edge
     table gives an empty result.
     """
     e = cut(edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).filter("src <> dst").distinct())
     steps: list[DataFrame] = []
-    while not e.isEmpty():
-        both = e.union(e.select(F.col("dst"), F.col("src")))
-        if len(steps) < 2 or len(steps) % 2:
-            low = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("root"))
-            step = cut(low.select(F.col("src").alias("id"), "root"))
-        else:
-
-            def rank(c: str) -> Column:
-                return F.xxhash64(c, F.lit(len(steps)))
-
-            low = both.groupBy("src").agg(F.min(F.struct(rank("dst").alias("h"), F.col("dst").alias("to"))).alias("low"))
-            step = cut(low.select(F.col("src").alias("id"), F.when(F.col("low.h") < rank("src"), F.col("low.to")).otherwise(F.col("src")).alias("root")))
-        e = cut(
-            e.join(step.select(F.col("id").alias("src"), F.col("root").alias("a")), "src")
-            .join(step.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
-            .filter("a <> b")
-            .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-            .distinct()
-        )
-        steps.append(step)
+    spark, folder = e.sparkSession, f"{shared_dir(e.sparkSession)}/loomdex-components-{uuid.uuid4().hex}"
+    try:
+        while not e.isEmpty():
+            both = e.union(e.select(F.col("dst"), F.col("src")))
+            if len(steps) < 2 or len(steps) % 2:
+                low = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("root"))
+                step = cut(low.select(F.col("src").alias("id"), "root"))
+            else:
+
+                def rank(c: str) -> Column:
+                    return F.xxhash64(c, F.lit(len(steps)))
+
+                low = both.groupBy("src").agg(F.min(F.struct(rank("dst").alias("h"), F.col("dst").alias("to"))).alias("low"))
+                step = cut(low.select(F.col("src").alias("id"), F.when(F.col("low.h") < rank("src"), F.col("low.to")).otherwise(F.col("src")).alias("root")))
+            joined = (
+                e.join(step.select(F.col("id").alias("src"), F.col("root").alias("a")), "src")
+                .join(step.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
+                .filter("a <> b")
+                .select(F.col("a").alias("src"), F.col("b").alias("dst"))
+                .distinct()
+            )
+            place = f"{folder}/{len(steps)}"
+            joined.write.parquet(place)
+            e = spark.read.schema(joined.schema).parquet(place)
+            steps.append(step)
+    finally:
+        remove(spark, folder)
     if not steps:
         return e.select(F.col("src").alias("id"), F.col("dst").alias("root"))
 

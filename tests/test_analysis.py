@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 from loomdex.functions.complexity import brace_depth, complexity, cyclomatic, indent_depth, params
-from loomdex.operators import diff, graph, quality, retrieval
+from loomdex.operators import components, diff, graph, quality, retrieval
 from loomdex.operators.components import connected_components
+from loomdex.plans.lineage import cut
 from loomdex.sources import code, documents, files, manifests
 
 
@@ -61,6 +62,23 @@ def test_components(spark):
         assert dict(connected_components(df).collect()) == {v: find(v) for v in parent}
 
 
+def test_components_estimates_do_not_multiply_over_rounds(spark, monkeypatch):
+    """The planner's size of what a round leaves stays a number of some digits, however many rounds came before."""
+    bits = []
+
+    def watched(df):
+        out = cut(df)
+        bits.append(out._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(components, "cut", watched)
+    n = 2_000
+    path = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("src"), F.pmod((F.col("id") + 1) * 7919, F.lit(n)).alias("dst"))
+    found = connected_components(path).collect()
+    assert len(found) == n and {r["root"] for r in found} == {0}
+    assert len(bits) > 8 and max(bits) < 1_000, bits
+
+
 def test_bfs_keeps_edges_to_known_nodes(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src long, dst long")
     nodes, edges = graph.bfs(e, spark.createDataFrame([(1,)], "id long"), 3)
