@@ -62,3 +62,22 @@ def test_rows_are_judged_by_their_text_not_their_id(spark, tmp_path):
     got = sorted(((r["doc_id"], r["text"]) for r in pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()), key=str)
     want = [(1, words("a")), (1, words("b")), (3, words("c")), (None, words("d")), (None, words("e")), (4, ""), (5, None), (None, "")]
     assert got == sorted(want, key=str)
+
+
+def test_size_estimates_stay_small_on_a_chain_of_near_copies(spark, tmp_path, monkeypatch):
+    """A chain of near copies takes many rounds, and no round multiplies the planner's size of what it leaves."""
+    from loomdex.operators import components
+    from loomdex.plans.lineage import cut
+
+    bits = []
+
+    def watched(df):
+        out = cut(df)
+        bits.append(out._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(components, "cut", watched)
+    n = 300
+    docs = spark.createDataFrame([(i * 77 % n, " ".join(f"w{j}" for j in range(i, i + 30)), "en", "s", 1) for i in range(n)], DOCS)
+    assert [r["doc_id"] for r in pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()] == [0]
+    assert len(bits) > 8 and max(bits) < 3_000, bits
