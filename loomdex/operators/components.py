@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.plans.lineage import cut, shared_dir
+from loomdex.plans.lineage import cut, settle, shared_dir
 from loomdex.plans.versions import remove
 
+#: Once so small a part of the edges is left, and no more than so many, a single task joins them.
+LAST_SHARE, LAST_MOST = 500, 50_000
+
+
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, root)`` of the vertices of at most ``LAST_MOST`` edges; ``root`` is the smallest id joined."""
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for batch in batches:
+        for u, v in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            root[max(a, b)] = min(a, b)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([top(v) for v in list(root)], pa.int64())], names=["id", "root"])
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, root)`` for every vertex of an undirected graph; ``root`` is the smallest id of its component.
@@ -25,6 +47,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     size, in which a join is the product of its sides; from round to round that number would have three times
     as many digits, and a dozen rounds would fill the driver with it.
 
+    A round costs the driver the same however few edges are left.  So when a small part of them is, of a bounded
+    number, one task joins them for good; and after each round the driver lets go of what the round left there.
+
     Null endpoints and self-loops are ignored; vertices without edges don't appear; an empty edge
     table gives an empty result.
     """
@@ -32,7 +57,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     steps: list[DataFrame] = []
     spark, folder = e.sparkSession, f"{shared_dir(e.sparkSession)}/loomdex-components-{uuid.uuid4().hex}"
     try:
-        while not e.isEmpty():
+        n = most = e.count()
+        while n:
+            if n <= min(most // LAST_SHARE, LAST_MOST):
+                steps.append(cut(e.coalesce(1).mapInArrow(_last, "id long, root long")))
+                by_id = len(steps) <= 3
+                break
             both = e.union(e.select(F.col("dst"), F.col("src")))
             if len(steps) < 2 or len(steps) % 2:
                 low = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("root"))
@@ -55,6 +85,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             joined.write.parquet(place)
             e = spark.read.schema(joined.schema).parquet(place)
             steps.append(step)
+            by_id = len(steps) <= 2
+            n = e.count()
+            settle(spark)
     finally:
         remove(spark, folder)
     if not steps:
@@ -65,8 +98,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         return known.join(nxt, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
 
     found = reduce(follow, steps[1:], steps[0])
-    if len(steps) <= 2:
-        return found  # by id alone, so the root is the least
+    if by_id:
+        return found  # so the root is the least
     found = cut(found)
     least = found.groupBy("root").agg(F.min("id").alias("least"))
     return cut(found.join(least, "root").select("id", F.col("least").alias("root")))

@@ -79,6 +79,37 @@ def test_components_estimates_do_not_multiply_over_rounds(spark, monkeypatch):
     assert len(bits) > 8 and max(bits) < 1_000, bits
 
 
+def test_components_end_in_one_step_when_few_edges_are_left(spark, monkeypatch):
+    """Rounds cost the driver memory, so a long path among many pairs doesn't take as many as the path alone."""
+    steps, settled = [], []
+    monkeypatch.setattr(components, "cut", lambda df: steps.append(cut(df)) or steps[-1])
+    monkeypatch.setattr(components, "settle", lambda spark: settled.append(len(steps)))
+    pairs = [(1_000 + 2 * i, 1_001 + 2 * i) for i in range(40_000)]
+    path = [(i * 37 % 60 - 20, (i + 1) * 37 % 60 - 20) for i in range(59)]
+    edges = spark.createDataFrame([*pairs, *path, (None, 1), (7, 7)], "src long, dst long")
+    found = {r["id"]: r["root"] for r in connected_components(edges).collect()}
+    assert found == {v: a for a, b in pairs for v in (a, b)} | {v: -20 for v in range(-20, 40)}
+    assert len(steps) <= 4 and settled, steps
+
+
+def test_the_last_edges_are_joined_under_the_smallest_id():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    for n in (1, 5, 40, 400):
+        edges = [(r.randrange(-n, n), r.randrange(-n, n)) for _ in range(n)]
+        batches = [pa.RecordBatch.from_pylist([{"src": a, "dst": b} for a, b in edges[i : i + 7]]) for i in range(0, n, 7)]
+        got = {k: v for out in components._last(iter(batches)) for k, v in zip(out.column("id").to_pylist(), out.column("root").to_pylist(), strict=True)}
+        want = {v: v for e in edges for v in e}
+        for _ in range(n):
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        assert got == want
+    assert list(components._last(iter([]))) == []
+
+
 def test_bfs_keeps_edges_to_known_nodes(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src long, dst long")
     nodes, edges = graph.bfs(e, spark.createDataFrame([(1,)], "id long"), 3)
